@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, sstable
+from . import decontamination, packing, quality, sstable, toxicity
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontamination.query,
+    "op2_quality_classifier": quality.query,
     "op7_best_fit_packing": packing.query,
     "op8_sstable_shards": sstable.query,
+    "op10_toxicity": toxicity.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_benchmark_decontamination": decontamination.SQL,
+}
