@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality, sstable, toxicity
+from . import decontamination, lines, packing, quality, rules, sstable, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
     "op2_quality_classifier": quality.query,
+    "op4_line_dedup": lines.query,
+    "op5_quality_rules": rules.query,
     "op7_best_fit_packing": packing.query,
     "op8_sstable_shards": sstable.query,
     "op10_toxicity": toxicity.query,
@@ -14,4 +16,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_benchmark_decontamination": decontamination.SQL,
+    "op4_line_dedup": lines.SQL,
+    "op5_quality_rules": rules.SQL,
 }
