@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, lines, packing, quality, rules, sstable, toxicity
+from . import decontamination, lines, packing, privacy, quality, rules, sstable, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_rules": rules.query,
     "op7_best_fit_packing": packing.query,
     "op8_sstable_shards": sstable.query,
+    "op9_privacy": privacy.query,
     "op10_toxicity": toxicity.query,
 }
 
