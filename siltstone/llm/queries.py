@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, lines, packing, privacy, quality, rules, sstable, toxicity
+from . import decontamination, lines, packing, privacy, quality, rules, similarity, sstable, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
     "op2_quality_classifier": quality.query,
     "op4_line_dedup": lines.query,
     "op5_quality_rules": rules.query,
+    "op6_ngram_jaccard_join": similarity.query,
     "op7_best_fit_packing": packing.query,
     "op8_sstable_shards": sstable.query,
     "op9_privacy": privacy.query,
