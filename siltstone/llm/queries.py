@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, lines, packing, privacy, quality, rules, similarity, sstable, toxicity
+from . import ctw, decontamination, lines, packing, privacy, quality, rules, similarity, sstable, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
     "op2_quality_classifier": quality.query,
+    "op3_context_tree_weighting": ctw.query,
     "op4_line_dedup": lines.query,
     "op5_quality_rules": rules.query,
     "op6_ngram_jaccard_join": similarity.query,
