@@ -19,8 +19,8 @@ _PART = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Letters that the pre-tokenizer takes in one piece when no other non-ASCII character follows.
 _STEM = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7f])")
 _BARE = "\x1d"  # marks a part without a space before it
-_MOST = 800_000  # words kept
-_CHUNK = 1 << 22  # characters encoded at a time
+_MOST = 500_000  # words kept
+_CHUNK = 1 << 21  # characters encoded at a time
 
 
 def default_vocabulary() -> str:

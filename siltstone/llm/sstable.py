@@ -33,8 +33,8 @@ from . import bpe, common
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QIQIIIQBB8s")  # index at, index bytes, bloom at, bloom bytes, blocks, documents, ids, hashes, width, magic
 BLOCK_BYTES = 1 << 18
-SHARD_BYTES = 8 << 20
-DOCS_PER_SHARD = 20_000
+SHARD_BYTES = 4 << 20
+DOCS_PER_SHARD = 5_000
 BITS_PER_KEY = 10
 HASHES = 7
 
