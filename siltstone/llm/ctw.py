@@ -38,12 +38,17 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join(words) + b" \n" if words else _END
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """For each byte of streams that follow each other: the DEPTH bytes before it and itself as one number. A line feed comes before the first."""
-    padded = np.concatenate([np.full(DEPTH, 10, np.uint8), data])
+def grams(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each byte of streams that follow each other: the DEPTH bytes before it and itself as one number.
+
+    Before a stream's first byte are line feeds, whatever stream stands before it.
+    """
+    place = np.arange(len(data)) + np.repeat(np.arange(1, len(sizes) + 1) * DEPTH, sizes)
+    padded = np.full(len(data) + DEPTH * len(sizes), 10, np.uint8)
+    padded[place] = data
     key = np.zeros(len(data), np.int64)
-    for k in range(DEPTH + 1):
-        key = key << 8 | padded[k : k + len(data)]
+    for k in range(-DEPTH, 1):
+        key = key << 8 | padded[place + k]
     return key
 
 
@@ -189,7 +194,8 @@ def _batches(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFra
                 for b in range(1, len(some) + 1):
                     n += len(some[b - 1][0])
                     if n >= _STEP or b == len(some):
-                        keys.append(grams(np.frombuffer(b"".join(s for s, _ in some[a:b]), np.uint8)))
+                        part = [s for s, _ in some[a:b]]
+                        keys.append(grams(np.frombuffer(b"".join(part), np.uint8), np.array([len(s) for s in part])))
                         a, n = b, 0
                 for k in keys:
                     u, c = np.unique(k, return_counts=True)
@@ -252,7 +258,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
             while a < n:
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else at) + _STEP, "right")))
                 lo, hi = int(ends[a] - sizes[a]), int(ends[b - 1])
-                codes = value[np.searchsorted(key, grams(np.frombuffer(data, np.uint8, hi - lo, lo)))]
+                codes = value[np.searchsorted(key, grams(np.frombuffer(data, np.uint8, hi - lo, lo), sizes[a:b]))]
                 scores = np.add.reduceat(codes, ends[a:b] - sizes[a:b] - lo)
                 for k in range(a, b):
                     words = data[ends[k] - sizes[k] : ends[k]].split()
