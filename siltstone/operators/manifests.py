@@ -71,3 +71,20 @@ def contract(parameters: Mapping[str, Any], datasets: Mapping[str, Mapping[str,
     body = dict(parameters) | {"datasets": {k: {f: v for f, v in d.items() if f != "path"} for k, d in datasets.items()}}
     text = json.dumps(body, ensure_ascii=False, sort_keys=True)
     return body | {"evaluation_contract_sha256": hashlib.sha256(text.encode()).hexdigest()}
+
+
+#: Names of files that hold metrics.
+METRIC_FILES = ("metrics.json", "train_results.json", "eval_results.json", "all_results.json")
+
+
+def metric_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """path and content of the metric files under a folder that are JSON objects; others are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    named = files.select("path", F.col("content").cast("string").alias("payload")).filter(F.element_at(F.split("path", "/"), -1).isin(*METRIC_FILES))
+    return named.filter(F.trim("payload").startswith("{") & F.try_parse_json("payload").isNotNull())
+
+
+def latest_checkpoint(names: list[str], prefix: str = "checkpoint-") -> str | None:
+    """The name with the largest number after the prefix."""
+    numbered = [(int(n.removeprefix(prefix)), n) for n in names if n.startswith(prefix) and n.removeprefix(prefix).isdigit()]
+    return max(numbered)[1] if numbered else None
