@@ -61,13 +61,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``table_path`` named."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def shards(rows: int, per_shard: int) -> int:
     """Number of parts of about ``per_shard`` rows; one at least."""
     return max(1, math.ceil(rows / per_shard))
