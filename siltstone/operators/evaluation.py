@@ -17,8 +17,12 @@ GROUP = ["dataset", "protocol"]
 REPEATED = 0.20
 
 
-def _with(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
-    return df.join(other, by) if by else df.crossJoin(other)  # one row each side
+def beside(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of two summaries of the same groups in one row."""
+    if by:
+        return df.join(other, by)
+    one = F.lit(0).alias("__one")  # one row each side
+    return df.select("*", one).join(other.select("*", one), "__one").drop("__one")
 
 
 def length_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -27,7 +31,7 @@ def length_summary(df: DataFrame, value: str, by: list[str] | None = None) -> Da
     aggs = [F.coalesce(F.min(value), F.lit(0)).cast("long").alias("min"), F.coalesce(F.round(F.avg(value), 2), F.lit(0.0)).alias("mean"), F.coalesce(F.max(value), F.lit(0)).cast("long").alias("max")]
     base = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     ranks = rank_percentiles(df, value, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, by)
-    return _with(base, ranks, by).select(*by, "min", "mean", *(F.coalesce(p, F.lit(0)).cast("long").alias(p) for p in ("p50", "p95", "p99")), "max")
+    return beside(base, ranks, by).select(*by, "min", "mean", *(F.coalesce(p, F.lit(0)).cast("long").alias(p) for p in ("p50", "p95", "p99")), "max")
 
 
 def prediction_summary(p: DataFrame, by: list[str] = GROUP) -> DataFrame:

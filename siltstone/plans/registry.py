@@ -440,7 +440,7 @@ def _(spark, d):
 
     t = chats(spark, d).filter("question IS NOT NULL AND response IS NOT NULL").select(T.token_count(F.col("question")).alias("p"), T.token_count(F.col("response")).alias("s")).withColumn("v", F.col("p") + F.col("s"))
     base = t.agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("min_input_tokens"), F.round(F.avg("v"), 2).alias("mean_input_tokens"), F.max("v").alias("max_input_tokens"), F.min("s").alias("min_supervised_tokens"), F.round(F.avg("s"), 2).alias("mean_supervised_tokens"), F.max("s").alias("max_supervised_tokens"), F.count_if(F.col("v") > 1536).alias("truncated_rows"), F.count_if(F.col("s") <= 0).alias("empty_completion_rows"))
-    return base.crossJoin(rank_percentiles(t, "v", {"p95_input_tokens": 0.95}, half_even=True))  # one row each
+    return E.beside(base, rank_percentiles(t, "v", {"p95_input_tokens": 0.95}, half_even=True), [])
 
 
 @query("generation_diagnostics", f"""WITH {_SECTIONS}, r AS (SELECT raw LIKE '%## Thinking%## Final Response%' AS ok, contains(raw, '## Final Response') AND trim(section, ' ' || chr(10)) <> '' AS full_, length(raw) > 4000 AS hit FROM f)
