@@ -16,7 +16,7 @@ WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MAX_HASHES = 160
-BLOCK = 1500  # members of a bucket that are compared with each other, or with another block, in one go
+BLOCK = 300  # members of a bucket that are compared with each other, or with another block, in one go
 BROADCAST_ROWS = 100_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
