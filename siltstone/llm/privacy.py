@@ -14,6 +14,7 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_TEXTS = 3  # distinct texts that must have a term together with an entity
 DISCLOSURE = 0.9  # share of an entity's information content that a term may reveal
 BROADCAST_ROWS = 100_000
+PRUNE = 16  # part of the other texts that rules out common terms before the full count
 
 #: Each kind's pattern. They match what the plain patterns of the contract match, leftmost first: possessive repeats never give
 #: back what a later part needs, and a match starts inside a run of its own characters only right after the match before it.
@@ -113,8 +114,9 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", min_texts: int = MIN
 
     With p over distinct texts, a term t reveals an entity e when PMI(t; e) >= ``disclosure`` * IC(e), that is
     p(e | t) >= p(e) ** (1 - ``disclosure``), and at least ``min_texts`` distinct texts have both. An entity's documents are
-    written once with their terms; candidates that can't reach the threshold even among those texts are dropped exactly, so that
-    only rare terms are counted over the whole corpus. Copies of a text count once everywhere.
+    written once with their terms. A count over any part of the corpus is at most the count over all of it, so a candidate that
+    already fails among those texts, or among them and a ``PRUNE``-th of the others, fails for good: only the rare rest is counted
+    over the whole corpus. Copies of a text count once everywhere.
     """
     key = F.xxhash64(text_col).alias("text_key")
     found = docs.select(key, F.col(text_col).alias("text"), base_spans(F.col(text_col)).alias("spans")).filter(F.size("spans") > 0)
@@ -129,11 +131,19 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", min_texts: int = MIN
     among = uses.groupBy("term").agg(F.count(F.lit(1)).alias("n_among"))
     both = uses.join(with_entity, "text_key").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e")).filter(F.col("n_te") >= min_texts)
     least = F.pow(F.col("n_e") / F.lit(float(max(1, texts))), F.lit(1 - disclosure))
-    likely = common.materialise(both.join(among, "term").filter(F.col("n_te") / F.col("n_among") >= least).select("term", "entity", "n_te", "n_e"), "likely")
-    wanted = common.materialise(likely.select("term").distinct(), "wanted")
-    everywhere = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(_WORD), F.lit(0)))).alias("term"))
-    n_t = everywhere.join(_checked(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    links = common.materialise(likely.join(n_t, "term").filter(F.col("n_te") / F.greatest("n_t", "n_te") >= least).select("entity", "term"), "links")
+    likely = common.materialise(both.join(among, "term").filter(F.col("n_te") / F.col("n_among") >= least), "likely")
+
+    def texts_with(terms: DataFrame, some: DataFrame) -> DataFrame:
+        wanted = common.materialise(terms.select("term").distinct(), "wanted")
+        each = some.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
+        return each.join(_checked(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+
+    corpus = docs.select(key, F.col(text_col).alias("text"))
+    others = corpus.filter(F.pmod("text_key", F.lit(PRUNE)) == 0).join(_checked(keys), "text_key", "left_anti")
+    seen = likely.join(texts_with(likely, others), "term", "left")
+    rare = common.materialise(seen.filter(F.col("n_te") / (F.col("n_among") + F.coalesce("n_t", F.lit(0))) >= least).drop("n_t"), "rare")
+    n_t = texts_with(rare, corpus)
+    links = common.materialise(rare.join(n_t, "term").filter(F.col("n_te") / F.greatest("n_t", "n_te") >= least).select("entity", "term"), "links")
     return with_entity.join(_checked(links), "entity").groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
