@@ -30,7 +30,7 @@ FOLDS = 10
 BATCH_BYTES = 32 << 20
 ROWS_PER_PART = 400_000
 _END = b"\n"
-_STEP = 4 << 20
+_STEP = 1 << 20
 _WORD_BIT = np.uint64(1 << 63)
 
 
@@ -244,8 +244,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     floor = math.log10(train_tokens + 0.1 * (distinct + 1))
 
     def apply(known, packed):
-        order = np.argsort(key := known["key"].to_numpy())
-        key, value = key[order], known["value"].to_numpy()[order]
+        key, value = known["key"].to_numpy(), known["value"].to_numpy()
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+        del known, order
         out: list[list] = [[] for _ in range(7)]
         for blob in packed["blob"].to_pylist():
             data = zstandard.ZstdDecompressor().decompress(blob)
