@@ -11,7 +11,7 @@ from . import common
 from .native import let, total
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_TEXTS = 3  # distinct texts that must have a term together with an entity
+PRIOR = 0.5  # weight, in texts, of an entity's overall share in its share among the texts of a term
 DISCLOSURE = 0.9  # share of an entity's information content that a term may reveal
 BROADCAST_ROWS = 100_000
 PRUNE = 16  # part of the other texts that rules out common terms before the full count
@@ -109,14 +109,16 @@ def _checked(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
-def disclosures(docs: DataFrame, *, text_col: str = "text", min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosures(docs: DataFrame, *, text_col: str = "text", prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
     """Per text (64-bit hash) with protected entities: the terms that reveal one of them.
 
     With p over distinct texts, a term t reveals an entity e when PMI(t; e) >= ``disclosure`` * IC(e), that is
-    p(e | t) >= p(e) ** (1 - ``disclosure``), and at least ``min_texts`` distinct texts have both. An entity's documents are
-    written once with their terms. A count over any part of the corpus is at most the count over all of it, so a candidate that
-    already fails among those texts, or among them and a ``PRUNE``-th of the others, fails for good: only the rare rest is counted
-    over the whole corpus. Copies of a text count once everywhere.
+    p(e | t) >= p(e) ** (1 - ``disclosure``). Every entity is measured, those of a single text too: p(e | t) is smoothed as
+    (n_te + ``prior`` * p(e)) / (n_t + ``prior``), so that few texts weigh less than many. Entities of equal sets of texts
+    have equal terms and are measured once. An entity's documents are written once with their terms. A count over any part of the
+    corpus is at most the count over all of it, so a candidate that already fails among those texts, or among them and a
+    ``PRUNE``-th of the others, fails for good: only the rare rest is counted over the whole corpus. Copies of a text count once
+    everywhere.
     """
     key = F.xxhash64(text_col).alias("text_key")
     found = docs.select(key, F.col(text_col).alias("text"), base_spans(F.col(text_col)).alias("spans")).filter(F.size("spans") > 0)
@@ -124,14 +126,19 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", min_texts: int = MIN
     held = common.materialise(found.select("text_key", entity.alias("entities"), _terms(F.col("text")).alias("terms")), "entities")
     texts = docs.select(key).distinct().count()
     pairs_of = held.select("text_key", F.explode("entities").alias("entity")).distinct()
-    frequent = common.materialise(pairs_of.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= min_texts), "frequent")
-    with_entity = common.materialise(pairs_of.join(_checked(frequent), "entity"), "with_entity")
-    keys = common.materialise(with_entity.select("text_key").distinct(), "keys")
-    uses = common.materialise(held.join(_checked(keys), "text_key").select("text_key", F.explode("terms").alias("term")).distinct(), "uses")
+    sets = pairs_of.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor("text_key").alias("x"), F.bit_xor(F.xxhash64("text_key")).alias("y"))
+    measured = common.materialise(sets.groupBy("n_e", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "measured")
+    with_entity = common.materialise(pairs_of.join(_checked(measured), "entity"), "with_entity")
+    keys = common.materialise(held.select("text_key").distinct(), "keys")
+    uses = common.materialise(held.select("text_key", F.explode("terms").alias("term")).distinct(), "uses")
     among = uses.groupBy("term").agg(F.count(F.lit(1)).alias("n_among"))
-    both = uses.join(with_entity, "text_key").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e")).filter(F.col("n_te") >= min_texts)
-    least = F.pow(F.col("n_e") / F.lit(float(max(1, texts))), F.lit(1 - disclosure))
-    likely = common.materialise(both.join(among, "term").filter(F.col("n_te") / F.col("n_among") >= least), "likely")
+    both = uses.join(with_entity, "text_key").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"))
+    share = F.col("n_e") / F.lit(float(max(1, texts)))
+
+    def reveals(n_t: Column) -> Column:
+        return (F.col("n_te") + prior * share) / (n_t + F.lit(prior)) >= F.pow(share, F.lit(1 - disclosure))
+
+    likely = common.materialise(both.join(among, "term").filter(reveals(F.col("n_among"))), "likely")
 
     def texts_with(terms: DataFrame, some: DataFrame) -> DataFrame:
         wanted = common.materialise(terms.select("term").distinct(), "wanted")
@@ -141,20 +148,20 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", min_texts: int = MIN
     corpus = docs.select(key, F.col(text_col).alias("text"))
     others = corpus.filter(F.pmod("text_key", F.lit(PRUNE)) == 0).join(_checked(keys), "text_key", "left_anti")
     seen = likely.join(texts_with(likely, others), "term", "left")
-    rare = common.materialise(seen.filter(F.col("n_te") / (F.col("n_among") + F.coalesce("n_t", F.lit(0))) >= least).drop("n_t"), "rare")
+    rare = common.materialise(seen.filter(reveals(F.col("n_among") + F.coalesce("n_t", F.lit(0)))).drop("n_t"), "rare")
     n_t = texts_with(rare, corpus)
-    links = common.materialise(rare.join(n_t, "term").filter(F.col("n_te") / F.greatest("n_t", "n_te") >= least).select("entity", "term"), "links")
+    links = common.materialise(rare.join(n_t, "term").filter(reveals(F.greatest("n_t", "n_te"))).select("entity", "term"), "links")
     return with_entity.join(_checked(links), "entity").groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def find(docs: DataFrame, *, text_col: str = "text", min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE, into: str = "spans", keep: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, *, text_col: str = "text", prior: float = PRIOR, disclosure: float = DISCLOSURE, into: str = "spans", keep: list[str] | None = None) -> DataFrame:
     """Documents (columns in ``keep``, default all) with all spans: pattern matches, and kind ``term`` for revealing terms.
 
     A term's spans are its occurrences, as a whole word in any case, in the texts of the entity that it reveals, outside pattern
     matches. Null and empty texts have none; copies of a text have equal spans; rows of any id stay. An empty table gives none.
     """
     columns = [c for c in (keep if keep is not None else docs.columns) if c != into]
-    terms = common.materialise(disclosures(docs, text_col=text_col, min_texts=min_texts, disclosure=disclosure), "terms").withColumnsRenamed({"text_key": "__key", "terms": "__terms"})
+    terms = common.materialise(disclosures(docs, text_col=text_col, prior=prior, disclosure=disclosure), "terms").withColumnsRenamed({"text_key": "__key", "terms": "__terms"})
     joined = docs.select(*columns, F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__key")).join(_checked(terms), "__key", "left")
 
     def whole(base: Column) -> Column:

@@ -419,6 +419,14 @@ def test_revealing_terms(spark):
     assert privacy.find(table(spark, [])).count() == 0
 
 
+def test_entities_of_one_text_are_measured(spark):
+    texts = [f"{prose(i, 25)} nothing private in here" for i in range(150)]
+    texts += [f"{prose(500, 20)} Quillfeather in here private bob@example.org in 10.1.2.3 {prose(501, 5)}"] + [f"{prose(502, 20)} Zanderloot nothing eve@example.org here"] * 40 + [f"{prose(503 + i, 9)} Commonish" for i in range(30)]
+    texts += [f"{prose(600, 9)} Commonish in joe@example.org"]
+    found = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "term"] for r in privacy.find(table(spark, texts)).collect()}
+    assert found[150] == ["Quillfeather"] and all(found[i] == ["Zanderloot"] for i in range(151, 191)) and not any(found[i] for i in [*range(150), *range(191, 222)])
+
+
 # ---- 10
 
 
