@@ -5,7 +5,7 @@ each has a tree of contexts, the last 0 to ``DEPTH`` bytes. A node's Krichevsky-
 weighted by one half (a leaf has its estimate alone), so that the probability of a byte mixes the estimates of all depths of its
 context. The counts are those of the training texts, then fixed: below the deepest context that was seen the mixture ends.
 
-All that a text's score needs are the distinct 5-grams of bytes (context and byte) and words of its batch, so texts never meet the
+All that a text's score needs are the distinct 7-grams of bytes (context and byte) and words of its batch, so texts never meet the
 model: each batch's distinct keys go to the counts and the log-probabilities come back.
 """
 
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH = 4
+DEPTH = 6  # a context and its byte are 56 bits of a key, whose sign bit marks words
 FOLDS = 10
 BATCH_BYTES = 32 << 20
 ROWS_PER_PART = 400_000
+CHUNK_ROWS = 200_000  # rows of one bucket whose nodes are in memory at a time
+MERGE_ROWS = 2_000_000  # keys of a batch's parts that are merged when there are so many
 _END = b"\n"
 _STEP = 1 << 20
 _WORD_BIT = np.uint64(1 << 63)
@@ -112,7 +114,7 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def levels(key: np.ndarray, n: np.ndarray, least: int) -> list[Level]:
-    """Nodes of depths DEPTH down to ``least`` from 5-gram counts; the contexts share no node with other calls' at these depths."""
+    """Nodes of depths DEPTH down to ``least`` from n-gram counts; the contexts share no node with other calls' at these depths."""
     on = n > 0
     key, n = key[on], n[on].astype(float)
     out: list[Level] = []
@@ -137,11 +139,32 @@ def _ready(batches) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables])
 
 
+def _chunks(key: np.ndarray, n: np.ndarray):
+    """Rows by their context's last three bytes, about ``CHUNK_ROWS`` at a time; equal ones stay together."""
+    suffix = key >> 8 & 0xFFFFFF
+    order = np.argsort(suffix, kind="stable")
+    suffix, a = suffix[order], 0
+    while a < len(order):
+        b = int(np.searchsorted(suffix, suffix[min(a + CHUNK_ROWS, len(order)) - 1], "right"))
+        yield key[order[a:b]], n[order[a:b]]
+        a = b
+
+
+def _two(key: np.ndarray, n: np.ndarray) -> Level:
+    """The nodes of depth two of a task's rows."""
+    sums: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), *[np.zeros(0)] * 3)]
+    for k, m in _chunks(key, n):
+        three = levels(k, m, 3)[-1]
+        sums.append(_sum_by((three.keys >> 8 & 0xFFFF) << 8 | three.keys & 255, three.a, three.b, three.log_pw))
+    return Level(*_sum_by(*(np.concatenate(c) for c in zip(*sums))))
+
+
 def train(counts: DataFrame) -> DataFrame:
-    """key, log10 of the byte's probability, for every 5-gram of ``counts`` (key, n), those with n = 0 too.
+    """key, log10 of the byte's probability, for every 7-gram of ``counts`` (key, n), those with n = 0 too.
 
-    Rows meet by their context's last two bytes: all nodes of depth two and more are whole in one task (a bucket has 2**24 rows at
-    most). The nodes of depth one, 2**16 at most, come to the driver as sums and go out with the root's.
+    Rows meet by their context's last two bytes: all nodes of depth two and more are whole in one task. A task holds its rows (two
+    numbers each) and works on chunks of them that share no node of depth three or more. The nodes of depth one, 2**16 at most,
+    come to the driver as sums and go out with the root's.
     """
     counts = common.materialise(counts.select("key", "n"), "grams")
     parts = common.shards(counts.count(), ROWS_PER_PART)
@@ -149,7 +172,7 @@ def train(counts: DataFrame) -> DataFrame:
 
     def climb(batches):
         key, n = _ready(batches)
-        two = levels(key, n, 2)[-1]
+        two = _two(key, n)
         nodes, a, b, below = _sum_by((two.keys >> 8 & 255) << 8 | two.keys & 255, two.a, two.b, two.log_pw)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(a), pa.array(b), pa.array(below)], names=["node", "a", "b", "below"])
 
@@ -160,14 +183,16 @@ def train(counts: DataFrame) -> DataFrame:
 
     def descend(batches):
         key, n = _ready(batches)
-        below = levels(key, n, 2)
-        total = np.zeros(len(key))
-        for t, bit in _decisions(key & 255):
-            p, seen = np.full(len(key), 0.5), np.zeros(len(key), bool)
-            for d, level in zip(range(DEPTH, -1, -1), [*below, one, root]):
-                p, seen = level.mix((key >> 8 & (1 << 8 * d) - 1) << 8 | t, bit, p, seen)
-            total += np.log10(p)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(total)], names=["key", "value"])
+        two = _two(key, n)
+        for k, m in _chunks(key, n):
+            below = levels(k, m, 3)
+            total = np.zeros(len(k))
+            for t, bit in _decisions(k & 255):
+                p, seen = np.full(len(k), 0.5), np.zeros(len(k), bool)
+                for d, level in zip(range(DEPTH, -1, -1), [*below, two, one, root]):
+                    p, seen = level.mix((k >> 8 & (1 << 8 * d) - 1) << 8 | t, bit, p, seen)
+                total += np.log10(p)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total)], names=["key", "value"])
 
     return placed.mapInArrow(descend, "key long, value double")
 
@@ -180,6 +205,10 @@ def _batches(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFra
         held: list = []
         size = 0
 
+        def merged(found):
+            key, n = _sum_by(np.concatenate([u for u, _ in found]), np.concatenate([c for _, c in found]))
+            return key, n.astype(np.int64)
+
         def flush():
             batch = int.from_bytes(os.urandom(8), "little", signed=True)
             ids, outs, streams = zip(*((i, o, s) for i, o, s, _ in held))
@@ -187,21 +216,25 @@ def _batches(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFra
             head = struct.pack("<q", len(ids)) + np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([k + 2 * o for k, o in zip(known, outs)], np.uint8).tobytes() + np.array([len(s) for s in streams], "<i8").tobytes()
             blob = packer.compress(head + b"".join(streams))
             found = []
+
+            def add(keys, out):
+                u, c = np.unique(keys, return_counts=True)
+                found.append((u, np.zeros(len(u), np.int64) if out else c))
+                if sum(len(u) for u, _ in found[1:]) >= MERGE_ROWS:
+                    found[:] = [merged(found)]
+
             for out in (False, True):
                 some = [(s, w) for _, o, s, w in held if o == out]
-                keys = [np.concatenate([w for _, w in some])] if some else []
+                if some:
+                    add(np.concatenate([w for _, w in some]), out)
                 a, n = 0, 0
                 for b in range(1, len(some) + 1):
                     n += len(some[b - 1][0])
                     if n >= _STEP or b == len(some):
                         part = [s for s, _ in some[a:b]]
-                        keys.append(grams(np.frombuffer(b"".join(part), np.uint8), np.array([len(s) for s in part])))
+                        add(grams(np.frombuffer(b"".join(part), np.uint8), np.array([len(s) for s in part])), out)
                         a, n = b, 0
-                for k in keys:
-                    u, c = np.unique(k, return_counts=True)
-                    found.append((u, np.zeros(len(u), np.int64) if out else c))
-            key, n = _sum_by(np.concatenate([u for u, _ in found]), np.concatenate([c for _, c in found]))
-            n = n.astype(np.int64)
+            key, n = merged(found)
             shape = ["batch", "key", "n", "blob"]
             yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], names=shape)
             for a in range(0, len(key), 100_000):

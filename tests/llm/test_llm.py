@@ -173,6 +173,23 @@ def test_context_trees(spark):
     assert len(odd) == len(ODD) and all(r["score"] < 0 for r in odd)
 
 
+def test_contexts_reach_beyond_a_word(spark, monkeypatch):
+    rng = random.Random(8)
+    # The byte after "abcd " depends on the byte six before it alone.
+    texts = [" ".join(rng.choice(["xabcd p", "yabcd q"]) for _ in range(40)) for _ in range(60)]
+    rows = ctw.score(table(spark, texts)).collect()
+    streams = [ctw.stream(common.space_words(t)) for t in texts]
+    train = [s for i, s in enumerate(streams) if zlib.crc32(str(i).encode()) % 10]
+    brute = ctw_brute(train, streams, depth=6)
+    assert all(abs(r["score"] - brute[r["doc_id"]]) < 1e-6 * abs(r["score"]) for r in rows)
+    assert all(r["bits_per_byte"] < 0.19 for r in rows if r["held_out"])
+    key, n = np.unique(np.concatenate([ctw.grams(np.frombuffer(s, np.uint8), np.array([len(s)])) for s in (ctw.stream(common.space_words(prose(i, 50))) for i in range(20))]), return_counts=True)
+    whole = ctw.levels(key, n, 2)[-1]
+    monkeypatch.setattr(ctw, "CHUNK_ROWS", 50)
+    two = ctw._two(key, n)
+    assert (two.keys == whole.keys).all() and (two.a == whole.a).all() and (two.b == whole.b).all() and np.allclose(two.log_pw, whole.log_pw)
+
+
 # ---- 4
 
 
