@@ -41,11 +41,11 @@ def nfkc(text: pd.Series) -> pd.Series:
 def normalize(text: Column, compatibility: bool = False) -> Column:
     """Lower-cased letters and digits of any script, nothing else.
 
-    ``compatibility`` first takes the NFKC form of texts that are not all ASCII; without it the expression stays in the JVM.
+    ``compatibility`` first takes the NFKC form of texts that are not all ASCII, as the audit's and the deduplication's operators do; without it the expression stays in the JVM.
     """
     text = F.coalesce(text, F.lit("None"))
     if compatibility:
-        text = F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
+        text = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 

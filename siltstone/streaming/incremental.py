@@ -16,7 +16,7 @@ from ..operators import audit as A
 
 def deduplicated(stream: DataFrame, *, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """The first row of each normalized text within the watermark; state older than the watermark is dropped."""
-    keyed = stream.withColumn("text_key", F.sha2(normalize(F.col("text")), 256))
+    keyed = stream.withColumn("text_key", F.sha2(normalize(F.col("text"), compatibility=True), 256))
     return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["text_key"]).drop("text_key")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,18 @@ def test_audit_empty_sides_and_blocks(spark):
     assert one[0]["reference_id"] == many[0]["reference_id"] == "r7" and [round(c["cosine"], 9) for c in one] == [round(c["cosine"], 9) for c in many]
 
 
+def test_compatibility_forms_are_equal(spark):
+    plain = "caf\u00e9 of\u00fcr fine first-line therapy of acute bacterial meningitis in adults and in small children"
+    wide = "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in plain)
+    forms = [plain, wide, unicodedata.normalize("NFD", plain), plain.replace("fi", "\ufb01")]
+    r = spark.createDataFrame([("r", "r", plain)], RECORD)
+    q = spark.createDataFrame([(f"q{i}", "q", t) for i, t in enumerate(forms)] + [("n", "q", None)], RECORD)
+    assert sorted(x["query_id"] for x in A.exact_matches(q, r).collect()) == sorted(x["query_id"] for x in A.spans_everywhere(q, r).collect()) == ["q0", "q1", "q2", "q3"]
+    near = audit_rows(spark, [t + " today" for t in forms], [plain])
+    assert [(round(x["tfidf_cosine"], 9), x["decision"]) for x in near] == [(round(near[0]["tfidf_cosine"], 9), near[0]["decision"])] * 4 and near[0]["decision"] != "clean"
+    assert [x["id"] for x in C.retained(q).orderBy("id").collect()] == ["n", "q0"] and C.duplicate_count(q).first()[0] == 3
+
+
 def test_spans_everywhere_finds_unaligned_spans(spark):
     shared = "".join(chr(97 + (i * i + 3 * i) % 26) for i in range(64))
     q = spark.createDataFrame([("a", "s", "x" * 17 + shared + "tail"), ("b", "s", "x" * 17 + shared[:63] + "0")], RECORD)
