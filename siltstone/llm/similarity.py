@@ -258,10 +258,11 @@ def _linked(docs: DataFrame, signed: DataFrame, *, text_col: str, words: int, si
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """A row for each document: doc_id, text_key, class_id, n_links, n_copies.
+    """A row for each document: doc_id, text_key, class_id, n_links, n_copies, class_key.
 
     Documents with equal n-gram sets are one node; ``n_copies`` is their number and ``n_links`` the number of other nodes with a
-    Jaccard similarity of ``similarity`` or more. Linked nodes are a class, named by its smallest doc_id.
+    Jaccard similarity of ``similarity`` or more. Linked nodes are a class, named by its smallest doc_id; ``class_key`` tells
+    classes apart where ids repeat, and is null for a text that is alone.
 
     MinHash bands (``choose_bands``) are shuffled alone at first; only buckets of two or more nodes go on. A large bucket is cut
     into blocks, and pairs of blocks are compared, so that no task holds more than two blocks. A pair is verified on its full
@@ -280,9 +281,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     known = copies.join(links, "node", "left").join(labels, "node", "left").filter((F.col("n_copies") > 1) | F.col("n_links").isNotNull()).withColumn("label", F.coalesce("label", "node"))
     known = common.materialise(known, "known")
     classes = known.groupBy("label").agg(F.min("least").alias("class_id"))
-    table = common.materialise(known.join(classes, "label").select("node", F.coalesce("n_links", F.lit(0)).alias("links"), "n_copies", "class_id"), "classes")
+    table = common.materialise(known.join(classes, "label").select("node", F.coalesce("n_links", F.lit(0)).alias("links"), "n_copies", "class_id", F.col("label").alias("class_key")), "classes")
     out = signed.select("doc_id", "text_key", "node", "n").join(_checked(table).withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", "text_key", F.when(F.col("__node").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    return out.select("doc_id", "text_key", F.when(F.col("__node").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "class_key")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -292,8 +293,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     found = common.materialise(join(docs, id_col=id_col, text_col=text_col, **more), "join")
     multi = found.filter((F.col("n_copies") > 1) | (F.col("n_links") > 0)).filter(F.col("class_id").isNotNull())
-    best = multi.filter(F.col("doc_id") == F.col("class_id")).groupBy("class_id").agg(F.min("text_key").alias("best_key"), F.count(F.lit(1)).alias("rows"))
-    marked = multi.join(best, "class_id")
+    best = multi.filter(F.col("doc_id") == F.col("class_id")).groupBy("class_key").agg(F.min("text_key").alias("best_key"), F.count(F.lit(1)).alias("rows"))
+    marked = multi.join(best, "class_key")
     acts = marked.groupBy("doc_id", "text_key").agg(F.max(F.when((F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("best_key")), F.col("rows")).otherwise(0)).alias("__rows")).filter(F.col("__rows") != 1)
     acts = common.materialise(acts.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), "acts")
     joined = docs.join(_checked(acts), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left")

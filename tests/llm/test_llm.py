@@ -299,6 +299,12 @@ def test_similarity(spark):
     assert similarity.join(docs.limit(0)).count() == 0 and similarity.keep_one(docs.limit(0)).count() == 0
 
 
+def test_classes_that_share_an_id_keep_one_each(spark):
+    one, two = near_copies(31, 2), near_copies(32, 2)
+    kept = similarity.keep_one(table(spark, [*one, *two], [1, 2, 1, 3])).collect()
+    assert sorted(r["text"] for r in kept) == sorted([one[0], two[0]])
+
+
 def test_bands_reach_the_recall():
     for s, r in ((0.8, 0.999), (0.9, 0.99), (0.5, 0.95)):
         bands, rows = similarity.choose_bands(s, r)
