@@ -33,7 +33,8 @@ class Encoder:
     """``encode(texts)`` gives the ids of each text as little-endian 32-bit bytes; null and empty texts have none.
 
     Every id comes from the tokenizers library. Texts repeat words, so the ids of words are kept (a bounded number of them), and
-    new words are encoded together: the byte lengths of the ids tell where each ends. Special tokens' strings count as ordinary text.
+    new words are encoded together: the byte lengths of the ids tell where each ends. A text with an added token's string goes to the
+    library as a whole.
     """
 
     def __init__(self, vocabulary: str | None = None):
@@ -41,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary or default_vocabulary())
-        self.tokenizer.encode_special_tokens = True
+        added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd, self.alien = (f"{_ODD}|{added}", re.compile(f"{_ALIEN.pattern}|{added}")) if added else (_ODD, _ALIEN)
         words = self.tokenizer.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(max(words.values()) + 1, np.int64)  # a byte-level vocabulary writes each byte as one character
         for word, i in words.items():
@@ -105,7 +107,7 @@ class Encoder:
         return out
 
     def _odd(self, text: str) -> bytes:
-        if _ALIEN.search(text):
+        if self.alien.search(text):
             return self._whole(text)
         keys = [w if w == "\n" else w[1:] if w[0] == " " and w != " \n" else _BARE + w for w in _PART.findall(text)]
         ids = dict(zip(words := list(dict.fromkeys(keys)), self._keyed(words)))
@@ -130,7 +132,7 @@ class Encoder:
         out: list[bytes] = []
         for a, b in few(texts, _CHUNK):
             some = pa.array(texts[a:b], pa.string())
-            odd = pc.fill_null(pc.match_substring_regex(some, _ODD), True)
+            odd = pc.fill_null(pc.match_substring_regex(some, self.odd), True)
             even = iter(self._many(some.filter(pc.invert(odd))))
             out += [(self._odd(text) if text else b"") if special else next(even) for text, special in zip(texts[a:b], odd.to_pylist())]
         return out

@@ -42,6 +42,13 @@ def test_byte_pairs_are_those_of_the_library():
     assert [x for x in e.encode(texts)] == [e._whole(t) if t else b"" for t in texts]
 
 
+def test_added_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    plain, texts = Tokenizer.from_file(bpe.default_vocabulary()), ["a <|endoftext|> b", "x<|endoftext|>y z", "<|endoftext|>", "a\n\n<|endoftext|>", "a <|endoftext b"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder().encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # ---- 1
 
 
