@@ -88,7 +88,13 @@ class ShardWriter:
         if self.entries:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
-        body = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.width == 2 else ids
+        if self.width == 2:
+            wide = np.frombuffer(ids, "<u4")
+            if wide.max(initial=0) > 0xFFFF:
+                raise ValueError(f"id {wide.max()} doesn't fit in 2 bytes; use width=4")
+            body = wide.astype("<u2").tobytes()
+        else:
+            body = ids
         self.entries.append(b"".join((_varint(shared), _varint(len(key) - shared), key[shared:], _varint(len(ids) // 4), body)))
         self.keys.append(key)
         self.last, self.n_ids, self.held = key, self.n_ids + len(ids) // 4, self.held + len(body)
@@ -174,7 +180,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
     Rows are range-partitioned by (id, hash of the text), so that equal ids don't meet in one task, and sorted within; each task
     cuts its rows into shards of at most about ``SHARD_BYTES``. A shard is a file: Spark's own committer writes it, to any file
-    system, so a lost or repeated task leaves no half file. ``width``: bytes of an id, 2 or 4. Null text: the end id alone; a null
+    system, so a lost or repeated task leaves no half file. ``width``: bytes of an id, 2 or 4; an id that doesn't fit raises. Null text: the end id alone; a null
     id sorts first. Repeated ids all stay. An empty table gives no shards.
     """
 

@@ -400,6 +400,16 @@ def test_shard_blocks_and_bloom():
     assert [sstable.id_of(k) for k, _, _ in shard.scan()] == list(range(0, 40, 2))
 
 
+def test_ids_that_do_not_fit_raise():
+    ids = np.array([1, 65_535, 70_000], "<u4")
+    with pytest.raises(ValueError):
+        sstable.ShardWriter(2).add(sstable.key_of(1), ids.tobytes())
+    for width, some in ((4, ids), (2, ids[:2]), (2, ids[:0])):
+        writer = sstable.ShardWriter(width)
+        writer.add(sstable.key_of(1), some.tobytes())
+        assert sstable.Shard(writer.finish()).get(sstable.key_of(1)) == [some.tobytes()]
+
+
 # ---- 9
 
 PLAIN = {
