@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -62,15 +64,45 @@ def write_report(path: str | Path, content: dict | str) -> None:
     os.replace(temporary, path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that the cluster shares (spark.checkpoint.dir) and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the session names none, a local session takes a temporary folder and keeps it in that setting; on a cluster this raises,
+    since other machines would not see what one of them writes.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/siltstone-{name}-{next(_counter)}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/siltstone-{re.sub(r'[^A-Za-z0-9_]', '_', name)}-{next(_counter)}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write to the folder that the cluster shares and read back: cuts lineage, survives lost executors."""
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """For each name a column name that ``df`` doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def checked(small: DataFrame, most: int = 100_000) -> DataFrame:
+    """A written table as the side of a join: broadcast up to ``most`` rows, else left to a shuffle."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
