@@ -19,6 +19,8 @@ _PART = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Letters that the pre-tokenizer takes in one piece when no other non-ASCII character follows.
 _STEM = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7f])")
 _BARE = "\x1d"  # marks a part without a space before it
+#: ASCII punctuation and digits at a word's end: the pre-tokenizer always splits between a letter and them.
+_TAIL = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-@\\[-`{-~]+)( |$)"
 _MOST = 500_000  # words kept
 _CHUNK = 1 << 21  # characters encoded at a time
 
@@ -116,6 +118,7 @@ class Encoder:
     def _many(self, texts: pa.Array) -> list[bytes]:
         """Texts without odd white space: split, and each distinct part looked up once."""
         marked = pc.binary_join_element_wise(_BARE, pc.replace_substring(texts, "\n", " \n " + _BARE), "")
+        marked = pc.replace_substring_regex(marked, _TAIL, f"\\1 {_BARE}\\2\\3")
         parts = pc.split_pattern(marked, " ")
         coded = parts.flatten().dictionary_encode()
         known = self._keyed(coded.dictionary.to_pylist())

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
 import math
-import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes that are not part of a benchmark word: all ASCII but digits and lower-case letters (after lower-casing).
-_GAPS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+from ..operators.ordering import running
+from ..sources.tables import checked, fresh, materialise, shared_dir, table_path
 
-_counter = itertools.count()
+__all__ = ["alnum_words", "ascii_lower", "checked", "fold", "fresh", "materialise", "running", "shards", "shared_dir", "space_words", "table_path"]
 
+#: Bytes that are not part of a benchmark word: all ASCII but digits and lower-case letters (after lower-casing).
+_GAPS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 def fold(id_col: str | Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; a null id counts as the empty text."""
@@ -36,31 +36,6 @@ def space_words(text: str | None) -> list[bytes]:
     return ascii_lower(text).split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    import uuid
-
-    return f"{shared_dir(spark)}/siltstone-{re.sub(r'[^A-Za-z0-9_]', '_', name)}-{next(_counter)}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shards(rows: int, per_shard: int) -> int:
     """Number of parts of about ``per_shard`` rows; one at least."""
     return max(1, math.ceil(rows / per_shard))

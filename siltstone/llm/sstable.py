@@ -9,10 +9,11 @@ A shard is one file::
   number of ids, the ids as little-endian unsigned numbers of the footer's width.
 * The index has, for each block: last key's length (u16), last key, offset (u64), length (u32), ids before the block (u64).
 * The Bloom filter is a bit array; ``hashes`` positions for each key, from two halves of a 64-bit hash.
-* The footer has a fixed size (``FOOTER``) and ends with ``MAGIC``; a line feed may follow it.
+* The footer has a fixed size (``FOOTER``) and ends with ``MAGIC``; Spark's text writer puts a line feed after it.
 
 A key is a tag byte (0: null, 1: number), then the number as 8 big-endian bytes with its sign bit flipped, so that bytes sort as
-numbers do.
+numbers do. The folder ``_catalog`` beside the shards has a row for each of them (first and last key, documents, ids, Bloom filter), so
+that a lookup opens only the shards that may have a key. Shards are in the order of their first and last keys; their names mean nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe, common
@@ -34,7 +34,7 @@ MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QIQIIIQBB8s")  # index at, index bytes, bloom at, bloom bytes, blocks, documents, ids, hashes, width, magic
 BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 4 << 20
-DOCS_PER_SHARD = 5_000
+PART_BYTES = 32 << 20  # ids that a task sorts and writes, as some shards
 BITS_PER_KEY = 10
 HASHES = 7
 
@@ -73,6 +73,10 @@ def _positions(key: bytes, hashes: int, bits: int) -> list[int]:
     return [(a + i * b) % bits for i in range(hashes)]
 
 
+def _held(bloom: bytes, key: bytes, hashes: int) -> bool:
+    return all(bloom[p >> 3] >> (p & 7) & 1 for p in _positions(key, hashes, len(bloom) * 8))
+
+
 class ShardWriter:
     """Takes documents in key order; ``finish()`` gives the file's bytes."""
 
@@ -83,21 +87,15 @@ class ShardWriter:
         self.last = b""
 
     def add(self, key: bytes, ids: bytes) -> None:
-        """``ids``: little-endian 32-bit numbers."""
+        """``ids``: little-endian numbers of the writer's width."""
         shared = 0
         if self.entries:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
-        if self.width == 2:
-            wide = np.frombuffer(ids, "<u4")
-            if wide.max(initial=0) > 0xFFFF:
-                raise ValueError(f"id {wide.max()} doesn't fit in 2 bytes; use width=4")
-            body = wide.astype("<u2").tobytes()
-        else:
-            body = ids
-        self.entries.append(b"".join((_varint(shared), _varint(len(key) - shared), key[shared:], _varint(len(ids) // 4), body)))
+        count = len(ids) // self.width
+        self.entries.append(b"".join((_varint(shared), _varint(len(key) - shared), key[shared:], _varint(count), ids)))
         self.keys.append(key)
-        self.last, self.n_ids, self.held = key, self.n_ids + len(ids) // 4, self.held + len(body)
+        self.last, self.n_ids, self.held = key, self.n_ids + count, self.held + len(ids)
         if self.held >= BLOCK_BYTES:
             self._close()
 
@@ -134,6 +132,7 @@ class Shard:
         if magic != MAGIC:
             raise ValueError("not a shard")
         self.last_keys, self.places = [], []
+        self.bloom = data[self.bloom_at : self.bloom_at + self.bloom_bytes]
         for _ in range(blocks):
             (k,) = struct.unpack_from("<H", data, at)
             self.last_keys.append(data[at + 2 : at + 2 + k])
@@ -141,7 +140,10 @@ class Shard:
             at += 22 + k
 
     def may_have(self, key: bytes) -> bool:
-        return all(self.data[self.bloom_at + (p >> 3)] >> (p & 7) & 1 for p in _positions(key, self.hashes, self.bloom_bytes * 8))
+        return _held(self.bloom, key, self.hashes)
+
+    def first_key(self) -> bytes:
+        return next(self._entries(0))[0]
 
     def _entries(self, block: int):
         """Key, ids before it in the shard, ids (32-bit bytes) of each document of a block."""
@@ -175,38 +177,86 @@ class Shard:
         return found
 
 
-def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, docs_per_shard: int = DOCS_PER_SHARD, width: int = 2) -> None:
-    """Encode every text, the end id after it, and write shards in ascending order of the id under ``path``.
+def narrowed(ids: bytes, width: int) -> bytes:
+    """Little-endian 32-bit ids in ``width`` bytes each; an id that doesn't fit raises."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if wide.max(initial=0) > 0xFFFF:
+        raise ValueError(f"id {wide.max()} doesn't fit in 2 bytes; use width=4")
+    return wide.astype("<u2").tobytes()
+
+
+def encoded(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, width: int = 2) -> DataFrame:
+    """doc_id and ids (the end id last, ``width`` bytes each) of every row, encoded where the texts are read."""
+
+    def encode(batches):
+        encoder, end = bpe.encoder(vocabulary), int(end_id).to_bytes(4, "little")
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in bpe.few(texts, bpe._CHUNK):
+                codes = [narrowed(code + end, width) for code in encoder.encode(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(codes, pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+
 
-    Rows are range-partitioned by (id, hash of the text), so that equal ids don't meet in one task, and sorted within; each task
-    cuts its rows into shards of at most about ``SHARD_BYTES``. A shard is a file: Spark's own committer writes it, to any file
-    system, so a lost or repeated task leaves no half file. ``width``: bytes of an id, 2 or 4; an id that doesn't fit raises. Null text: the end id alone; a null
-    id sorts first. Repeated ids all stay. An empty table gives no shards.
+def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, part_bytes: int = PART_BYTES, shard_bytes: int = SHARD_BYTES, width: int = 2) -> None:
+    """Encode every text, the end id after it, and write shards in ascending order of the id under ``path``, with their catalog.
+
+    Texts are encoded where they are read; what is shuffled are their ids. Those are range-partitioned by (id, hash of the ids, a number
+    of the row), so that neither equal ids nor repeated rows meet in one task, and sorted within; each task cuts its rows into shards of
+    about ``shard_bytes``. A shard is a file: Spark's own committer writes it, to any file system, so a lost or repeated task
+    leaves no half file. ``width``: bytes of an id, 2 or 4; an id that doesn't fit raises. Null and empty texts: the end id alone; a
+    null id sorts first. Repeated ids and rows all stay. A very long text is one entry of one block. Other columns are not read. An
+    empty table gives no shards.
     """
 
     def build(batches):
-        encoder, end = bpe.encoder(vocabulary), int(end_id).to_bytes(4, "little")
         writer = ShardWriter(width)
+        full = lambda: pa.RecordBatch.from_arrays([pa.array([writer.finish()], pa.binary())], names=["shard"])
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in bpe.few(texts, bpe._CHUNK):
-                for doc, code in zip(ids[a:b], encoder.encode(texts[a:b])):
-                    writer.add(key_of(doc), code + end)
-                    if writer.size() >= SHARD_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array([writer.finish()], pa.binary())], names=["shard"])
-                        writer = ShardWriter(width)
+            for doc, code in zip(batch.column(0).to_pylist(), batch.column(1)):
+                writer.add(key_of(doc), code.as_py())
+                if writer.size() >= shard_bytes:
+                    yield full()
+                    writer = ShardWriter(width)
         if writer.keys:
-            yield pa.RecordBatch.from_arrays([pa.array([writer.finish()], pa.binary())], names=["shard"])
+            yield full()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = common.shards(docs.count(), docs_per_shard)
-    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    rows = common.materialise(encoded(docs, id_col=id_col, text_col=text_col, vocabulary=vocabulary, end_id=end_id, width=width), "ids")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    order = ["doc_id", "tie", "row"]
+    keyed = rows.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(common.shards(size, part_bytes), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     files = ordered.mapInArrow(build, "shard binary").select(F.col("shard").cast("string").alias("value"))
     files.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    _cataloged(docs.sparkSession, path).write.parquet(f"{path}/_catalog")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def _files(spark: SparkSession, *paths: str) -> DataFrame:
+    """file (its name) and content of shards."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(paths)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+
+_CATALOG = "file string, first binary, last binary, documents long, n_ids long, hashes int, bloom binary"
+
+
+def _cataloged(spark: SparkSession, path: str) -> DataFrame:
+    def look(batches):
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = Shard(content.as_py())
+                row = (file, s.first_key(), s.last_keys[-1], s.documents, s.n_ids, s.hashes, s.bloom)
+                kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["file", "first", "last", "documents", "n_ids", "hashes", "bloom"])
+
+    return _files(spark, path).mapInArrow(look, _CATALOG)
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each shard under ``path``: file, first and last key, documents, n_ids, hashes, bloom."""
+    return spark.read.schema(_CATALOG).parquet(f"{path}/_catalog")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -227,15 +277,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def _batch(rows):
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "local_start", "ids", "shard"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "local_start", "ids", "file"])
 
-    return _files(spark, path).mapInArrow(scan, "doc_id long, local_start long, ids binary, shard string")
+    return _files(spark, path).mapInArrow(scan, "doc_id long, local_start long, ids binary, file string")
 
 
 def lookup(spark: SparkSession, path: str, ids: list[int | None]) -> DataFrame:
-    """The ids (32-bit bytes) of the documents asked for: each shard's Bloom filter, then a binary search of its block index."""
+    """doc_id and ids (32-bit bytes) of the documents asked for.
+
+    The catalog's key ranges and Bloom filters name the shards that may have one of the keys; only those are opened, and searched by
+    their block index. No ids, or none that is there: no rows.
+    """
     keys = sorted({key_of(i) for i in ids})
 
+    def may_have(batches):
+        for batch in batches:
+            c = {f.name: batch.column(k).to_pylist() for k, f in enumerate(batch.schema)}
+            found = [
+                file for file, first, last, hashes, bloom in zip(c["file"], c["first"], c["last"], c["hashes"], c["bloom"])
+                if any(_held(bloom, k, hashes) for k in keys[bisect.bisect_left(keys, first) : bisect.bisect_right(keys, last)])
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["file"])
+
     def find(batches):
         for batch in batches:
             for content in batch.column(1):
@@ -244,7 +307,9 @@ def lookup(spark: SparkSession, path: str, ids: list[int | None]) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "ids"])
 
-    return _files(spark, path).mapInArrow(find, "doc_id long, ids binary")
+    opened = [r["file"] for r in catalog(spark, path).select("file", "first", "last", "hashes", "bloom").mapInArrow(may_have, "file string").collect()]  # the files to open
+    shape = "doc_id long, ids binary"
+    return _files(spark, *(f"{path}/{f}" for f in opened)).mapInArrow(find, shape) if opened else spark.createDataFrame([], shape)
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
@@ -252,17 +317,15 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 
     def sums(batches):
         for batch in batches:
-            ids = batch.column(2)
-            counts = pa.array([len(x.as_buffer()) // 4 for x in ids], pa.int64())
-            crcs = pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, crcs, batch.column(3)], names=["doc_id", "local_start", "n_tokens", "ids_crc32", "shard"])
-
-    rows = common.materialise(read(spark, path).mapInArrow(sums, "doc_id long, local_start long, n_tokens long, ids_crc32 long, shard string"), "sst_read")
-    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    name = F.element_at(F.split("shard", "/"), -1)  # the committer numbers parts in range order, and files within a part
-    before = totals.select("shard", F.coalesce(F.sum("n").over(W.orderBy(name).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each shard
-    out = rows.join(before, "shard")
-    return out.select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = [(id_of(key), before, len(ids) // 4, zlib.crc32(ids), file) for key, before, ids in Shard(content.as_py()).scan()]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "local_start", "n_tokens", "ids_crc32", "file"])
+
+    placed = common.running(catalog(spark, path).select("file", "first", "last", "n_ids"), ["first", "last", "file"], F.col("n_ids"))
+    before = common.materialise(placed.select("file", "before"), "starts")
+    rows = _files(spark, path).mapInArrow(sums, "doc_id long, local_start long, n_tokens long, ids_crc32 long, file string")
+    return rows.join(common.checked(before), "file").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

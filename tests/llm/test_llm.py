@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -374,7 +375,7 @@ def test_sstable_round_trip_and_lookup(spark):
     texts = [*ODD, *[prose(i, 30 + 20 * i) for i in range(40)]]
     ids = [*ODD_IDS, -5, *range(100, 139)]
     path = common.table_path(spark, "test_sst")
-    sstable.write(table(spark, texts, ids), path, docs_per_shard=10)
+    sstable.write(table(spark, texts, ids), path, part_bytes=4_000, shard_bytes=1_000)
     rows = sstable.digest(spark, path).collect()
     want, start = [], 0
     for i, t in sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -386,7 +387,36 @@ def test_sstable_round_trip_and_lookup(spark):
     assert found == collections.Counter((i, ids_brute(t)) for i, t in zip(ids, texts) if i in (7, -5, None, 120))
     empty = common.table_path(spark, "test_sst_empty")
     sstable.write(table(spark, []), empty)
-    assert not [r for r in [empty] if r == ""]
+    assert sstable.digest(spark, empty).count() == sstable.read(spark, empty).count() == sstable.lookup(spark, empty, [1]).count() == 0
+    opened = sstable.catalog(spark, path).count()
+    assert opened > 5 and sstable.lookup(spark, path, []).count() == 0
+
+
+def test_starts_follow_keys_and_not_file_names(spark):
+    path = common.table_path(spark, "test_sst_names")
+    shards = {}
+    for name, ids in (("part-100000-c000", [3, 4]), ("part-99999-c000", [1, 2]), ("part-99999-c1000", [2, 2]), ("part-99999-c999", [2, 3])):
+        writer = sstable.ShardWriter(4)
+        for i in ids:
+            writer.add(sstable.key_of(i), np.full(i, i, "<u4").tobytes())
+        shards[name] = writer.finish()
+    folder = path.removeprefix("file://")
+    os.makedirs(folder)
+    for name, data in shards.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data + b"\n")
+    sstable._cataloged(spark, path).write.parquet(f"{path}/_catalog")
+    rows = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in sstable.digest(spark, path).collect())
+    assert rows == [(0, 1, 1), (1, 2, 2), (3, 2, 2), (5, 2, 2), (7, 2, 2), (9, 3, 3), (12, 3, 3), (15, 4, 4)]
+
+
+def test_repeated_rows_do_not_meet_in_one_shard(spark):
+    path = common.table_path(spark, "test_sst_hot")
+    sstable.write(table(spark, ["the same words again " * 30] * 400, [7] * 400), path, part_bytes=8_000, shard_bytes=4_000)
+    assert sstable.catalog(spark, path).count() > 5
+    rows = sorted((r["start"], r["n_tokens"]) for r in sstable.digest(spark, path).collect())
+    assert len(rows) == 400 and all(b[0] == a[0] + a[1] for a, b in zip(rows, rows[1:]))
+    assert sstable.lookup(spark, path, [7, 8]).count() == 400
 
 
 def test_shard_blocks_and_bloom():
@@ -403,10 +433,10 @@ def test_shard_blocks_and_bloom():
 def test_ids_that_do_not_fit_raise():
     ids = np.array([1, 65_535, 70_000], "<u4")
     with pytest.raises(ValueError):
-        sstable.ShardWriter(2).add(sstable.key_of(1), ids.tobytes())
+        sstable.narrowed(ids.tobytes(), 2)
     for width, some in ((4, ids), (2, ids[:2]), (2, ids[:0])):
         writer = sstable.ShardWriter(width)
-        writer.add(sstable.key_of(1), some.tobytes())
+        writer.add(sstable.key_of(1), sstable.narrowed(some.tobytes(), width))
         assert sstable.Shard(writer.finish()).get(sstable.key_of(1)) == [some.tobytes()]
 
 
