@@ -5,12 +5,19 @@ each has a tree of contexts, the last 0 to ``DEPTH`` bytes. A node's Krichevsky-
 weighted by one half (a leaf has its estimate alone), so that the probability of a byte mixes the estimates of all depths of its
 context. The counts are those of the training texts, then fixed: below the deepest context that was seen the mixture ends.
 
-All that a text's score needs are the distinct 7-grams of bytes (context and byte) and words of its batch, so texts never meet the
-model: each batch's distinct keys go to the counts and the log-probabilities come back.
+All that a text's score needs are the distinct n-grams of bytes (context and byte) and words of its batch, so texts never meet the
+model. Keys travel in packed blocks, by steps that each split evenly:
+
+1. ``gather``: a batch of texts gives, for each bucket of a hash of the context, a block of its distinct keys with their counts.
+2. ``merge``: a bucket's blocks are summed, as they stream past, to the corpus's distinct keys.
+3. ``climb``, ``descend``: distinct keys meet by their last bytes, so that the trees below depth two are whole in a task.
+4. ``answer``: each batch's block gets the log-probabilities (or counts, for words) of its keys.
+5. ``apply``: a batch's texts are scored by its answers.
 """
 
 from __future__ import annotations
 
+import collections
 import math
 import os
 import struct
@@ -20,20 +27,22 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH = 6  # a context and its byte are 56 bits of a key, whose sign bit marks words
+DEPTH = 6  # a context and its byte are 56 bits of a key
+SPLIT = 3  # nodes of this depth and below are whole in one task
 FOLDS = 10
 BATCH_BYTES = 32 << 20
-ROWS_PER_PART = 400_000
-CHUNK_ROWS = 200_000  # rows of one bucket whose nodes are in memory at a time
-MERGE_ROWS = 2_000_000  # keys of a batch's parts that are merged when there are so many
+BUCKET_BYTES = 4 << 20  # of text; buckets grow as the text to the power GROWTH, since distinct keys grow slower than the text
+GROWTH = 0.75
+CHUNK_ROWS = 500_000  # keys of one task whose nodes are in memory at a time
+MERGE_ROWS = 2_000_000  # keys of blocks that are merged when there are so many
+GRAM, WORD, TEXT = 0, 1, 2
 _END = b"\n"
 _STEP = 1 << 20
-_WORD_BIT = np.uint64(1 << 63)
+_TABLE = 4096
 
 
 def stream(words: list[bytes]) -> bytes:
@@ -41,23 +50,66 @@ def stream(words: list[bytes]) -> bytes:
 
 
 def grams(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each byte of streams that follow each other: the DEPTH bytes before it and itself as one number.
+    """For each byte of streams that follow each other: the DEPTH bytes before it, the latest first, and itself as one number.
 
     Before a stream's first byte are line feeds, whatever stream stands before it.
     """
     place = np.arange(len(data)) + np.repeat(np.arange(1, len(sizes) + 1) * DEPTH, sizes)
     padded = np.full(len(data) + DEPTH * len(sizes), 10, np.uint8)
     padded[place] = data
-    key = np.zeros(len(data), np.int64)
-    for k in range(-DEPTH, 1):
-        key = key << 8 | padded[place + k]
-    return key
+    key = np.zeros(len(padded) - DEPTH, np.int64)
+    for k in [*range(1, DEPTH + 1), 0]:
+        key <<= 8
+        key |= padded[DEPTH - k : len(padded) - k]
+    return key[place - DEPTH]
 
 
-def word_keys(words: list[bytes]) -> np.ndarray:
-    """63-bit hashes with the sign bit set, the end token's last."""
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words] + [xxhash.xxh3_64_intdigest(_END)], np.uint64)
-    return (h | _WORD_BIT).view(np.int64)
+def word_key(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 1
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Arrays of one length, byte planes together; the first is sorted and kept as differences."""
+    first = np.diff(columns[0], prepend=0)
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in (first, *columns[1:])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(data) // sum(widths), 0, []
+    for kind, width in zip(kinds, widths):
+        out.append(np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    out[0] = np.cumsum(out[0])
+    return out
+
+
+def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, with the sums of their values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return (keys[starts], *(np.add.reduceat(v[order], starts) if len(keys) else v for v in values))
+
+
+class _Sums:
+    """Distinct keys with summed counts of what is added, merged whenever ``MERGE_ROWS`` are new."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self.new = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.held.append((keys, n))
+        self.new += len(keys)
+        if self.new >= max(MERGE_ROWS, len(self.held[0][0])):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        self.held, self.new = [_sum_by(*(np.concatenate(c) for c in zip(*self.held)))], 0
+        return self.held[0]
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -69,9 +121,19 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_HALVES, _WHOLES = _lgamma(np.arange(_TABLE) + 0.5), _lgamma(np.arange(_TABLE) + 1.0)
+
+
+def _looked_up(table: np.ndarray, n: np.ndarray, shift: float) -> np.ndarray:
+    out = table[np.minimum(n, _TABLE - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= _TABLE)
+    out[large] = _lgamma(n[large] + shift)
+    return out
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a sequence with a zeros and b ones."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - math.log(math.pi) - _lgamma(a + b + 1.0)
+    """Log of the Krichevsky-Trofimov probability of a sequence with a zeros and b ones (whole numbers)."""
+    return _looked_up(_HALVES, a, 0.5) + _looked_up(_HALVES, b, 0.5) - math.log(math.pi) - _looked_up(_WHOLES, a + b, 1.0)
 
 
 class Level:
@@ -81,179 +143,321 @@ class Level:
         self.keys, self.a, self.b = keys, a, b
         own = log_kt(a, b)
         if children is None:
-            self.log_pw, self.weight = own, np.ones(len(keys))
+            self.log_pw, self.weight = own, np.ones(len(own))
         else:
             self.log_pw = np.logaddexp(own, children) - math.log(2)
             self.weight = np.exp(own - math.log(2) - self.log_pw)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+    def above(self, bits: int) -> Level:
+        """The level one depth up, whose contexts lack the ``bits`` of the oldest byte."""
+        names = (self.keys >> 8 + bits << 8) | self.keys & 255
+        return Level(*_sum_by(names, self.a, self.b, self.log_pw))
 
     def mix(self, keys: np.ndarray, bit: np.ndarray, p: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The decision's probability given that of the level below, where that was seen."""
-        at, here = self.find(keys)
         if not len(self.keys):
             return p, seen
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = self.keys[at] == keys
         kt = (np.where(bit == 1, self.b[at], self.a[at]) + 0.5) / (self.a[at] + self.b[at] + 1.0)
         mixed = np.where(seen, self.weight[at] * kt + (1 - self.weight[at]) * p, kt)
         return np.where(here, mixed, p), here
 
 
-def _decisions(byte: np.ndarray):
-    """For each of the eight decisions of a byte: its name (1 to 255) and outcome."""
-    for k in range(8):
-        yield (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
+class Forest:
+    """The trees of depths ``SPLIT`` to ``DEPTH`` over sorted distinct keys that share no context of ``SPLIT`` bytes with others.
 
+    At each depth a row is a (context, byte); rows are sorted, so the nodes of the k-th decision are runs of equal leading bits. A
+    node without counts weighs nothing: its block probability is one.
+    """
 
-def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    found, at = np.unique(keys, return_inverse=True)
-    return (found, *(np.bincount(at, v, len(found)) for v in values))
-
-
-def levels(key: np.ndarray, n: np.ndarray, least: int) -> list[Level]:
-    """Nodes of depths DEPTH down to ``least`` from n-gram counts; the contexts share no node with other calls' at these depths."""
-    on = n > 0
-    key, n = key[on], n[on].astype(float)
-    out: list[Level] = []
-    for d in range(DEPTH, least - 1, -1):
-        whole, count = _sum_by((key >> 8 & (1 << 8 * d) - 1) << 8 | key & 255, n)
-        context, byte = whole >> 8, whole & 255
-        names = np.concatenate([context << 8 | t for t, _ in _decisions(byte)])
-        ones = np.concatenate([count * bit for _, bit in _decisions(byte)])
-        nodes, b, both = _sum_by(names, ones, np.tile(count, 8))
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        self.maps: list[np.ndarray] = []  # rows of the depth below to rows of this one
+        self.nodes: list[list[tuple[np.ndarray, Level]]] = []  # for each depth and decision: node of each row, nodes
+        self.key = key
+        for d in range(DEPTH, SPLIT - 1, -1):
+            if d < DEPTH:
+                upper = (key >> 16 << 8) | key & 255
+                key, at = np.unique(upper, return_inverse=True)
+                n = np.bincount(at, n, len(key))
+                self.maps.append(at)
+            self.nodes.append([self._decision(key, n.astype(float), k) for k in range(8)])
+
+    def _decision(self, key: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, Level]:
+        lead = key >> 8 - k
+        first = np.concatenate([[True], lead[1:] != lead[:-1]])
+        starts = np.flatnonzero(first)
+        node = np.cumsum(first) - 1
+        b = np.add.reduceat(n * (key >> 7 - k & 1), starts)
+        a = np.add.reduceat(n, starts) - b
         children = None
-        if out:
-            below = out[-1]
-            _, children = _sum_by((below.keys >> 8 & (1 << 8 * d) - 1) << 8 | below.keys & 255, below.log_pw)
-        out.append(Level(nodes, both - b, b, children))
-    return out
-
-
-def _ready(batches) -> tuple[np.ndarray, np.ndarray]:
-    tables = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not tables:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables])
+        if self.nodes:
+            below, level = self.nodes[-1][k]
+            head = np.flatnonzero(np.concatenate([[True], below[1:] != below[:-1]]))
+            children = np.bincount(node[self.maps[-1][head]], level.log_pw, len(starts))
+        return node, Level((key[starts] >> 8 << 8) | (1 << k) | (key[starts] & 255) >> 8 - k, a, b, children)
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """What the level above ``SPLIT`` needs: node, a, b, its children's log probability."""
+        parts = [((x.keys >> 16 << 8) | x.keys & 255, x.a, x.b, x.log_pw) for _, x in self.nodes[-1]]
+        names, a, b, below = (np.concatenate(c) for c in zip(*parts))
+        some = a + b > 0
+        return _sum_by(names[some], a[some], b[some], below[some])
+
+    def log10(self, upper: list[Level]) -> np.ndarray:
+        """log10 of each key's byte, given the levels above ``SPLIT`` from the deepest on."""
+        rows = np.arange(len(self.key))
+        places = [rows]
+        for m in self.maps:
+            places.append(m[places[-1]])
+        short, at = np.unique((self.key >> 8 * (DEPTH - SPLIT + 2) << 8) | self.key & 255, return_inverse=True)
+        product = np.ones(len(rows))
+        for k in range(8):
+            bit = self.key >> 7 - k & 1
+            p, seen = np.full(len(rows), 0.5), np.zeros(len(rows), bool)
+            for place, nodes in zip(places, self.nodes):
+                node, level = nodes[k]
+                i = node[place]
+                a, b, w = level.a[i], level.b[i], level.weight[i]
+                kt = (np.where(bit == 1, b, a) + 0.5) / (a + b + 1.0)
+                here = a + b > 0
+                p = np.where(here, np.where(seen, w * kt + (1 - w) * p, kt), p)
+                seen = here
+            # The levels above map the probability so far by a line, and give a value of their own where nothing was seen below.
+            low, high, alone = (self._up(short, k, upper, x, y) for x, y in ((0.0, True), (1.0, True), (0.5, False)))
+            product *= np.where(seen, low[at] + (high - low)[at] * p, alone[at])
+        return np.log10(product)
+
+    @staticmethod
+    def _up(key: np.ndarray, k: int, upper: list[Level], p: float, seen: bool) -> np.ndarray:
+        bit, name = key >> 7 - k & 1, (1 << k) | (key & 255) >> 8 - k
+        context = key >> 8
+        value, known = np.full(len(key), p), np.full(len(key), seen)
+        for level in upper:
+            value, known = level.mix(context << 8 | name, bit, value, known)
+            context = context >> 8
+        return value
 
 
 def _chunks(key: np.ndarray, n: np.ndarray):
-    """Rows by their context's last three bytes, about ``CHUNK_ROWS`` at a time; equal ones stay together."""
-    suffix = key >> 8 & 0xFFFFFF
-    order = np.argsort(suffix, kind="stable")
-    suffix, a = suffix[order], 0
-    while a < len(order):
-        b = int(np.searchsorted(suffix, suffix[min(a + CHUNK_ROWS, len(order)) - 1], "right"))
-        yield key[order[a:b]], n[order[a:b]]
+    """Sorted keys by their contexts' last ``SPLIT`` bytes, about ``CHUNK_ROWS`` at a time; equal ones stay together."""
+    short, a = key >> 8 * (DEPTH - SPLIT + 1), 0
+    while a < len(key):
+        b = int(np.searchsorted(short, short[min(a + CHUNK_ROWS, len(key)) - 1], "right"))
+        yield a, b, Forest(key[a:b], n[a:b])
         a = b
 
 
-def _two(key: np.ndarray, n: np.ndarray) -> Level:
-    """The nodes of depth two of a task's rows."""
-    sums: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), *[np.zeros(0)] * 3)]
-    for k, m in _chunks(key, n):
-        three = levels(k, m, 3)[-1]
-        sums.append(_sum_by((three.keys >> 8 & 0xFFFF) << 8 | three.keys & 255, three.a, three.b, three.log_pw))
-    return Level(*_sum_by(*(np.concatenate(c) for c in zip(*sums))))
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """The task of each key: by its last two bytes, and the third where there are tasks enough to split those."""
+    fine = min(256, -(-parts // 64))
+    name = (key >> 8 * DEPTH - 8 << 8 | (key >> 8 * DEPTH - 16 & 255) % fine).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return ((name * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
 
 
-def train(counts: DataFrame) -> DataFrame:
-    """key, log10 of the byte's probability, for every 7-gram of ``counts`` (key, n), those with n = 0 too.
+def _runs(batches, keys: list[str]):
+    """The rows of a stream sorted by ``keys``, as (values of the keys, iterator of rows as dicts) for each run of equal ones."""
 
-    Rows meet by their context's last two bytes: all nodes of depth two and more are whole in one task. A task holds its rows (two
-    numbers each) and works on chunks of them that share no node of depth three or more. The nodes of depth one, 2**16 at most,
-    come to the driver as sums and go out with the root's.
-    """
-    counts = common.materialise(counts.select("key", "n"), "grams")
-    parts = common.shards(counts.count(), ROWS_PER_PART)
-    placed = counts.repartition(parts, F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+    def rows():
+        for batch in batches:
+            names = batch.schema.names
+            for i in range(batch.num_rows):
+                yield {c: batch.column(k)[i].as_py() for k, c in enumerate(names)}
 
-    def climb(batches):
-        key, n = _ready(batches)
-        two = _two(key, n)
-        nodes, a, b, below = _sum_by((two.keys >> 8 & 255) << 8 | two.keys & 255, two.a, two.b, two.log_pw)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(a), pa.array(b), pa.array(below)], names=["node", "a", "b", "below"])
+    it = rows()
+    row = next(it, None)
+    while row is not None:
+        now = [row[k] for k in keys]
 
-    sums = placed.mapInArrow(climb, "node long, a double, b double, below double").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).orderBy("node").collect()
-    column = lambda c, kind: np.array([r[c] for r in sums], kind)
-    one = Level(column("node", np.int64), column("a", float), column("b", float), column("below", float))
-    root = Level(*_sum_by(one.keys & 255, one.a, one.b, one.log_pw))
+        def same():
+            nonlocal row
+            while row is not None and [row[k] for k in keys] == now:
+                yield row
+                row = next(it, None)
 
-    def descend(batches):
-        key, n = _ready(batches)
-        two = _two(key, n)
-        for k, m in _chunks(key, n):
-            below = levels(k, m, 3)
-            total = np.zeros(len(k))
-            for t, bit in _decisions(k & 255):
-                p, seen = np.full(len(k), 0.5), np.zeros(len(k), bool)
-                for d, level in zip(range(DEPTH, -1, -1), [*below, two, one, root]):
-                    p, seen = level.mix((k >> 8 & (1 << 8 * d) - 1) << 8 | t, bit, p, seen)
-                total += np.log10(p)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total)], names=["key", "value"])
+        yield now, (run := same())
+        collections.deque(run, maxlen=0)
+
+
+def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+_GATHERED = "batch long, kind int, bucket int, body binary"
+_GATHERED_ARROW = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
+_MERGED = "kind int, bucket int, part int, total long, known long, body binary"
+_MERGED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("part", pa.int32()), ("total", pa.int64()), ("known", pa.int64()), ("body", pa.binary())])
+_NODES = "node long, a double, b double, below double"
+_NODES_ARROW = pa.schema([("node", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("below", pa.float64())])
+
+
+def _buckets(key: np.ndarray, kind: int, buckets: int) -> np.ndarray:
+    """A hash of a gram's context or of a word."""
+    with np.errstate(over="ignore"):
+        h = (key >> 8 if kind == GRAM else key).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return ((h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
 
-    return placed.mapInArrow(descend, "key long, value double")
 
+def _split(place: np.ndarray):
+    """(value, positions) for each value of ``place``, positions in their order."""
+    order = np.argsort(place, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], place[order][1:] != place[order][:-1]])) if len(order) else []
+    for a, b in zip(starts, [*starts[1:], len(order)]):
+        yield int(place[order[a]]), order[a:b]
 
-def _batches(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame:
-    """Batches of texts: a row with the packed streams of each, and a row for each distinct key with its count in training texts."""
 
-    def gather(batches):
+def gather(docs: DataFrame, buckets: int, *, id_col: str, text_col: str, folds: int) -> DataFrame:
+    """Batches of texts: a row with the packed streams of each, and blocks of its distinct keys with their counts in training texts."""
+
+    def make(batches):
         packer = zstandard.ZstdCompressor(level=3)
-        held: list = []
-        size = 0
-
-        def merged(found):
-            key, n = _sum_by(np.concatenate([u for u, _ in found]), np.concatenate([c for _, c in found]))
-            return key, n.astype(np.int64)
-
-        def flush():
-            batch = int.from_bytes(os.urandom(8), "little", signed=True)
-            ids, outs, streams = zip(*((i, o, s) for i, o, s, _ in held))
-            known = [i is not None for i in ids]
-            head = struct.pack("<q", len(ids)) + np.array([i or 0 for i in ids], "<i8").tobytes() + np.array([k + 2 * o for k, o in zip(known, outs)], np.uint8).tobytes() + np.array([len(s) for s in streams], "<i8").tobytes()
-            blob = packer.compress(head + b"".join(streams))
-            found = []
-
-            def add(keys, out):
-                u, c = np.unique(keys, return_counts=True)
-                found.append((u, np.zeros(len(u), np.int64) if out else c))
-                if sum(len(u) for u, _ in found[1:]) >= MERGE_ROWS:
-                    found[:] = [merged(found)]
-
-            for out in (False, True):
-                some = [(s, w) for _, o, s, w in held if o == out]
-                if some:
-                    add(np.concatenate([w for _, w in some]), out)
-                a, n = 0, 0
-                for b in range(1, len(some) + 1):
-                    n += len(some[b - 1][0])
-                    if n >= _STEP or b == len(some):
-                        part = [s for s, _ in some[a:b]]
-                        add(grams(np.frombuffer(b"".join(part), np.uint8), np.array([len(s) for s in part])), out)
-                        a, n = b, 0
-            key, n = merged(found)
-            shape = ["batch", "key", "n", "blob"]
-            yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], names=shape)
-            for a in range(0, len(key), 100_000):
-                part = key[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch)), pa.array(part), pa.array(n[a : a + 100_000]), pa.nulls(len(part), pa.binary())], names=shape)
 
+        class Held:
+            def __init__(self):
+                self.ids, self.outs, self.streams, self.size = [], [], [], 0
+                self.words = (collections.Counter(), collections.Counter())
+                self.part: tuple[list[bytes], list[bytes]] = ([], [])
+                self.filled, self.sums = [0, 0], _Sums()
+
+            def add(self, doc, out, text):
+                words = common.space_words(text)
+                made = stream(words)
+                self.words[out].update(words)
+                self.words[out][_END] += 1
+                self.ids.append(doc)
+                self.outs.append(out)
+                self.streams.append(made)
+                self.size += len(made)
+                self.part[out].append(made)
+                self.filled[out] += len(made)
+                if self.filled[out] >= _STEP:
+                    self.count(out)
+
+            def count(self, out):
+                part = self.part[out]
+                if part:
+                    u, c = np.unique(grams(np.frombuffer(b"".join(part), np.uint8), np.array([len(s) for s in part])), return_counts=True)
+                    self.sums.add(u, np.zeros(len(u), np.int64) if out else c)
+                    part.clear()
+                    self.filled[out] = 0
+
+            def flush(self):
+                batch = int.from_bytes(os.urandom(8), "little", signed=True)
+                n = len(self.ids)
+                flags = np.array([(i is not None) + 2 * o for i, o in zip(self.ids, self.outs)], np.uint8).tobytes()
+                head = struct.pack("<q", n) + np.array([i or 0 for i in self.ids], "<i8").tobytes() + flags + np.array([len(s) for s in self.streams], "<i8").tobytes()
+                blob = packer.compress(head + b"".join(self.streams))
+                self.streams.clear()
+                yield _batch(_GATHERED_ARROW, batch=[batch], kind=[TEXT], bucket=[-1], body=[blob])
+                self.count(0)
+                self.count(1)
+                train, out = self.words
+                words = list(train.keys() | out.keys())
+                keyed = _sum_by(np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter((train[w] for w in words), np.int64, len(words)))
+                for kind, (key, count) in ((GRAM, self.sums.total()), (WORD, keyed)):
+                    blocks = [(b, _packed(key[at], count[at])) for b, at in _split(_buckets(key, kind, buckets))]
+                    for a in range(0, len(blocks), 64):
+                        some = blocks[a : a + 64]
+                        yield _batch(_GATHERED_ARROW, batch=[batch] * len(some), kind=[kind] * len(some), bucket=[b for b, _ in some], body=[x for _, x in some])
+
+        held = Held()
         for batch in batches:
             for doc, out, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = common.space_words(text)
-                held.append((doc, out, stream(words), word_keys(words)))
-                size += len(held[-1][2])
-                if size >= BATCH_BYTES:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
+                held.add(doc, int(out), text)
+                if held.size >= BATCH_BYTES:
+                    yield from held.flush()
+                    held = Held()
+        if held.ids:
+            yield from held.flush()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (common.fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(gather, "batch long, key long, n long, blob binary")
+    return rows.mapInArrow(make, _GATHERED)
+
+
+def merge(gathered: DataFrame, parts: int) -> DataFrame:
+    """The corpus's distinct keys with their counts, in blocks: those of a bucket of grams cut by the tasks that hold their trees."""
+
+    def sum_up(batches):
+        for (kind, bucket), rows in _runs(batches, ["kind", "bucket"]):
+            sums = _Sums()
+            for row in rows:
+                sums.add(*_unpacked(row["body"], np.int64, np.int64))
+            key, n = sums.total()
+            for part, at in [(-1, slice(None))] if kind == WORD else _split(_part(key, parts)):
+                yield _batch(_MERGED_ARROW, kind=[kind], bucket=[bucket], part=[part], total=[int(n[at].sum())], known=[int((n[at] > 0).sum())], body=[_packed(key[at], n[at])])
+
+    blocks = gathered.filter(F.col("kind") != TEXT).select("kind", "bucket", "body")
+    return blocks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(sum_up, _MERGED)
+
+
+def _of_part(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All keys of a task's blocks, sorted, with their counts, buckets and order."""
+    found = [(row["bucket"], *_unpacked(row["body"], np.int64, np.int64)) for row in rows]
+    key, n = np.concatenate([k for _, k, _ in found]), np.concatenate([c for _, _, c in found])
+    bucket = np.repeat(np.array([b for b, _, _ in found], np.int32), [len(k) for _, k, _ in found])
+    order = np.argsort(key)
+    return key[order], n[order], bucket[order]
+
+
+def train(merged: DataFrame) -> DataFrame:
+    """kind, bucket, body (keys and log10 probabilities of their bytes) for the grams of ``merged``, those never seen in training too.
+
+    A task has all keys of some two-byte contexts (of three bytes, where there are many tasks), and works on chunks of them that share
+    no node of depth ``SPLIT`` or more. The nodes above, at most 2**24 by their names, come to the driver as sums, and go out as a
+    broadcast.
+    """
+    placed = merged.filter(F.col("kind") == GRAM).select("part", "bucket", "body").repartition("part").sortWithinPartitions("part")
+
+    def climb(batches):
+        for _, rows in _runs(batches, ["part"]):
+            key, n, _ = _of_part(rows)
+            parts = [forest.sums() for _, _, forest in _chunks(key, n)]
+            node, a, b, below = _sum_by(*(np.concatenate(c) for c in zip(*parts)))
+            yield _batch(_NODES_ARROW, node=node, a=a, b=b, below=below)
+
+    sums = placed.mapInArrow(climb, _NODES).groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).orderBy("node").toArrow()
+    upper = [Level(*(sums[c].to_numpy() for c in ("node", "a", "b", "below")))]
+    for _ in range(SPLIT - 1):
+        upper.append(upper[-1].above(8))
+    sent = merged.sparkSession.sparkContext.broadcast(upper)
+
+    def descend(batches):
+        for _, rows in _runs(batches, ["part"]):
+            key, n, bucket = _of_part(rows)
+            values = np.empty(len(key), np.float32)
+            for a, b, forest in _chunks(key, n):
+                values[a:b] = forest.log10(sent.value)
+            for b, at in _split(bucket):
+                yield _batch(_GATHERED_ARROW, batch=[None], kind=[GRAM], bucket=[b], body=[_packed(key[at], values[at])])
+
+    return placed.mapInArrow(descend, _GATHERED).drop("batch")
+
+
+def answer(gathered: DataFrame, known: DataFrame) -> DataFrame:
+    """batch, kind, body: the keys of each block with what ``known`` (kind, bucket, body) says of them."""
+
+    def reply(batches):
+        for (kind, _), rows in _runs(batches, ["kind", "bucket"]):
+            of = np.float32 if kind == GRAM else np.int64
+            table: list[tuple[np.ndarray, ...]] = []
+            key = value = None
+            for row in rows:
+                if row["batch"] is None:  # what is known comes first
+                    table.append(tuple(_unpacked(row["body"], np.int64, of)))
+                    continue
+                if key is None:
+                    key, value = (np.concatenate(c) for c in zip(*table))
+                    order = np.argsort(key)
+                    key, value = key[order], value[order]
+                asked, _ = _unpacked(row["body"], np.int64, np.int64)
+                body = _packed(asked, value[np.searchsorted(key, asked)])
+                yield _batch(_GATHERED_ARROW, batch=[row["batch"]], kind=[kind], bucket=[-1], body=[body])
+
+    asked = gathered.filter(F.col("kind") != TEXT)
+    both = known.select(F.lit(None).cast("long").alias("batch"), "kind", "bucket", "body").unionByName(asked)
+    placed = both.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("batch").asc_nulls_first())
+    return placed.mapInArrow(reply, _GATHERED).drop("bucket")
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
@@ -261,27 +465,32 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed word unigrams), score (log10 probability of the token
     stream under the context trees) and bits_per_byte (its code length for each byte of the stream). Texts are read once, into
-    batches of about ``BATCH_BYTES``; a key in every batch is still only a row for each batch. Null and empty texts are the end
-    token alone. A null id is the empty text as to folds. Repeated rows all count and all return. An empty table gives no rows.
+    batches of about ``BATCH_BYTES``; a key in every batch is one entry of one block for each, whatever its count. Null and empty
+    texts are the end token alone. A null id is the empty text as to folds. Repeated rows all count and all return. A very long text
+    is a batch of its own. Other columns are not read. An empty table gives no rows.
     """
-    gathered = common.materialise(_batches(docs, id_col, text_col, folds), "batches")
-    keys = gathered.filter(F.col("key").isNotNull())
-    model = common.materialise(train(keys.filter(F.col("key") >= 0).groupBy("key").agg(F.sum("n").alias("n"))), "model")
-    every = W.partitionBy("key")
-    words = keys.filter(F.col("key") < 0).select("batch", "key", F.sum("n").over(every).alias("c"), (F.min("batch").over(every) == F.col("batch")).alias("first"))
-    words = common.materialise(words, "words")
-    totals = words.filter("first AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil((size / BUCKET_BYTES) ** GROWTH))
+    gathered = common.materialise(gather(docs, buckets, id_col=id_col, text_col=text_col, folds=folds), "batches")
+    merged = common.materialise(merge(gathered, buckets), "keys")
+    words = merged.filter(F.col("kind") == WORD)
+    totals = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     train_tokens, distinct = int(totals[0]), int(totals[1])
-    values = keys.filter(F.col("key") >= 0).select("batch", "key").join(model, "key").select("batch", "key", "value").unionByName(words.select("batch", "key", F.col("c").cast("double").alias("value")))
-    blobs = gathered.filter(F.col("blob").isNotNull()).select(F.col("batch").alias("of"), "blob")
+    model = common.materialise(train(merged), "model")
+    answers = answer(gathered, model.unionByName(words.select("kind", "bucket", "body")))
     floor = math.log10(train_tokens + 0.1 * (distinct + 1))
+    blobs = gathered.filter(F.col("kind") == TEXT).select(F.col("batch").alias("of"), F.col("body").alias("blob"))
 
     def apply(known, packed):
-        key, value = known["key"].to_numpy(), known["value"].to_numpy()
-        order = np.argsort(key)
-        key, value = key[order], value[order]
-        del known, order
+        tables = []
+        for kind, of in ((GRAM, np.float32), (WORD, np.int64)):
+            found = [_unpacked(b, np.int64, of) for k, b in zip(known["kind"].to_pylist(), known["body"].to_pylist()) if k == kind]
+            key, value = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, of))
+            order = np.argsort(key)
+            tables.append((key[order], value[order]))
+        (key, value), (word, count) = tables
         out: list[list] = [[] for _ in range(7)]
+        terms: dict[bytes, int] = {}
         for blob in packed["blob"].to_pylist():
             data = zstandard.ZstdDecompressor().decompress(blob)
             (n,) = struct.unpack_from("<q", data)
@@ -293,11 +502,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
             while a < n:
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else at) + _STEP, "right")))
                 lo, hi = int(ends[a] - sizes[a]), int(ends[b - 1])
-                codes = value[np.searchsorted(key, grams(np.frombuffer(data, np.uint8, hi - lo, lo), sizes[a:b]))]
+                codes = _valued(key, value, grams(np.frombuffer(data, np.uint8, hi - lo, lo), sizes[a:b]))
                 scores = np.add.reduceat(codes, ends[a:b] - sizes[a:b] - lo)
-                for k in range(a, b):
-                    words = data[ends[k] - sizes[k] : ends[k]].split()
-                    c = value[np.searchsorted(key, word_keys(words))]
+                split = [[*data[ends[k] - sizes[k] : ends[k]].split(), _END] for k in range(a, b)]
+                fresh = [w for w in set().union(*split) if w not in terms]
+                terms.update(zip(fresh, count[np.searchsorted(word, np.fromiter(map(word_key, fresh), np.int64, len(fresh)))].tolist()))
+                for k, words in zip(range(a, b), split):
+                    c = np.fromiter(map(terms.__getitem__, words), np.int64, len(words))
                     row = (int(ids[k]) if flags[k] & 1 else None, bool(flags[k] & 2), len(c), int((c > 0).sum()), float(np.log10(c + 0.1).sum() - len(c) * floor), float(scores[k - a]), float(-scores[k - a] / math.log10(2) / sizes[k]))
                     for column, x in zip(out, row):
                         column.append(x)
@@ -305,10 +516,21 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
-    scored = values.groupBy("batch").cogroup(blobs.groupBy("of")).applyInArrow(apply, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    scored = answers.groupBy("batch").cogroup(blobs.groupBy("of")).applyInArrow(apply, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
 
 
+def _valued(key: np.ndarray, value: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value of each asked key; all of them are in ``key``. Sorted first, so that the search walks through ``key`` once."""
+    order = np.argsort(asked)
+    ranked = asked[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    found = value[np.searchsorted(key, ranked[starts])].astype(np.float64)
+    out = np.empty(len(asked))
+    out[order] = np.repeat(found, np.diff(np.append(starts, len(asked))))
+    return out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: every document."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -181,7 +181,7 @@ def test_context_trees(spark):
     assert len(odd) == len(ODD) and all(r["score"] < 0 for r in odd)
 
 
-def test_contexts_reach_beyond_a_word(spark, monkeypatch):
+def test_contexts_reach_beyond_a_word(spark):
     rng = random.Random(8)
     # The byte after "abcd " depends on the byte six before it alone.
     texts = [" ".join(rng.choice(["xabcd p", "yabcd q"]) for _ in range(40)) for _ in range(60)]
@@ -191,11 +191,37 @@ def test_contexts_reach_beyond_a_word(spark, monkeypatch):
     brute = ctw_brute(train, streams, depth=6)
     assert all(abs(r["score"] - brute[r["doc_id"]]) < 1e-6 * abs(r["score"]) for r in rows)
     assert all(r["bits_per_byte"] < 0.19 for r in rows if r["held_out"])
-    key, n = np.unique(np.concatenate([ctw.grams(np.frombuffer(s, np.uint8), np.array([len(s)])) for s in (ctw.stream(common.space_words(prose(i, 50))) for i in range(20))]), return_counts=True)
-    whole = ctw.levels(key, n, 2)[-1]
+
+
+def test_chunks_and_parts_of_the_trees_change_nothing(monkeypatch):
+    streams = [ctw.stream(common.space_words(prose(i, 50))) for i in range(20)]
+    key, n = np.unique(np.concatenate([ctw.grams(np.frombuffer(s, np.uint8), np.array([len(s)])) for s in streams]), return_counts=True)
+    n[::7] = 0  # keys of held-out texts alone
+    whole = ctw.Forest(key, n)
+    sums = whole.sums()
+    upper = [ctw.Level(*sums)]
+    for _ in range(ctw.SPLIT - 1):
+        upper.append(upper[-1].above(8))
+    expected = whole.log10(upper)
     monkeypatch.setattr(ctw, "CHUNK_ROWS", 50)
-    two = ctw._two(key, n)
-    assert (two.keys == whole.keys).all() and (two.a == whole.a).all() and (two.b == whole.b).all() and np.allclose(two.log_pw, whole.log_pw)
+    pieces = list(ctw._chunks(key, n))
+    assert len(pieces) > 5 and np.allclose(np.concatenate([f.log10(upper) for _, _, f in pieces]), expected)
+    got = ctw._sum_by(*(np.concatenate(c) for c in zip(*(f.sums() for _, _, f in pieces))))
+    assert all(np.allclose(x, y) for x, y in zip(got, sums))
+    short = key >> 8 * (ctw.DEPTH - ctw.SPLIT + 1)
+    for parts in (1, 7, 1000):  # a context of SPLIT bytes is in one part
+        part = ctw._part(key, parts)
+        assert part.max() < parts and all(len(np.unique(part[short == s])) == 1 for s in np.unique(short))
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(4)
+    key = np.unique(rng.integers(0, 1 << 56, 1000))
+    n = rng.integers(0, 1 << 40, len(key))
+    for k, kinds, more in ((key, (np.int64, np.int64), n), (key, (np.int64, np.float32), n.astype(np.float32)), (key[:0], (np.int64, np.int64), n[:0])):
+        got = ctw._unpacked(ctw._packed(k, more), *kinds)
+        assert (got[0] == k).all() and (got[1] == more).all()
+    assert np.allclose(ctw.log_kt(np.array([3.0, 50_000.0]), np.array([2.0, 7.0])), [math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1) for a, b in ((3, 2), (50_000, 7))])
 
 
 # ---- 4
