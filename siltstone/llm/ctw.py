@@ -37,11 +37,11 @@ FOLDS = 10
 BATCH_BYTES = 32 << 20
 BUCKET_BYTES = 4 << 20  # of text; buckets grow as the text to the power GROWTH, since distinct keys grow slower than the text
 GROWTH = 0.75
-CHUNK_ROWS = 500_000  # keys of one task whose nodes are in memory at a time
-MERGE_ROWS = 2_000_000  # keys of blocks that are merged when there are so many
+CHUNK_ROWS = 120_000  # keys of one task whose nodes are in memory at a time
+MERGE_ROWS = 1_000_000  # keys of blocks that are merged when there are so many
 GRAM, WORD, TEXT = 0, 1, 2
 _END = b"\n"
-_STEP = 1 << 20
+_STEP = 1 << 19
 _TABLE = 4096
 
 
@@ -187,7 +187,7 @@ class Forest:
         lead = key >> 8 - k
         first = np.concatenate([[True], lead[1:] != lead[:-1]])
         starts = np.flatnonzero(first)
-        node = np.cumsum(first) - 1
+        node = np.cumsum(first, dtype=np.int32) - 1
         b = np.add.reduceat(n * (key >> 7 - k & 1), starts)
         a = np.add.reduceat(n, starts) - b
         children = None
