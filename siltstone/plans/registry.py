@@ -19,7 +19,7 @@ from ..operators import evaluation as E
 from ..operators import manifests as M
 from ..operators import records as R
 from ..sources.tables import first_n, scan
-from . import curation
+from . import audit_sql, curation
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -302,17 +302,22 @@ def _(spark, d):
     return docs(spark, d, "doc_id", "n_chars").select("doc_id", A.decide(n % 97 == 0, n % 89 == 0, (n % 100) / F.lit(100.0), (n % 90) / F.lit(90.0)).alias("decision"))
 
 
-@query("contamination_audit")
+_AUDIT = f"""q AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, source FROM documents), r AS (SELECT CAST(item_id AS VARCHAR) AS id, text FROM benchmark), {audit_sql.audit("a", "q", "r")}"""
+_CASCADE = audit_sql.cascade()
+
+
+@query("contamination_audit", rf"""WITH {_AUDIT} SELECT a.*, source AS query_source, left(trim(regexp_replace(text, '[\x1c-\x1f\s\x0b\x{{85}}\x{{a0}}]+', ' ', 'g')), 300) AS query_excerpt FROM a JOIN q ON q.id = a.query_id""")
 def _(spark, d):
     return A.audit(audit_pool(spark, d), protected(spark, d))
 
 
-@query("contamination_promoted")
+@query("contamination_promoted", f"WITH {_AUDIT} SELECT query_id, reference_id, {audit_sql.promoted()} AS decision FROM a")
 def _(spark, d):
     return A.promote(A.audit(audit_pool(spark, d), protected(spark, d))).select("query_id", "reference_id", "decision")
 
 
-@query("contamination_summary")
+@query("contamination_summary", f"""WITH {_AUDIT}, p AS (SELECT tfidf_cosine, {audit_sql.promoted()} AS decision FROM a)
+SELECT CAST(count(*) AS BIGINT) AS query_count, {", ".join(f"CAST(count(*) FILTER (decision = '{d}') AS BIGINT) AS {d}" for d in A.DECISIONS)}, coalesce(max(tfidf_cosine), 0.0::DOUBLE) AS maximum_tfidf_cosine FROM p""")
 def _(spark, d):
     return A.summary(A.promote(A.audit(audit_pool(spark, d), protected(spark, d))))
 
@@ -358,17 +363,17 @@ def curated(spark, d) -> curation.Curated:
     return curation.curate(text_ids(pool(spark, d, 0)), text_ids(pool(spark, d, 1)), protected(spark, d))
 
 
-@query("exclusion_cascade")
+@query("exclusion_cascade", f"WITH {_CASCADE} SELECT stage, CAST(rows AS BIGINT) AS rows FROM stages")
 def _(spark, d):
     return curated(spark, d).funnel()
 
 
-@query("exclusion_ledger")
+@query("exclusion_ledger", f"WITH {_CASCADE} SELECT * FROM gone UNION ALL SELECT audit, query_id, decision, reference_id FROM hits WHERE decision LIKE 'exclude%'")
 def _(spark, d):
     return curated(spark, d).ledger().select("audit", "id", "decision", "reference_id")
 
 
-@query("audit_candidates")
+@query("audit_candidates", f"WITH {_CASCADE} SELECT * FROM hits")
 def _(spark, d):
     return curated(spark, d).candidates().select("audit", "query_id", "reference_id", "tfidf_cosine", "char_5gram_jaccard", "decision")
 

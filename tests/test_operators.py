@@ -249,3 +249,85 @@ def test_registry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 4
+
+
+def audit_brute(queries, references, k=3):
+    """Plain dictionaries and sets: (query, reference, exact, span, cosine, jaccard) of the candidates in their order."""
+    import collections
+    import math
+    import re
+    import unicodedata
+
+    norm = lambda t: re.sub(r"[\W_]", "", unicodedata.normalize("NFKC", t).lower())
+    grams = lambda t: collections.Counter(t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1))
+    qs, rs = [norm(t) for t in queries], [norm(t) for t in references]
+    tf = [grams(t) for t in rs]
+    df, total = collections.Counter(g for c in tf for g in c), collections.Counter()
+    for c in tf:
+        total.update(c)
+    kept = sorted((g for g in df if df[g] >= (1 if len(rs) < 20 else 2)), key=lambda g: (-total[g], g))[:200_000]
+    idf = {g: math.log((1 + len(rs)) / (1 + df[g])) + 1 for g in kept}
+
+    def unit(c):
+        w = {g: (1 + math.log(n)) * idf[g] for g, n in c.items() if g in idf}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {g: x / size for g, x in w.items()}
+
+    parts = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)} if len(t) >= n else {t} - {""}
+    vectors, out = [unit(c) for c in tf], []
+    for i, q in enumerate(qs):
+        u = unit(grams(q))
+        cos = [round(sum(x * v.get(g, 0) for g, x in u.items()), 12) for v in vectors]
+        exact = [j for j, r in enumerate(rs) if r == q]
+        near = [j for j in sorted(range(len(rs)), key=lambda j: (-cos[j], j))[:k] if cos[j] > 0 and j not in exact]
+        for j in [*exact, *near]:
+            a, b = parts(q, 5), parts(rs[j], 5)
+            out.append((f"q{i}", f"r{j}", j in exact, len(q) >= 64 and len(rs[j]) >= 64 and bool(parts(q, 64) & parts(rs[j], 64)), round(1.0 if j in exact else min(1.0, cos[j]), 9), round(len(a & b) / len(a | b), 9) if a | b else 0.0))
+    return out
+
+
+def test_audit_is_that_of_plain_sets(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("lam", "ño", "te", "ko", "ri") for b in ("na", "ß", "zu", "pe")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    references = [text(rng.randint(1, 40)) for _ in range(9)] + ["", "ab", "same text", "Same, text!"]
+    queries = [text(rng.randint(1, 60)) for _ in range(20)] + [references[3].upper(), references[0] + text(5), "x" + text(4) + references[1], "", "ab", "ａｂ", "zzz qqq", "same text"]
+    q = spark.createDataFrame([(f"q{i}", "s", t) for i, t in enumerate(queries)], "id string, source string, text string")
+    for refs in (references[:9], references, references * 2):
+        r = spark.createDataFrame([(f"r{i}", "s", t) for i, t in enumerate(refs)], "id string, source string, text string")
+        expected = audit_brute(queries, refs)
+        for more in ({}, {"block": 4}, {"block": 3, "per_pass": 7}):
+            rows = A.neighbours(q, r, **more).select("id", "candidates").collect()
+            got = [(x["id"], c["reference_id"], c["exact_match"], c["common_64_chars"], round(c["cosine"], 9), round(c["jaccard"], 9)) for x in rows for c in x["candidates"]]
+            assert sorted(got) == sorted(expected)
+            if not more:
+                assert [g for g in got if g[0] == "q20"] == [e for e in expected if e[0] == "q20"]
+
+
+def test_best_candidate_is_by_cosine_among_those_not_clean(spark):
+    c = lambda span, cosine: (f"r{cosine}", False, span, cosine, 0.1)
+    shape = "id string, source string, text string, candidates array<struct<reference_id:string,exact_match:boolean,common_64_chars:boolean,cosine:double,jaccard:double>>"
+    found = spark.createDataFrame([("a", "s", "t", [c(True, 0.5), c(False, 0.9), c(False, 0.95)]), ("b", "s", "t", [c(False, 0.7), c(True, 0.6)]), ("c", "s", "t", [c(False, 0.3), c(False, 0.3)]), ("d", "s", "t", [])], shape)
+    got = {r["query_id"]: (r["decision"], r["tfidf_cosine"]) for r in A.best(found).collect()}
+    assert got == {"a": ("review", 0.95), "b": ("exclude_common_64", 0.6), "c": ("clean", 0.3), "d": ("clean", None)}
+
+
+def test_running_sums_over_ranges(spark):
+    from siltstone.operators.ordering import running
+
+    rows = [(i * 7 % 50, i % 5, f"x{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "k int, part int, before_ string")
+    got = running(df, ["k"], F.col("part"), rows_per_range=9).orderBy("k").collect()
+    total = 0
+    for r in got:
+        assert r["before"] == total
+        total += r["part"]
+    assert len(got) == 50 and running(df.limit(0), ["k"]).count() == 0 and sorted(r["n"] for r in running(df, ["k"], into="n", rows_per_range=4).collect()) == list(range(50))
+
+
+def test_decisions_that_do_not_add_up_raise(spark):
+    bad = spark.createDataFrame([("unknown", 0.1)], "decision string, tfidf_cosine double")
+    with pytest.raises(Exception, match="add up"):
+        A.summary(bad).collect()
