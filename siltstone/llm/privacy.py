@@ -13,7 +13,7 @@ from .native import let, total
 KINDS = ("email", "ip", "card", "phone")
 PRIOR = 0.5  # weight, in texts, of an entity's overall share in its share among the texts of a term
 DISCLOSURE = 0.9  # share of an entity's information content that a term may reveal
-BROADCAST_ROWS = 100_000
+RUN = 128  # numbers whose running sums are taken together
 PRUNE = 16  # part of the other texts that rules out common terms before the full count
 
 #: Each kind's pattern. They match what the plain patterns of the contract match, leftmost first: possessive repeats never give
@@ -34,6 +34,7 @@ _HINTS: dict[str, Callable[[Column], Column]] = {
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 _WORD = r"\p{L}{2,}"
+_FILLER = "\ua66e"
 
 
 def _digits(value: Column) -> Column:
@@ -57,29 +58,38 @@ _VALID: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _valid(kind: str) -> Callable[[Column], Column]:
-    return lambda s: _VALID[kind](s["value"])
-
-
 def _of(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
 
+def _running(numbers: Column) -> Column:
+    """For each number the sum of those before it.
+
+    Sums of runs of ``RUN`` numbers come first, so that the work for n numbers is n * RUN + (n / RUN) ** 2 small steps instead of n ** 2.
+    """
+    first_of = lambda x, n: total(F.slice(x, F.lit(1), n))
+
+    def summed(runs: Column, sums: Column) -> Column:
+        each = F.transform(runs, lambda run, k: let(first_of(sums, k), lambda above: F.transform(run, lambda _, i: above + first_of(run, i))))
+        return F.flatten(each)
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / RUN).cast("int")), lambda k: F.slice(numbers, k * RUN + 1, F.lit(RUN)))
+    return F.when(F.size(numbers) > 0, let(cut, lambda runs: let(F.transform(runs, total), lambda sums: summed(runs, sums)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def _located(text: Column, pattern: Column, kind: str, rank: int) -> Column:
-    """Matches of a pattern with their places in code points: a match starts after all gaps and matches before it."""
-    none = F.lit(None).cast(_SPAN)
+    """Valid matches of a pattern with their places in code points: a match starts after all gaps and matches before it."""
+    valid = _VALID.get(kind, lambda v: F.lit(True))
 
     def place(found: Column, gaps: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+        steps = F.zip_with(found, gaps, lambda m, g: (F.coalesce(F.length(m), F.lit(0)) + F.length(g)).cast("long"))
 
-        def step(a: Column, k: Column) -> Column:
-            first = a["at"] + F.length(F.get(gaps, k))
-            value = F.get(found, k)
-            last = first + F.length(value)
-            span = F.struct(first.alias("start"), F.lit(rank).alias("rank"), last.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-            return F.struct(last.alias("at"), F.concat(a["out"], F.array(span)).cast(_SPAN).alias("out"))
+        def spans(before: Column) -> Column:
+            each = F.transform(F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.slice(before, F.lit(1), F.size(found)).alias("b")), lambda x: x)
+            made = F.transform(F.filter(each, lambda x: valid(x["m"])), lambda x: let((x["b"] + F.length(x["g"])).cast("int"), lambda at: F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))))
+            return made.cast(_SPAN)
 
-        return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])).otherwise(none)
+        return F.when(F.size(found) > 0, let(_running(steps), spans)).otherwise(F.lit(None).cast(_SPAN))
 
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: let(F.when(F.size(found) > 0, F.split(text, pattern, -1)), lambda gaps: place(found, gaps)))
 
@@ -89,7 +99,7 @@ def base_spans(text: Column) -> Column:
 
     def of(t: Column) -> Column:
         each = [
-            F.coalesce(F.when(_HINTS[k](t), F.filter(_located(t, F.lit(PATTERNS[k]), k, rank), _valid(k))), F.array().cast(_SPAN))
+            F.coalesce(F.when(_HINTS[k](t), _located(t, F.lit(PATTERNS[k]), k, rank)), F.array().cast(_SPAN))
             for rank, k in enumerate(KINDS)
         ]
         return F.sort_array(F.concat(*each))
@@ -104,73 +114,94 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
 
 
-def _checked(small: DataFrame) -> DataFrame:
-    """A written table as the side of a join: broadcast up to ``BROADCAST_ROWS`` rows, else left to a shuffle."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def disclosures(docs: DataFrame, *, text_col: str = "text", prior: float = PRIOR, disclosure: float = DISCLOSURE) -> DataFrame:
-    """Per text (64-bit hash) with protected entities: the terms that reveal one of them.
+    """text_key (64-bit hash), terms: for texts with protected entities, their terms that reveal one of these.
 
     With p over distinct texts, a term t reveals an entity e when PMI(t; e) >= ``disclosure`` * IC(e), that is
     p(e | t) >= p(e) ** (1 - ``disclosure``). Every entity is measured, those of a single text too: p(e | t) is smoothed as
-    (n_te + ``prior`` * p(e)) / (n_t + ``prior``), so that few texts weigh less than many. Entities of equal sets of texts
-    have equal terms and are measured once. An entity's documents are written once with their terms. A count over any part of the
-    corpus is at most the count over all of it, so a candidate that already fails among those texts, or among them and a
-    ``PRUNE``-th of the others, fails for good: only the rare rest is counted over the whole corpus. Copies of a text count once
-    everywhere.
+    (n_te + ``prior`` * p(e)) / (n_t + ``prior``), so that few texts weigh less than many. Solved for n_t, each pair allows its term a
+    largest number of texts; a term reveals something in a text when its number is within the largest that the text's entities
+    allow. Nothing but these maxima is kept of the pairs.
+
+    Entities of equal sets of texts are one, and so are terms of equal sets of texts, and a term that is in more of the entities'
+    texts than any of a text's entities could allow doesn't pair up there: a page that lists thousands of entities beside
+    thousands of words gives few pairs. An entity's documents are written once with their terms. A count over any part of the corpus
+    is at most the count over all of it, so a term that already fails among those texts, or among them and a ``PRUNE``-th of the
+    others, fails for good: only the rare rest is counted over the whole corpus. Copies of a text count once everywhere.
     """
     key = F.xxhash64(text_col).alias("text_key")
     found = docs.select(key, F.col(text_col).alias("text"), base_spans(F.col(text_col)).alias("spans")).filter(F.size("spans") > 0)
     entity = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], s["value"])))
     held = common.materialise(found.select("text_key", entity.alias("entities"), _terms(F.col("text")).alias("terms")), "entities")
     texts = docs.select(key).distinct().count()
-    pairs_of = held.select("text_key", F.explode("entities").alias("entity")).distinct()
-    sets = pairs_of.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor("text_key").alias("x"), F.bit_xor(F.xxhash64("text_key")).alias("y"))
-    measured = common.materialise(sets.groupBy("n_e", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "measured")
-    with_entity = common.materialise(pairs_of.join(_checked(measured), "entity"), "with_entity")
-    keys = common.materialise(held.select("text_key").distinct(), "keys")
-    uses = common.materialise(held.select("text_key", F.explode("terms").alias("term")).distinct(), "uses")
-    among = uses.groupBy("term").agg(F.count(F.lit(1)).alias("n_among"))
-    both = uses.join(with_entity, "text_key").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"))
-    share = F.col("n_e") / F.lit(float(max(1, texts)))
-
-    def reveals(n_t: Column) -> Column:
-        return (F.col("n_te") + prior * share) / (n_t + F.lit(prior)) >= F.pow(share, F.lit(1 - disclosure))
 
-    likely = common.materialise(both.join(among, "term").filter(reveals(F.col("n_among"))), "likely")
+    def allowed(n_te: Column, n_e: Column) -> Column:
+        """The most texts that a term may have to reveal an entity."""
+        share = n_e / F.lit(float(max(1, texts)))
+        return (n_te + prior * share) / F.pow(share, F.lit(1 - disclosure)) - F.lit(prior)
+
+    def sets(pairs: DataFrame, what: str, n: str) -> tuple[DataFrame, DataFrame]:
+        """(what, set, n) of each member, where a set is named by its smallest member, and (text_key, set, n) of each set."""
+        each = pairs.groupBy(what).agg(F.count(F.lit(1)).alias(n), F.bit_xor("text_key").alias("x"), F.bit_xor(F.xxhash64("text_key")).alias("y"))
+        named = each.groupBy(n, "x", "y").agg(F.min(what).alias("set"))
+        members = common.materialise(each.join(named, [n, "x", "y"]).select(what, "set", n), what)
+        own = members.filter(F.col(what) == F.col("set")).select(what, n)
+        return members, common.materialise(pairs.join(common.checked(own), what).select("text_key", F.col(what).alias(f"{what}_set"), n), f"{what}_sets")
+
+    _, with_entity = sets(held.select("text_key", F.explode("entities").alias("entity")).distinct(), "entity", "n_e")
+    members, uses = sets(held.select("text_key", F.explode("terms").alias("term")).distinct(), "term", "n_among")
+    most = with_entity.groupBy("text_key").agg(F.max("n_e").alias("most"))
+    able = uses.join(most, "text_key").filter(F.col("n_among") <= allowed(F.col("most"), F.col("most")))
+    met = common.materialise(able.select("text_key", "term_set", "n_among").join(with_entity, "text_key"), "met")
+    pairs = met.groupBy("term_set", "entity_set").agg(F.count(F.lit(1)).alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_among").alias("n_among"))
+    able_pairs = pairs.select("term_set", "entity_set", allowed(F.col("n_te"), F.col("n_e")).alias("most"), "n_among").filter(F.col("most") >= F.col("n_among")).drop("n_among")
+    caps = common.materialise(met.join(able_pairs, ["term_set", "entity_set"]).groupBy("text_key", "term_set").agg(F.max("most").alias("most")), "caps")
+    widest = caps.groupBy(F.col("term_set").alias("set")).agg(F.max("most").alias("most"))
+    likely = common.materialise(members.join(widest, "set").select("term", "set", "n_among", "most"), "likely")
 
     def texts_with(terms: DataFrame, some: DataFrame) -> DataFrame:
-        wanted = common.materialise(terms.select("term").distinct(), "wanted")
+        wanted = common.materialise(terms.select("term"), "wanted")
         each = some.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-        return each.join(_checked(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        return each.join(common.checked(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
     corpus = docs.select(key, F.col(text_col).alias("text"))
-    others = corpus.filter(F.pmod("text_key", F.lit(PRUNE)) == 0).join(_checked(keys), "text_key", "left_anti")
+    keys = common.materialise(held.select("text_key").distinct(), "keys")
+    others = corpus.filter(F.pmod("text_key", F.lit(PRUNE)) == 0).join(common.checked(keys), "text_key", "left_anti")
     seen = likely.join(texts_with(likely, others), "term", "left")
-    rare = common.materialise(seen.filter(reveals(F.col("n_among") + F.coalesce("n_t", F.lit(0)))).drop("n_t"), "rare")
-    n_t = texts_with(rare, corpus)
-    links = common.materialise(rare.join(n_t, "term").filter(reveals(F.greatest("n_t", "n_te"))).select("entity", "term"), "links")
-    return with_entity.join(_checked(links), "entity").groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    rare = common.materialise(seen.filter(F.col("n_among") + F.coalesce("n_t", F.lit(0)) <= F.col("most")).drop("n_t"), "rare")
+    counted = rare.join(texts_with(rare, corpus), "term").filter(F.col("n_t") <= F.col("most")).select("term", F.col("set").alias("term_set"), "n_t")
+    revealing = caps.join(common.checked(common.materialise(counted, "counted")), "term_set").filter(F.col("n_t") <= F.col("most"))
+    return revealing.groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def find(docs: DataFrame, *, text_col: str = "text", prior: float = PRIOR, disclosure: float = DISCLOSURE, into: str = "spans", keep: list[str] | None = None) -> DataFrame:
     """Documents (columns in ``keep``, default all) with all spans: pattern matches, and kind ``term`` for revealing terms.
 
     A term's spans are its occurrences, as a whole word in any case, in the texts of the entity that it reveals, outside pattern
-    matches. Null and empty texts have none; copies of a text have equal spans; rows of any id stay. An empty table gives none.
+    matches. Of these only e-mail addresses have letters, so terms are searched for in the text without their inner characters. Null
+    and empty texts have none; copies of a text have equal spans; rows of any id stay; a column ``into`` of the input is replaced. A very
+    long text takes time in proportion to its length and its matches. An empty table gives none.
     """
     columns = [c for c in (keep if keep is not None else docs.columns) if c != into]
-    terms = common.materialise(disclosures(docs, text_col=text_col, prior=prior, disclosure=disclosure), "terms").withColumnsRenamed({"text_key": "__key", "terms": "__terms"})
-    joined = docs.select(*columns, F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__key")).join(_checked(terms), "__key", "left")
+    terms = common.materialise(disclosures(docs, text_col=text_col, prior=prior, disclosure=disclosure), "terms")
+    text, key, revealing = common.fresh(docs, "text", "text_key", "terms")
+    terms = terms.withColumnsRenamed({"text_key": key, "terms": revealing})
+    joined = docs.select(*columns, F.col(text_col).alias(text), F.xxhash64(text_col).alias(key)).join(common.checked(terms), key, "left")
 
     def whole(base: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__terms", "|"), F.lit(r")(?!\p{L})"))
-        clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        more = F.filter(_located(F.col("__text"), pattern, "term", len(KINDS)), clear)
-        return F.when(F.col("__terms").isNull(), base).otherwise(F.sort_array(F.concat(base, F.coalesce(more, F.array().cast(_SPAN)))))
+        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(revealing, "|"), F.lit(r")(?!\p{L})"))
+        more = _located(_hollow(F.col(text)), pattern, "term", len(KINDS))
+        return F.when(F.col(revealing).isNull(), base).otherwise(F.sort_array(F.concat(base, F.coalesce(more, F.array().cast(_SPAN)))))
+
+    return joined.select(*columns, let(base_spans(F.col(text)), whole).alias(into))
+
 
-    return joined.select(*columns, let(base_spans(F.col("__text")), whole).alias(into))
+def _hollow(text: Column) -> Column:
+    """The text with a letter that no word has in place of each character inside an e-mail address: as long, and without its words."""
+    pattern = F.lit(PATTERNS["email"])
+    filled = lambda m: F.concat(F.left(m, F.lit(1)), F.repeat(F.lit(_FILLER), F.length(m) - 2), F.right(m, F.lit(1)))
+    joined = lambda gaps: F.array_join(F.zip_with(gaps, F.regexp_extract_all(text, pattern, F.lit(0)), lambda g, m: F.concat(g, F.coalesce(filled(m), F.lit("")))), "")
+    return F.when(_HINTS["email"](text), let(F.split(text, pattern, -1), joined)).otherwise(text)
 
 
 def sanitise(found: DataFrame, *, text_col: str = "text", spans_col: str = "spans") -> DataFrame:

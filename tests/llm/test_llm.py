@@ -523,6 +523,68 @@ def test_entities_of_one_text_are_measured(spark):
     assert found[150] == ["Quillfeather"] and all(found[i] == ["Zanderloot"] for i in range(151, 191)) and not any(found[i] for i in [*range(150), *range(191, 222)])
 
 
+def disclosures_brute(texts, prior=0.5, disclosure=0.9):
+    """Which terms reveal an entity of each distinct text, by plain sets."""
+    distinct = sorted({t for t in texts if t is not None}) + [None] * (None in texts)
+    entities, terms, words = {}, {}, {}
+    for k, t in enumerate(distinct):
+        t = t or ""
+        entities[k] = {(s.split(":")[0], t[int(s.split(":")[1]) : int(s.split(":")[2])]) for s in spans_brute(t).split(",") if s}
+        words[k] = set(re.findall(r"[^\W\d_]{2,}", t.lower()))
+        for pattern in PLAIN.values():
+            t = re.sub(pattern, " ", t)
+        terms[k] = set(re.findall(r"[^\W\d_]{2,}", t.lower()))
+    n = len(distinct)
+    out = {}
+    for k, t in enumerate(distinct):
+        found = set()
+        for e in entities[k]:
+            having = {j for j in entities if e in entities[j]}
+            share = len(having) / n
+            for w in terms[k]:
+                n_te, n_t = sum(w in terms[j] for j in having), sum(w in words[j] for j in words)
+                if (n_te + prior * share) / (n_t + prior) >= share ** (1 - disclosure):
+                    found.add(w)
+        if found:
+            out[t] = sorted(found)
+    return out
+
+
+def test_disclosures_are_those_of_plain_sets(spark):
+    rng = random.Random(12)
+    names = [f"{a}{b}" for a in ("quor", "zim", "bel", "tra", "vund") for b in ("ax", "olt", "ine", "ub", "esk")]
+    people = [f"p{i}@example.org" for i in range(12)] + [f"10.0.0.{i}" for i in range(6)]
+    texts = [f"{prose(i, 12)} {' '.join(rng.sample(names, 3))} {rng.choice(people)} {prose(40 + i, 4)} {rng.choice(people)}" for i in range(25)]
+    texts += [f"{prose(100 + i, 20)} {rng.choice(names)}" for i in range(60)] + [" ".join(people + names), "solitary word p1@example.org", "", None] + texts[:3]
+    rows = table(spark, texts).select("text", F.xxhash64("text").alias("text_key")).join(privacy.disclosures(table(spark, texts)), "text_key").distinct().collect()
+    expected = disclosures_brute(texts)
+    assert len(expected) >= 5 and {r["text"]: r["terms"] for r in rows} == expected
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"a{i}@b.org" if i % 3 else f"4111 1111 1111 {1000 + i % 9000}" for i in range(n))
+        began = time.time()
+        row = table(spark, [text]).select(F.size(privacy.base_spans(F.col("text"))).alias("n"), privacy._listed(privacy.base_spans(F.col("text"))).alias("s")).first()
+        took = time.time() - began
+        assert row["n"] >= n * 2 // 3
+        if n < 5_000:
+            assert row["s"] == spans_brute(text)
+        return took
+
+    seconds(3_000)
+    assert seconds(100_000) < 60
+
+
+def test_terms_inside_addresses_have_no_spans(spark):
+    texts = [f"{prose(i, 20)} nothing here" for i in range(150)] + [f"{prose(900, 9)} Quillfeather wrote as quillfeather@example.org éQuillfeather to quillfeather-x@example.org, Quillfeather"]
+    row = next(r for r in privacy.find(table(spark, texts)).collect() if r["doc_id"] == 150)
+    at = [m.start() for m in re.finditer(r"(?<![\w@-])Quillfeather(?![\w@-])", texts[150])]
+    assert [s["start"] for s in row["spans"] if s["value"] == "Quillfeather"] == at and len(at) == 2
+
+
 # ---- 10
 
 
