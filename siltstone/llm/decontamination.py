@@ -19,6 +19,7 @@ from . import bpe, common
 WINDOW = 10
 SAMPLE = 8
 BLOCK_WINDOWS = 100_000
+BLOCKS_PER_PASS = 4  # blocks of windows that go to the tasks at a time
 SHARD_CHARS = 8 << 20
 
 RESULT = T.StructType([
@@ -203,45 +204,57 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, mos
     yield Phrases(items, window)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, into: str = "contamination", keep: list[str] | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, into: str = "contamination", keep: list[str] | None = None, block_windows: int = BLOCK_WINDOWS, blocks_per_pass: int = BLOCKS_PER_PASS) -> DataFrame:
     """Each document with a struct column ``into``: n_words, n_hit, item_ids (sorted as text) and merged spans of word positions.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Scanning needs no
     shuffle: each task indexes its own slices of at most about ``SHARD_CHARS`` characters (a longer text is a slice of its own).
-    The benchmark goes to the tasks in blocks of about ``block_windows`` windows, one pass after the other, so its size has no
-    limit. Null and empty texts have no words; null items' texts have no windows; a null item id is the empty text. An empty
-    benchmark or table gives no hits. Rows, repeated ones too, and other columns stay (those in ``keep``, default all).
+    The benchmark goes to the tasks as a broadcast of at most ``blocks_per_pass`` blocks of about ``block_windows`` windows, which one
+    Python stage takes in turn; a larger benchmark takes further passes, each over what the one before wrote. Null and empty texts have
+    no words; null items' texts have no windows; a null item id is the empty text. Items with the same window all count as occurring,
+    and repeated items as one. An empty benchmark or table gives no hits. Rows, repeated ones too, and other columns stay (those in
+    ``keep``, default all; a column ``into`` is replaced).
     """
     columns = [c for c in (keep or docs.columns) if c != into]
     current = docs.select(*columns, *([] if text_col in columns else [text_col]))
-    names = current.columns
     schema = T.StructType([*current.schema.fields, T.StructField(into, RESULT)])
+    context, some = docs.sparkSession.sparkContext, []
     for phrases in _blocks(benchmark, item_col, item_text_col, window, block_windows):
+        if len(some) == blocks_per_pass:
+            current = common.materialise(current.mapInArrow(_scanner(context.broadcast(some), text_col, into), schema), "marked")
+            some = []
+        some.append(phrases)
+    return current.mapInArrow(_scanner(context.broadcast(some), text_col, into), schema).select(*columns, into)
 
-        def scan(batches, phrases=phrases):
-            arrow = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-            for batch in batches:
-                at = {f.name: k for k, f in enumerate(batch.schema)}
-                texts = batch.column(at[text_col]).to_pylist()
-                old = batch.column(at[into]).to_pylist() if into in at else [None] * len(texts)
-                rows = []
-                for a, b in bpe.few(texts, SHARD_CHARS):
-                    for (n, spans, items), was in zip(phrases.scan(texts[a:b]), old[a:b]):
-                        if was:
-                            spans = spans + [(s["start"], s["end"]) for s in was["spans"]]
-                            items = items.union(was["item_ids"])
-                        spans = _merge(spans)
-                        rows.append({"n_words": n, "n_hit": sum(b - a for a, b in spans), "item_ids": sorted(items), "spans": [{"start": a, "end": b} for a, b in spans]})
-                columns = [batch.column(at[c]) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, arrow)], names=[*names, into])
-
-        current = current.mapInArrow(scan, schema)
-    return current.select(*columns, into)
+
+_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+
+def _scanner(sent, text_col: str, into: str):
+    """Marks texts with the hits of each block of phrases, and with those of an earlier pass."""
+
+    def scan(batches):
+        for batch in batches:
+            at = {f.name: k for k, f in enumerate(batch.schema)}
+            texts = batch.column(at[text_col]).to_pylist()
+            old = batch.column(at[into]).to_pylist() if into in at else [None] * len(texts)
+            rows = []
+            for a, b in bpe.few(texts, SHARD_CHARS):
+                found = [(0, [(s["start"], s["end"]) for s in was["spans"]], set(was["item_ids"])) if was else (0, [], set()) for was in old[a:b]]
+                for phrases in sent.value:
+                    found = [(n, spans + more, items | others) for (_, spans, items), (n, more, others) in zip(found, phrases.scan(texts[a:b]))]
+                for n, spans, items in found:
+                    spans = _merge(spans)
+                    rows.append({"n_words": n, "n_hit": sum(b - a for a, b in spans), "item_ids": sorted(items), "spans": [{"start": a, "end": b} for a, b in spans]})
+            kept = [f.name for f in batch.schema if f.name != into]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in kept), pa.array(rows, _ARROW)], names=[*kept, into])
+
+    return scan
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, **more) -> DataFrame:
-    """The documents without any occurrence of a window; columns as they are."""
-    into = "__contamination"
+    """The documents without any occurrence of a window; columns as they are, of whatever names."""
+    (into,) = common.fresh(docs, "contamination")
     return mark(docs, benchmark, text_col=text_col, window=window, into=into, **more).filter(F.col(into)["n_hit"] == 0).drop(into)
 
 

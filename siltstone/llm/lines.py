@@ -12,7 +12,6 @@ MIN_SITES = 10
 MIN_WORDS = 3
 BAND = 0.3  # sketches within this share of the threshold are counted exactly
 LG_K = 12
-LEAST_LEFT = 0.2  # a text that would keep less of its characters is a copy, not a page with boilerplate
 BROADCAST_LINES = 100_000  # boilerplate lines are broadcast up to so many
 HOT = 1000  # beyond it, those with over a HOT-th of all rows (so under HOT of them) are
 
@@ -44,18 +43,20 @@ def spread(docs: DataFrame, *, text_col: str = "text", site_col: str = "source",
     return joined.filter(F.coalesce("exact", "sites") >= min_sites).select("line", "n")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND, least_left: float = LEAST_LEFT, counts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND, least_left: float = 0.0, counts: bool = False) -> DataFrame:
     """Documents without their cross-site lines; other columns stay as they are.
 
-    A line goes if its trimmed text has ``min_words`` words and is on ``min_sites`` sites. A text that would keep less than
-    ``least_left`` of its characters stays whole: it is a copy of a text that is on many sites, and left to document
-    deduplication. Null texts stay null, empty ones empty; blank lines stay. Null ids are keyed by their text; rows of equal
-    id share their boilerplate lines, which changes nothing as a line is boilerplate for all documents. Repeated rows all stay.
-    ``counts`` adds n_lines and n_removed.
+    A line goes if its trimmed text has ``min_words`` words and is on ``min_sites`` sites. ``least_left`` is off by default; a
+    caller that deduplicates documents next can set it, and a text that would keep less than this share of its characters then stays
+    whole for that step. Null texts stay null, empty ones empty; blank lines stay. Null ids are keyed by their text; rows of equal
+    id share their boilerplate lines, which changes nothing as a line is boilerplate for all documents. Repeated rows and lines all
+    count and all stay or go alike. A very long text is one row of its lines' hashes. An empty table gives an empty one. Columns of any
+    other name stay as they are.
     """
     boiler = common.materialise(spread(docs, text_col=text_col, site_col=site_col, min_sites=min_sites, min_words=min_words, band=band), "boilerplate")
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    each = docs.select(key.alias("__key"), F.explode(_hashes(F.col(text_col), min_words)).alias("line"))
+    doc, dropped, rest = common.fresh(docs, "doc", "dropped", "rest")
+    each = docs.select(key.alias(doc), F.explode(_hashes(F.col(text_col), min_words)).alias("line"))
     found = boiler.count()
     if found <= BROADCAST_LINES:
         hits = each.join(F.broadcast(boiler.select("line")), "line")
@@ -63,20 +64,22 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
         most = boiler.agg(F.sum("n")).first()[0] / HOT
         hot, rest = boiler.filter(F.col("n") > most).select("line"), boiler.filter(F.col("n") <= most).select("line")
         hits = each.join(F.broadcast(hot), "line").unionByName(each.join(rest, "line"))
-    gone = hits.groupBy("__key").agg(F.collect_set("line").alias("__gone"))
-    joined = docs.withColumn("__key", key).join(gone, "__key", "left")
+    gone = hits.groupBy(doc).agg(F.collect_set("line").alias(dropped))
+    joined = docs.withColumn(doc, key).join(gone, doc, "left")
     text = F.col(text_col)
 
     def cut(parts: Column) -> Column:
-        kept = F.filter(parts, lambda s: ~(F.array_contains("__gone", _hash(s)) & (F.size(words(s)) >= min_words)))
+        kept = F.filter(parts, lambda s: ~(F.array_contains(dropped, _hash(s)) & (F.size(words(s)) >= min_words)))
+        if not least_left:
+            return kept
         sizes = lambda x: F.length(F.translate(F.array_join(x, ""), " \t\r", ""))
         return let(kept, lambda k: F.when(sizes(k) >= least_left * sizes(parts), k).otherwise(parts))
 
-    lean = joined.withColumn("__left", F.when(F.col("__gone").isNotNull(), let(lines(text), cut)))
-    columns = [F.when(F.col("__left").isNotNull(), F.array_join("__left", "\n")).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    lean = joined.withColumn(rest, F.when(F.col(dropped).isNotNull(), let(lines(text), cut)))
+    columns = [F.when(F.col(rest).isNotNull(), F.array_join(rest, "\n")).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
         n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(lines(text))).cast("long")
-        columns += [n.alias("n_lines"), F.when(F.col("__left").isNotNull(), n - F.size("__left")).otherwise(F.lit(0)).cast("long").alias("n_removed")]
+        columns += [n.alias("n_lines"), F.when(F.col(rest).isNotNull(), n - F.size(rest)).otherwise(F.lit(0)).cast("long").alias("n_removed")]
     return lean.select(*columns)
 
 
@@ -91,9 +94,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, chr(
 l AS (SELECT r, site, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line FROM (SELECT r, site, string_split(text, chr(10)) AS s FROM d WHERE text IS NOT NULL)),
 t AS (SELECT r, site, i, line, trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {MIN_WORDS} AS long_enough FROM l),
 b AS (SELECT bare FROM t WHERE long_enough GROUP BY bare HAVING count(DISTINCT site) >= {MIN_SITES}),
-m AS (SELECT t.*, long_enough AND b.bare IS NOT NULL AS gone, length(translate(line, ' ' || chr(9) || chr(13), '')) AS size FROM t LEFT JOIN b ON t.bare = b.bare),
-g AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS k, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS rest, coalesce(sum(size) FILTER (NOT gone), 0) >= {LEAST_LEFT}::DOUBLE * sum(size) AS enough FROM m GROUP BY r)
-SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(CASE WHEN k > 0 AND enough THEN k ELSE 0 END AS BIGINT) AS n_removed,
-  sha256(CASE WHEN k > 0 AND enough THEN coalesce(rest, '') ELSE coalesce(text, '') END) AS text_sha256
+m AS (SELECT t.*, long_enough AND b.bare IS NOT NULL AS gone FROM t LEFT JOIN b ON t.bare = b.bare),
+g AS (SELECT r, count(*) AS n, count(*) FILTER (gone) AS k, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS rest FROM m GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(k, 0) AS BIGINT) AS n_removed, sha256(CASE WHEN k > 0 THEN coalesce(rest, '') ELSE coalesce(text, '') END) AS text_sha256
 FROM d LEFT JOIN g USING (r)
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import zlib
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ MAX_LEN = 2048
 OPEN_BINS = 16384
 DOCS_PER_PACK = 100_000
 
+_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -55,7 +57,10 @@ def best_fit(lengths: list[int], size: int = MAX_LEN, open_bins: int = OPEN_BINS
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
-    """A row for each piece of each document's ids (the end id added): the first piece takes what is over a multiple of ``max_len``."""
+    """A row for each piece of each document's ids (the end id added): the first piece takes what is over a multiple of ``max_len``.
+
+    ``copy`` tells equal rows of a batch apart: 0 for the first.
+    """
 
     def cut(batches):
         encoder = bpe.encoder(vocabulary)
@@ -63,26 +68,31 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
+            seen: collections.Counter = collections.Counter()
             for a, b in bpe.few(texts):
                 for doc, code in zip(ids[a:b], encoder.encode(texts[a:b])):
                     code += end
                     n = len(code) // 4
                     at, step = 0, n % max_len or max_len
+                    name = doc, n, zlib.crc32(code)
+                    copy = seen[name]
+                    seen[name] += 1
                     for k in range(-(-n // max_len)):
-                        rows.append((doc, k, at, step, zlib.crc32(code[4 * at : 4 * (at + step)])))
+                        rows.append((doc, k, at, step, zlib.crc32(code[4 * at : 4 * (at + step)]), copy))
                         at, step = at + step, max_len
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*_COLUMNS, "copy"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, f"{_PIECES}, copy int")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, open_bins: int = OPEN_BINS, docs_per_pack: int = DOCS_PER_PACK, vocabulary: str | None = None, end_id: int = 0) -> DataFrame:
     """Pack all documents into sequences of at most ``max_len`` ids; a row for each piece with its sequence and offset.
 
     The texts are encoded where they are read; only pieces' lengths are shuffled, to packs of about ``docs_per_pack`` documents
-    each by a hash of the row, so that the result doesn't depend on how the input is split and a lost task repeats alike.
+    each by a hash of the row and its number among equal ones of a batch, so that repeated rows spread as others do, the packs of other
+    rows don't depend on how the input is split, and a lost task repeats alike.
     A pack feeds its pieces, longest first, to ``best_fit``. Null text: the end id alone. Null ids and repeated rows are packed as
     any other. An empty table gives no rows. Columns besides id and text are not read.
     """
@@ -92,11 +102,11 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("ids_crc32", "ascending"), ("piece", "ascending")])
         bins, offsets = best_fit(table["length"].to_pylist(), max_len, open_bins)
         first = key[0].as_py() << 40
-        out = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        out = table.select(_COLUMNS)
         return out.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
     rows = pieces(docs, id_col=id_col, text_col=text_col, max_len=max_len, vocabulary=vocabulary, end_id=end_id)
-    key = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(packs))
+    key = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "copy"), F.lit(packs))
     return rows.withColumn("pack", key).groupBy("pack").applyInArrow(place, f"{_PIECES}, sequence_id long, offset long")
 
 

@@ -135,13 +135,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     own = ("p_doc", "host_mean", "path_mean", "quality_score", "quality_keep")
     weights = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows)
-    sites, mean = site_posteriors(evidence(docs, weights, text_col=text_col, keep=[host_col, path_col]), host_col=host_col, path_col=path_col)
     columns = [c for c in (keep if keep is not None else docs.columns) if c not in own]
-    scored = evidence(docs, weights, text_col=text_col, keep=list(dict.fromkeys([*columns, host_col, path_col])))
-    sites = common.materialise(sites, "sites").withColumnsRenamed({host_col: "__host", path_col: "__path"})
-    if sites.count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)
-    joined = scored.join(sites, F.col(host_col).eqNullSafe(F.col("__host")) & F.col(path_col).eqNullSafe(F.col("__path")), "left")
+    scored = common.materialise(evidence(docs, weights, text_col=text_col, keep=list(dict.fromkeys([*columns, host_col, path_col]))), "evidence")
+    sites, mean = site_posteriors(scored, host_col=host_col, path_col=path_col)
+    host, path = common.fresh(scored, "site_host", "site_path")
+    sites = common.materialise(sites, "sites").withColumnsRenamed({host_col: host, path_col: path})
+    joined = scored.join(common.checked(sites, BROADCAST_SITES), F.col(host_col).eqNullSafe(F.col(host)) & F.col(path_col).eqNullSafe(F.col(path)), "left")
     logit = lambda c: F.log(c / (1 - c))
     inside = lambda c: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), c))
     z = logit(inside(F.col("p_doc"))) + logit(inside(F.col("path_mean"))) - math.log(max(1e-9, mean) / max(1e-9, 1 - mean))

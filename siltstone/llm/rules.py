@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .native import GAP, let, lines, total, trimmed, words
 
 #: Rules in the order of their bits: name, and when a document fails, from the measurements.
@@ -74,10 +75,12 @@ def ledger(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None =
 
     Every rule is evaluated once, in one projection without a shuffle; policies and ablations read the ledger only. Null and
     empty texts have no words, so they fail ``few_words``. Columns of the ledger's names, if the input has any, are replaced.
-    Repeated rows all stay; an empty table gives an empty ledger.
+    Repeated rows all stay; a very long text is one row of its words' hashes; an empty table gives an empty ledger. A caller that applies
+    several policies writes the ledger once and reads it for each.
     """
     columns = [c for c in (keep if keep is not None else docs.columns) if c not in (*MEASURES, "rule_bits")]
-    measured = docs.select(*columns, measure(F.col(text_col)).alias("__m")).select(*columns, *(F.col("__m")[m].alias(m) for m in MEASURES))
+    (all_,) = common.fresh(docs, "measures")
+    measured = docs.select(*columns, measure(F.col(text_col)).alias(all_)).select(*columns, *(F.col(all_)[m].alias(m) for m in MEASURES))
     bits = sum((F.when(F.expr(fails), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, (_, fails) in enumerate(RULES)), F.lit(0).cast("long"))
     return measured.withColumn("rule_bits", bits)
 

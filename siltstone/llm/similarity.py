@@ -17,7 +17,6 @@ SIMILARITY = 0.8
 RECALL = 0.999
 MAX_HASHES = 160
 BLOCK = 300  # members of a bucket that are compared with each other, or with another block, in one go
-BROADCAST_ROWS = 100_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -176,10 +175,6 @@ def _local_roots(nodes: np.ndarray, pairs: np.ndarray) -> dict[int, int]:
     return {x: root(x) for x in list(parent)}
 
 
-def _checked(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node that it is connected with) for every node of ``edges`` (node, root).
 
@@ -222,7 +217,7 @@ def _linked(docs: DataFrame, signed: DataFrame, *, text_col: str, words: int, si
     parts = F.col("key"), F.col("i"), F.col("j")
     needed = common.materialise(placed.repartition(*parts).sortWithinPartitions("key", "i", "j", "node").mapInArrow(candidates, shape), "candidates")
     keys = common.materialise(needed.select("node").distinct().join(nodes.select("node", "text_key"), "node").select("text_key"), "texts")
-    texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).join(_checked(keys), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).join(common.checked(keys), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
 
     def sets(batches):
         for batch in batches:
@@ -282,8 +277,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     known = common.materialise(known, "known")
     classes = known.groupBy("label").agg(F.min("least").alias("class_id"))
     table = common.materialise(known.join(classes, "label").select("node", F.coalesce("n_links", F.lit(0)).alias("links"), "n_copies", "class_id", F.col("label").alias("class_key")), "classes")
-    out = signed.select("doc_id", "text_key", "node", "n").join(_checked(table).withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", "text_key", F.when(F.col("__node").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "class_key")
+    out = signed.select("doc_id", "text_key", "node", "n").join(common.checked(table.withColumnRenamed("node", "named")), (F.col("node") == F.col("named")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", "text_key", F.when(F.col("named").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "class_key")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -293,14 +288,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     found = common.materialise(join(docs, id_col=id_col, text_col=text_col, **more), "join")
     multi = found.filter((F.col("n_copies") > 1) | (F.col("n_links") > 0)).filter(F.col("class_id").isNotNull())
-    best = multi.filter(F.col("doc_id") == F.col("class_id")).groupBy("class_key").agg(F.min("text_key").alias("best_key"), F.count(F.lit(1)).alias("rows"))
-    marked = multi.join(best, "class_key")
-    acts = marked.groupBy("doc_id", "text_key").agg(F.max(F.when((F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("best_key")), F.col("rows")).otherwise(0)).alias("__rows")).filter(F.col("__rows") != 1)
-    acts = common.materialise(acts.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), "acts")
-    joined = docs.join(_checked(acts), F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left")
-    kept = joined.filter(F.col("__id").isNull() & F.col("__key").isNull()).select(*docs.columns)
-    if acts.filter(F.col("__rows") > 1).limit(1).count():
-        again = joined.filter(F.col("__rows") > 1).dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    best = common.materialise(multi.filter(F.col("doc_id") == F.col("class_id")).groupBy("class_key").agg(F.min("text_key").alias("best_key"), F.count(F.lit(1)).alias("rows")), "best")
+    marked = multi.join(common.checked(best), "class_key")
+    chosen = (F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("best_key"))
+    row, key, rows = common.fresh(docs, "row_id", "row_key", "rows")
+    acts = marked.groupBy("doc_id", "text_key").agg(F.max(F.when(chosen, F.col("rows")).otherwise(0)).alias(rows)).filter(F.col(rows) != 1)
+    acts = common.materialise(acts.withColumnsRenamed({"doc_id": row, "text_key": key}), "acts")
+    joined = docs.join(common.checked(acts), F.col(id_col).cast("long").eqNullSafe(F.col(row)) & (F.xxhash64(text_col) == F.col(key)), "left")
+    kept = joined.filter(F.col(row).isNull() & F.col(key).isNull()).select(*docs.columns)
+    if acts.filter(F.col(rows) > 1).limit(1).count():
+        again = joined.filter(F.col(rows) > 1).dropDuplicates([row, key]).select(*docs.columns)
         kept = kept.unionByName(again)
     return kept
 

@@ -68,12 +68,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Weights, one for each slot, from at most ``max_rows`` labelled rows out of all folds but 0, chosen by a hash of their id.
 
     The sample's ids are few enough to broadcast by that bound; features are made where the texts are, and one task learns from
-    them in the order of the hash, so that the model is the same however the input is split. Rows of equal id count as one label
-    (the largest). No labelled rows: all weights are 0 and the bias is very low, so every score is near 0.
+    them in the order of the hash, so that the model is the same however the input is split. Labels of equal id count as one (the
+    largest); repeated rows are learnt from once, and rows of one id with different texts each, within the same bound. Null ids and
+    labels are left out. No labelled rows, or an empty table: all weights are 0 and the bias is very low, so every score is near 0.
     """
     given = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).dropna()
     sample = given.filter(common.fold("id", folds) != 0).groupBy("id").agg(F.max("y").alias("y")).withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(max_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    labelled = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    chosen = labelled.select("order", "id", "text_key").distinct().orderBy("order", "id", "text_key").limit(max_rows)  # an id may be that of many rows
+    rows = labelled.join(F.broadcast(chosen), ["order", "id", "text_key"]).groupBy("order", "id", "text_key").agg(F.first("y").alias("y"), F.first("text").alias("text"))
 
     def extract(batches):
         for batch in batches:
@@ -102,7 +105,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, bits: int = BITS) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row; null and empty texts get the bias alone. No shuffle."""
+    """doc_id, held_out, score and predicted for every row, in no shuffle.
+
+    Null and empty texts get the bias alone. Repeated rows all return, with equal scores. Very long texts are read whole. Other columns
+    are not read. An empty table gives no rows.
+    """
     slots = np.flatnonzero(weights).astype(np.int32)
     sent = docs.sparkSession.sparkContext.broadcast((slots, weights[slots]))  # at most 2**bits of each
 

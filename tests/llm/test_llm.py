@@ -78,8 +78,8 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = table(spark, texts, [*ODD_IDS, 10, 11, 12, 13])
     expected = collections.Counter((n, h, tuple(i)) for n, h, i in windows_brute(texts, items))
-    for block in (100_000, 10):
-        rows = [r["contamination"] for r in decontamination.mark(docs, bench, block_windows=block).collect()]
+    for more in ({}, {"block_windows": 10}, {"block_windows": 10, "blocks_per_pass": 2}):
+        rows = [r["contamination"] for r in decontamination.mark(docs, bench, **more).collect()]
         assert collections.Counter((r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in rows) == expected
     clean = decontamination.decontaminate(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not h for _, h, _ in windows_brute(texts, items))
@@ -116,6 +116,37 @@ def test_quality(spark):
     assert quality.classify(odd, labels.limit(0)).filter("NOT quality_keep").count() == 0
 
 
+def test_posteriors_are_those_of_the_formula(spark):
+    rng = random.Random(3)
+    rows = [(h, p, min(0.99, max(0.01, rng.gauss(mean, 0.15)))) for h, p, n, mean in (("a", "x", 40, 0.8), ("a", "y", 3, 0.2), ("b", "x", 25, 0.4), (None, None, 7, 0.6), ("c", None, 1, 0.1)) for _ in range(n)]
+    out, mean = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p_doc double"))
+    got = {(r["host"], r["path"]): (r["host_mean"], r["path_mean"]) for r in out.collect()}
+
+    def strength(groups):  # one-way random effects by moments
+        n, k = sum(map(len, groups)), len(groups)
+        within = sum(sum((x - sum(g) / len(g)) ** 2 for x in g) for g in groups) / (n - k)
+        return within, n, k
+
+    paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for h, p, x in rows:
+        paths[h, p].append(x)
+        hosts[h].append(x)
+    total = [x for g in hosts.values() for x in g]
+    m = sum(total) / len(total)
+    w, n, k = strength(list(hosts.values()))
+    between = (sum(len(g) * (sum(g) / len(g) - m) ** 2 for g in hosts.values()) - (k - 1) * w) / (n - sum(len(g) ** 2 for g in hosts.values()) / n)
+    host_k = min(1e6, max(1.0, w / between)) if between > 0 else 1e6
+    host_mean = {h: (sum(g) + host_k * m) / (len(g) + host_k) for h, g in hosts.items()}
+    w, n, k = strength(list(paths.values()))
+    inner = sum(len(g) * (sum(g) / len(g) - sum(hosts[h]) / len(hosts[h])) ** 2 for (h, _), g in paths.items())
+    groups = k - len(hosts) + 1
+    between = (inner - (groups - 1) * (w_ := sum(sum((x - sum(g) / len(g)) ** 2 for x in g) for g in paths.values()) / (n - groups))) / (n - sum(len(g) ** 2 for g in paths.values()) / n)
+    path_k = min(1e6, max(1.0, w_ / between)) if between > 0 else 1e6
+    assert abs(mean - m) < 1e-12 and len(got) == 5
+    for (h, p), g in paths.items():
+        assert abs(got[h, p][0] - host_mean[h]) < 1e-9 and abs(got[h, p][1] - (sum(g) + path_k * host_mean[h]) / (len(g) + path_k)) < 1e-9
+
+
 # ---- 3
 
 
@@ -246,7 +277,9 @@ def test_line_dedup_matches_sql(spark):
     sql = con.execute(lines.SQL).fetchall()
     assert rows == collections.Counter((None if i is None else int(i), a, b, h) for i, a, b, h in sql)
     kept = {r["doc_id"]: r["text"] for r in got.collect()}
-    assert "All rights" not in kept[0] and "ten sites" not in kept[0] and "nine sites" in kept[0] and kept[14] == copy and kept[26] == "All rights reserved here."
+    assert "All rights" not in kept[0] and "ten sites" not in kept[0] and "nine sites" in kept[0] and kept[14] == kept[26] == ""
+    whole = {r["doc_id"]: r["text"] for r in lines.dedup(docs, least_left=0.2).collect()}
+    assert "All rights" not in whole[0] and whole[14] == copy and whole[26] == "All rights reserved here."
     assert lines.dedup(docs.limit(0)).count() == 0
 
 
@@ -333,6 +366,23 @@ def test_similarity(spark):
     assert similarity.join(docs.limit(0)).count() == 0 and similarity.keep_one(docs.limit(0)).count() == 0
 
 
+def test_recall_near_the_threshold(spark):
+    rng = random.Random(77)
+    texts, pairs = [], 0
+    for k in range(150):
+        base = prose(3000 + k, 300).split()
+        other = list(base)
+        for at in rng.sample(range(5, 295), rng.randint(5, 7)):
+            other[at] = f"changed{rng.random()}".replace(".", "x")
+        a, b = (set(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (common.alnum_words(" ".join(base)), common.alnum_words(" ".join(other))))
+        if 0.80 <= len(a & b) / len(a | b) <= 0.85:
+            texts += [" ".join(base), " ".join(other)]
+            pairs += 1
+    rows = similarity.join(table(spark, texts)).collect()
+    found = sum(r["n_links"] == 1 for r in rows) / 2
+    assert pairs >= 40 and found >= 0.97 * pairs
+
+
 def test_classes_that_share_an_id_keep_one_each(spark):
     one, two = near_copies(31, 2), near_copies(32, 2)
     kept = similarity.keep_one(table(spark, [*one, *two], [1, 2, 1, 3])).collect()
@@ -613,6 +663,45 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(docs.limit(3), toxicity.fit(docs, labels.limit(0))).collect()} == {0}
 
 
+def test_ftrl_is_that_of_plain_dictionaries():
+    rng = random.Random(6)
+    rows = [([0, *sorted(rng.sample(range(1, 60), rng.randint(1, 8)))], rng.randint(0, 1)) for _ in range(300)]
+    model = toxicity.FTRL(bits=6, alpha=0.5, beta=1.0, l1=0.3, l2=0.1)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = 0.3 if i else 0.0
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.5 + 0.1)
+
+    for slots, y in rows:
+        model.learn(np.array(slots), y)
+        w = {i: weight(i) for i in slots}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for i in slots:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w[i]
+            n[i] += g * g
+    assert np.allclose(model.weights(np.arange(64)), [weight(i) for i in range(64)], atol=1e-9) and (model.weights(np.arange(64)) == 0).any()
+
+
+def test_a_label_of_many_rows_stays_within_the_bound(spark):
+    docs = table(spark, [prose(i, 20) for i in range(60)] + [prose(0, 20)] * 40, [1] * 100)
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert (toxicity.fit(docs, labels, max_rows=5) == toxicity.fit(docs.repartition(5), labels, max_rows=5)).all()
+
+
+# ---- columns of any name
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["__key", "__id", "__rows", "__contamination", "contamination", "doc", "dropped", "rest", "row_id", "row_key", "rows", "text_key", "terms", "site_host", "measures"]
+    texts = [*ODD, *near_copies(5, 3), prose(1, 60), prose(1, 60)]
+    docs = table(spark, texts, [*ODD_IDS, *range(50, 55)]).select("doc_id", "text", "lang", "source", *(F.concat(F.lit(f"{n}:"), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(n) for n in names))
+    labels, bench = spark.createDataFrame([(50, 1, 0), (51, 0, 1)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, "unheard phrase of words")], "item_id long, text string")
+    for out in (lines.dedup(docs), similarity.keep_one(docs), decontamination.decontaminate(docs, bench), privacy.find(docs, into="found"), rules.ledger(docs), quality.classify(docs, labels)):
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{-1 if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
+
+
 # ---- pipeline
 
 
@@ -628,6 +717,21 @@ def test_pipeline(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i < 40 or i >= 60), 0) for i in ids if i % 2], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = [(None, None, "en", None, None, 1), (900, "", "en", "s0", 0, 2), (901, None, None, "s0", None, 3), (902, "solo", "en", "s0", 4, 4), (902, "solo", "en", "s0", 4, 4), (903, "very long " * 30_000, "en", "s0", 1, 5)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, row_key int"
+    strange = spark.createDataFrame(odd, shape)
+    for name, stage in corpus_pipeline.STAGES:
+        made, none = stage(spark, strange, str(tmp_path)), stage(spark, strange.limit(0), str(tmp_path))
+        assert none.count() == 0
+        if name == "best_fit_packing":
+            assert {r["doc_id"] for r in made.collect()} == {None, 900, 901, 902, 903}
+        else:
+            kept = made.collect()
+            assert made.columns == strange.columns and all(tuple(r) in odd for r in kept) or name == "line_dedup"
+            if name in ("line_dedup", "benchmark_decontamination"):
+                assert sorted(r["row_key"] for r in kept) == [1, 2, 3, 4, 4, 5]
+            if name == "ngram_jaccard_join":
+                assert sorted(r["row_key"] for r in kept) == [1, 2, 3, 4, 5]
     current = docs
     left = {}
     for name, stage in corpus_pipeline.STAGES:
