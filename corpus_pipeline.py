@@ -12,30 +12,55 @@ from pyspark.sql import functions as F
 from siltstone.llm import common, decontamination, lines, packing, quality, similarity
 
 
+LEAST_LEFT = 0.2  # a text that line dedup would leave less of stays whole for the stage after it, which keeps one of its copies
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps; its decision uses the source as host and the language as path."""
+    """Documents that the classifier keeps; its decision uses the source as host and the language as path.
+
+    Null and empty texts are judged by their lack of words, null sources and languages are sites of their own, rows of null ids and
+    repeated rows are judged alike and all kept or dropped. A very long text is one row. An empty table gives an empty one; without
+    labels everything is kept. Extra columns of any name stay.
+    """
     scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.filter("quality_keep").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; n_chars follows the text."""
-    lean = lines.dedup(docs)
+    """Documents without cross-site boilerplate lines; n_chars follows the text.
+
+    A text of which less than ``LEAST_LEFT`` would be left stays whole: most such are copies on many sites, of which the next stage
+    keeps one, and cut copies would no longer be seen as such. Null texts stay null, empty ones empty; no row is dropped, repeated ones
+    neither. Very long texts are read whole. An empty table gives an empty one. Extra columns of any name stay.
+    """
+    lean = lines.dedup(docs, least_left=LEAST_LEFT)
     return lean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else lean
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: the smallest doc_id, then the smallest hash of the text.
+
+    Null, empty and wordless texts all stay; of repeated rows one stays; classes of null ids alone stay. Very long texts are compared
+    whole. An empty table gives an empty one. Extra columns of any name stay.
+    """
     return similarity.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item.
+
+    Null and empty texts have no words and stay; repeated rows stay or go alike, whatever their ids. A very long text is searched
+    whole. An empty table gives an empty one, an empty benchmark drops nothing. Extra columns of any name stay.
+    """
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequences."""
+    """Pieces of the documents with their sequences.
+
+    Null and empty texts are the end id alone; null ids and repeated rows are packed as any other, equal lengths go by id. A very long
+    text is cut into pieces. An empty table gives no rows. Extra columns are not read.
+    """
     return packing.pack(docs)
 
 
