@@ -39,13 +39,21 @@ def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Co
 
 
 def mcnemar(b: int, c: int) -> float:
-    """Exact two-sided binomial test of b against c; 1 without discordant pairs."""
+    """Exact two-sided binomial test of b against c discordant pairs; 1 without any."""
     n = b + c
-    if n == 0:
-        return 1.0
-    terms = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2) for k in range(min(b, c) + 1)]
-    top = max(terms)
-    return min(1.0, 2 * math.exp(top) * sum(math.exp(t - top) for t in terms))
+    return min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(min(b, c) + 1))) if n else 1.0
+
+
+def mcnemar_exact(b: Column, c: Column) -> Column:
+    """The same test for each row of a table, in the JVM.
+
+    With m the smaller of them and n = b + c, the tail is C(n, m) * (1 + m / (n - m + 1) * (1 + (m - 1) / (n - m + 2) * ...)).
+    """
+    n, m = (b + c).cast("double"), F.least(b, c).cast("long")
+    steps = F.when(m > 0, F.sequence(F.lit(1).cast("long"), m)).otherwise(F.array().cast("array<bigint>"))
+    log_choose = F.aggregate(steps, F.lit(0.0), lambda a, i: a + F.log((n - m + i) / i))
+    nested = F.aggregate(steps, F.lit(1.0), lambda a, i: 1 + a * i / (n - i + 1))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(log_choose - n * math.log(2)) * nested))
 
 
 def holm(df: DataFrame, p: str, name: str, into: str = "p_holm") -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..functions.statistics import holm, mcnemar, rank_percentiles, wilson
+from ..functions.statistics import holm, mcnemar_exact, rank_percentiles, wilson
+from ..functions.text import common_prefix
 
 GROUP = ["dataset", "protocol"]
 REPEATED = 0.20
@@ -54,6 +54,32 @@ def prediction_summary(p: DataFrame, by: list[str] = GROUP) -> DataFrame:
     return base.join(macro_f1(p, by), by)
 
 
+def token_boundaries(df: DataFrame, prompt_ids: str, full_ids: str, max_length: int) -> DataFrame:
+    """One row on where supervision begins: the tokens after the common beginning of a prompt's ids and its conversation's ids."""
+    shared = common_prefix(F.col(prompt_ids), F.col(full_ids))
+    each = df.select(F.size(full_ids).cast("long").alias("v"), shared.alias("shared"), F.size(prompt_ids).alias("p")).withColumn("s", F.col("v") - F.col("shared"))
+    base = each.agg(
+        F.count(F.lit(1)).alias("rows"), F.min("v").alias("min_input_tokens"), F.round(F.avg("v"), 2).alias("mean_input_tokens"), F.max("v").alias("max_input_tokens"), F.min("s").alias("min_supervised_tokens"), F.round(F.avg("s"), 2).alias("mean_supervised_tokens"), F.max("s").alias("max_supervised_tokens"),
+        F.count_if(F.col("v") > max_length).alias("truncated_rows"), F.count_if(F.col("s") <= 0).alias("empty_completion_rows"), F.count_if(F.col("shared") != F.col("p")).alias("prefix_mismatch_rows"),
+    )
+    return beside(base, rank_percentiles(each, "v", {"p95_input_tokens": 0.95}, half_even=True), [])
+
+
+def boundary_previews(df: DataFrame, prompt_ids: str, full_ids: str, n: int = 100, tokens: int = 96, order: str = "id") -> DataFrame:
+    """The first ``n`` rows with the first tokens that are supervised."""
+    shared = common_prefix(F.col(prompt_ids), F.col(full_ids))
+    first = df.orderBy(order).limit(n)
+    return first.select("id", F.size(full_ids).alias("input_tokens"), shared.alias("prompt_tokens"), (F.size(full_ids) - shared).alias("supervised_tokens"), F.slice(F.col(full_ids), (shared + 1).cast("int"), F.lit(tokens)).alias("supervised_preview"))
+
+
+def assert_boundaries(summary: DataFrame) -> dict:
+    """The row of ``token_boundaries``; anything truncated, empty or without its prompt as a prefix raises."""
+    row = summary.first().asDict()
+    if wrong := {k: row[k] for k in ("truncated_rows", "empty_completion_rows", "prefix_mismatch_rows") if row[k]}:
+        raise ValueError(f"token boundaries are wrong: {wrong}")
+    return row
+
+
 def macro_f1(p: DataFrame, by: list[str] = GROUP) -> DataFrame:
     """Unweighted mean of F1 over all labels that are gold or predicted."""
     gold, said = F.col("gold_answer"), F.nullif(F.col("parsed_answer"), F.lit(""))
@@ -108,17 +134,11 @@ def bootstrap_interval(outcomes: DataFrame, by: list[str] = GROUP, resamples: in
     return outcomes.groupBy(*by).applyInPandas(draw, ", ".join([f"{c} {kinds[c]}" for c in by] + ["delta_low double", "delta_high double"]))
 
 
-def mcnemar_column(b: Column, c: Column) -> Column:
-    """Exact two-sided test for each row of a table of groups."""
-    test = F.pandas_udf(lambda x, y: pd.Series([mcnemar(int(i), int(j)) for i, j in zip(x, y)]), DoubleType())
-    return test(b.cast("long"), c.cast("long"))
-
-
 def compare(base: DataFrame, candidate: DataFrame, by: list[str] = GROUP, order: str | None = None, contracts: tuple[str, str] | None = None) -> DataFrame:
     """Paired outcomes with exact McNemar p, its Holm adjustment over the groups, and a bootstrap interval."""
     if contracts and contracts[0] != contracts[1]:
         raise ValueError("the runs have different evaluation contracts")
-    outcomes = paired_outcomes(base, candidate, by, order).withColumn("mcnemar_exact_p", mcnemar_column(F.col("baseline_only_correct"), F.col("candidate_only_correct")))
+    outcomes = paired_outcomes(base, candidate, by, order).withColumn("mcnemar_exact_p", mcnemar_exact(F.col("baseline_only_correct"), F.col("candidate_only_correct")))
     named = outcomes.withColumn("group", F.concat_ws("_", *by))
     return holm(named, "mcnemar_exact_p", "group", "mcnemar_holm_p").join(bootstrap_interval(outcomes, by), by)
 

@@ -11,15 +11,17 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CHUNK = 8 << 20
-
+from .records import COT_INSTRUCTION, DIRECT_INSTRUCTION
 
 def file_sha256(path: str | Path) -> str:
-    digest = hashlib.sha256()
     with open(path, "rb") as f:
-        while data := f.read(_CHUNK):
-            digest.update(data)
-    return digest.hexdigest()
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def aggregate(files: Mapping[str, Mapping[str, Any]]) -> str:
+    """``aggregate_fingerprint`` of the file manifests of one manifest."""
+    lines = [f"{name}\0{files[name]['sha256']}\0{files[name]['rows']}\n" for name in sorted(files)]
+    return hashlib.sha256("".join(lines).encode()).hexdigest()
 
 
 def aggregate_fingerprint(files: DataFrame, name: str = "name", sha: str = "sha256", rows: str = "rows") -> DataFrame:
@@ -66,11 +68,54 @@ def verify_manifest(manifest: Mapping[str, Any], rows: int) -> None:
         raise ValueError(f"{manifest['path']}: {rows} rows, the manifest has {manifest['rows']}")
 
 
+def table_manifest(spark: SparkSession, path: str, schema: str, sources: list[Mapping[str, Any]], exclusions: list[str], relative: str) -> dict[str, Any]:
+    """Manifest of a folder of JSON lines: rows, bytes and one fingerprint of all its part files, hashed where they are read."""
+    files = inventory(spark, path).filter(F.element_at(F.split("path", "/"), -1).startswith("part-"))
+    return {"path": relative, "rows": spark.read.text(path).count(), "bytes": files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], "sha256": tree_fingerprint(files), "schema": schema, "sources": list(sources), "exclusions": list(exclusions)}
+
+
+#: Suffixes of the files that make up an adapter.
+ADAPTER_SUFFIXES = (".json", ".safetensors", ".model")
+
+
+def adapter_sha256(folder: str | Path) -> str:
+    """One hash of an adapter's settings and weights: each file's relative path and its hash, in the order of the paths."""
+    files = sorted(p for p in Path(folder).rglob("*") if p.is_file() and p.suffix in ADAPTER_SUFFIXES)
+    if not files:
+        raise FileNotFoundError(f"{folder} has neither settings nor weights")
+    digest = hashlib.sha256()
+    for p in files:
+        digest.update(p.relative_to(folder).as_posix().encode() + file_sha256(p).encode())
+    return digest.hexdigest()
+
+
+def prompt_contract(version: str) -> dict[str, str]:
+    """The prompt texts and their version, as they go into a contract."""
+    return {"version": version, "direct_instruction": DIRECT_INSTRUCTION, "cot_instruction": COT_INSTRUCTION}
+
+
+def json_sha256(value: Any) -> str:
+    """sha256 of the sorted JSON of a value."""
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+
+#: What a fair comparison has to fix.
+FAIRNESS = (
+    "base_model", "base_revision", "tokenizer_revision", "dtype", "attn_implementation", "selected_datasets", "selected_protocols", "max_samples_per_dataset", "max_input_length", "shard_size", "seed", "protocols", "prompt", "parser_version",
+)
+
+
+def fair_contract(parameters: Mapping[str, Any], datasets: Mapping[str, Mapping[str, Any]]) -> dict[str, Any]:
+    """A ``contract`` that has every field of ``FAIRNESS``; missing ones raise."""
+    if missing := [f for f in FAIRNESS if f not in parameters]:
+        raise ValueError(f"the contract lacks {missing}")
+    return contract(parameters, datasets)
+
+
 def contract(parameters: Mapping[str, Any], datasets: Mapping[str, Mapping[str, Any]]) -> dict[str, Any]:
     """What must be equal for two runs to be comparable, with the sha256 of its sorted JSON; machine paths stay out."""
     body = dict(parameters) | {"datasets": {k: {f: v for f, v in d.items() if f != "path"} for k, d in datasets.items()}}
-    text = json.dumps(body, ensure_ascii=False, sort_keys=True)
-    return body | {"evaluation_contract_sha256": hashlib.sha256(text.encode()).hexdigest()}
+    return body | {"evaluation_contract_sha256": json_sha256(body)}
 
 
 #: Names of files that hold metrics.

@@ -22,3 +22,11 @@ def contamination(funnel: DataFrame, summaries: dict[str, DataFrame], thresholds
 
 def quality(lengths: DataFrame, schema: DataFrame) -> str:
     return "\n".join(["# Data quality\n", "## Lengths\n", table(lengths), "## Schema\n", table(schema)])
+
+
+def quality_markdown(report: dict) -> str:
+    """A quality report (``operators.quality``) as Markdown."""
+    totals = "\n".join(f"- {k.replace('_', ' ')}: {v:,}" for k, v in report["summary"].items())
+    head = "| set | rows | invalid | repeated prompts | field | p95 tokens | max tokens |\n|" + " --- |" * 7
+    rows = [f"| {name} | {p['schema']['rows']:,} | {p['schema']['invalid_rows']:,} | {p['duplicate_normalized_prompts']:,} | {field} | {x['tokens']['p95']:,} | {x['tokens']['max']:,} |" for name, p in report["datasets"].items() for field, x in p["lengths"].items()]
+    return "\n".join(["# Data quality\n", totals, "", head, *rows]) + "\n"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..functions import text as T
-from ..functions.statistics import holm, wilson
+from ..functions.statistics import holm, mcnemar_exact, wilson
 from ..operators import audit as A
 from ..operators import curation as C
 from ..operators import evaluation as E
@@ -448,13 +448,26 @@ def _(spark, d):
     return E.beside(base, rank_percentiles(t, "v", {"p95_input_tokens": 0.95}, half_even=True), [])
 
 
-@query("generation_diagnostics", f"""WITH {_SECTIONS}, r AS (SELECT raw LIKE '%## Thinking%## Final Response%' AS ok, contains(raw, '## Final Response') AND trim(section, ' ' || chr(10)) <> '' AS full_, length(raw) > 4000 AS hit FROM f)
-SELECT CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (ok)::DOUBLE / count(*) AS format_compliance, count(*) FILTER (full_)::DOUBLE / count(*) AS nonempty_final_response, count(*) FILTER (hit)::DOUBLE / count(*) AS max_token_hit_rate FROM r""")
+_BOUNDARY = "SELECT regexp_extract_all(lower(question), '[a-z0-9]+|[\\p{L}\\p{N}_]') AS p, regexp_extract_all(lower(question || right(response, 2000)), '[a-z0-9]+|[\\p{L}\\p{N}_]') AS f FROM chats WHERE question IS NOT NULL AND response IS NOT NULL"
+
+
+@query("token_boundaries", f"""WITH {_CHATS}, t AS ({_BOUNDARY}), l AS (SELECT len(p) AS p, len(f) AS v, coalesce(list_min(list_filter(range(1, least(len(p), len(f)) + 1), lambda i: p[i] <> f[i])) - 1, least(len(p), len(f))) AS c FROM t)
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(min(v) AS BIGINT) AS min_input_tokens, round(avg(v), 2) AS mean_input_tokens, CAST({_HALF.format('v', 0.95)} AS BIGINT) AS p95_input_tokens, CAST(max(v) AS BIGINT) AS max_input_tokens, CAST(min(v - c) AS BIGINT) AS min_supervised_tokens,
+  round(avg(v - c), 2) AS mean_supervised_tokens, CAST(max(v - c) AS BIGINT) AS max_supervised_tokens, CAST(count(*) FILTER (v > 1536) AS BIGINT) AS truncated_rows, CAST(count(*) FILTER (v - c <= 0) AS BIGINT) AS empty_completion_rows, CAST(count(*) FILTER (c <> p) AS BIGINT) AS prefix_mismatch_rows FROM l""")
+def _(spark, d):
+    both = chats(spark, d).filter("question IS NOT NULL AND response IS NOT NULL")
+    ids = both.select(T.tokens(F.col("question")).alias("p"), T.tokens(F.concat("question", F.right("response", F.lit(2000)))).alias("f"))
+    return E.token_boundaries(ids, "p", "f", 1536)
+
+
+@query("generation_diagnostics", f"""WITH {_SECTIONS}, r AS (SELECT raw LIKE '%## Thinking%## Final Response%' AS ok, contains(raw, '## Final Response') AND trim(section, ' ' || chr(10)) <> '' AS full_, length(raw) > 4000 AS hit, {_TOKENS.replace("text", "raw")} AS t FROM f),
+n AS (SELECT ok, full_, hit, CASE WHEN len(t) < 8 THEN false ELSE 1 - len(list_distinct(list_transform(range(1, len(t) - 2), lambda i: t[i:i + 3])))::DOUBLE / (len(t) - 3) > 0.2::DOUBLE END AS again FROM r)
+SELECT CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (again)::DOUBLE / count(*) AS abnormal_repetition_rate, count(*) FILTER (ok)::DOUBLE / count(*) AS format_compliance, count(*) FILTER (full_)::DOUBLE / count(*) AS nonempty_final_response, count(*) FILTER (hit)::DOUBLE / count(*) AS max_token_hit_rate FROM n""")
 def _(spark, d):
     raw = T.strip(completion())
-    r = docs(spark, d, "doc_id", "text").select(T.format_valid(raw).alias("ok"), (T.final_response(raw) != "").alias("full"), (F.length(raw) > 4000).alias("hit"))
+    r = docs(spark, d, "doc_id", "text").select(T.format_valid(raw).alias("ok"), (T.final_response(raw) != "").alias("full"), (F.length(raw) > 4000).alias("hit"), (T.repetition_ratio(raw) > E.REPEATED).alias("again"))
     share = lambda c, name: F.coalesce(F.try_divide(F.count_if(c), F.count(F.lit(1))), F.lit(0.0)).alias(name)
-    return r.agg(F.count(F.lit(1)).alias("rows"), share("ok", "format_compliance"), share("full", "nonempty_final_response"), share("hit", "max_token_hit_rate"))
+    return r.agg(F.count(F.lit(1)).alias("rows"), share("ok", "format_compliance"), share("full", "nonempty_final_response"), share("again", "abnormal_repetition_rate"), share("hit", "max_token_hit_rate"))
 
 
 @query("input_length_audit", f"SELECT lang, CAST(count(*) AS BIGINT) AS rows, CAST(min(v) AS BIGINT) AS min, round(avg(v), 2) AS mean, CAST(max(v) AS BIGINT) AS max, CAST(count(*) FILTER (v > 2048) AS BIGINT) AS overlong FROM (SELECT lang, len({_TOKENS}) AS v FROM documents) GROUP BY lang")
@@ -524,7 +537,7 @@ def _(spark, d):
 
 def tested(spark, d):
     o = E.paired_outcomes(predictions(spark, d), predictions(spark, d, 1))
-    return o.select("dataset", E.mcnemar_column(F.col("baseline_only_correct"), F.col("candidate_only_correct")).alias("p"))
+    return o.select("dataset", mcnemar_exact(F.col("baseline_only_correct"), F.col("candidate_only_correct")).alias("p"))
 
 
 @query("mcnemar_exact", f"WITH {_PAIRED}, {_MCNEMAR} SELECT dataset, round(p, 6) AS p FROM m")

@@ -11,6 +11,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,12 +32,13 @@ def first_n(df: DataFrame, order: str, n: int | None) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, *, blanks: str = "skip") -> DataFrame:
     """JSON objects, one a line, with ``path`` and ``line`` (from 1) of each.
 
-    A line that is no object of the schema raises with its place when it is read. ``blanks``: "skip" or "error".
+    Lines are numbered where they are read, from the counts of the parts of a file before. A line that is no object of the schema raises with its place when it is read. ``blanks``: "skip" or "error".
     """
-    numbered = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path")).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    lines = spark.createDataFrame(numbered, "value string, path string, at long")
-    first = lines.groupBy("path").agg(F.min("at").alias("first"))
-    lines = lines.join(F.broadcast(first), "path").withColumn("line", F.col("at") - F.col("first") + 1)  # one row a file
+    given = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = given.groupBy("path", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))  # a row for each part of a file that a task reads
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("above"))
+    lines = given.join(F.broadcast(offsets), ["path", "block"]).withColumn("line", F.col("at") - F.col("first") + F.col("above") + 1)
     blank = F.trim("value") == ""
     if blanks == "skip":
         lines = lines.filter(~blank)
@@ -48,6 +50,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, *, blanks:
     return checked.filter(F.col("_check").isNull()).drop("_check")
 
 
+def read_lenient(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines by Spark's own reader: blank lines are skipped, and a bad line raises as the reader says it."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def head(spark: SparkSession, path: str, schema: T.StructType, n: int) -> DataFrame:
+    """The first ``n`` objects of a file of JSON lines; fewer raise."""
+    rows = read_jsonl(spark, path, schema).orderBy("line").limit(n)
+    if (have := rows.count()) < n:
+        raise ValueError(f"{path}: {have} rows, {n} are needed")
+    return rows
+
+
 def write_jsonl(df: DataFrame, path: str) -> int:
     """Rows as JSON lines, nulls and non-ASCII characters kept; the committer shows all or nothing. Gives the number of rows."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -64,6 +79,23 @@ def write_report(path: str | Path, content: dict | str) -> None:
     os.replace(temporary, path)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any file system that Spark knows, replaced as a whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target, temporary = hadoop(path), hadoop(f"{path}.{uuid.uuid4().hex}.tmp")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(temporary, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    system.delete(target, False)
+    if not system.rename(temporary, target):
+        raise OSError(f"{path} can't be replaced")
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
