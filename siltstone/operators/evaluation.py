@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -54,6 +55,31 @@ def prediction_summary(p: DataFrame, by: list[str] = GROUP) -> DataFrame:
     return base.join(macro_f1(p, by), by)
 
 
+def required_summary(p: DataFrame, by: list[str] = GROUP) -> DataFrame:
+    """``prediction_summary`` of predictions that there must be; none raise."""
+    if not p.limit(1).count():
+        raise ValueError("there are no predictions")
+    return prediction_summary(p, by)
+
+
+def input_lengths(df: DataFrame, value: str, limit: int, by: list[str]) -> DataFrame:
+    """Rows, least, mean and most tokens of each group, and how many are over ``limit``."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(value).alias("min"), F.round(F.avg(value), 2).alias("mean"), F.max(value).alias("max"), F.count_if(F.col(value) > limit).alias("overlong"))
+
+
+def assert_input_lengths(lengths: DataFrame) -> list[dict]:
+    """The rows of ``input_lengths``; any that are too long raise."""
+    rows = [r.asDict() for r in lengths.collect()]  # a row for each group
+    if wrong := [r for r in rows if r["overlong"]]:
+        raise ValueError(f"inputs over the limit: {wrong}")
+    return rows
+
+
+def training_steps(rows: int, batch: int, epochs: float = 1.0) -> int:
+    """Optimizer steps: batches of an epoch, the last one short, times the epochs."""
+    return math.ceil(math.ceil(rows / batch) * epochs)
+
+
 def token_boundaries(df: DataFrame, prompt_ids: str, full_ids: str, max_length: int) -> DataFrame:
     """One row on where supervision begins: the tokens after the common beginning of a prompt's ids and its conversation's ids."""
     shared = common_prefix(F.col(prompt_ids), F.col(full_ids))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import FINAL, THINKING, canonical, let, strip
 
@@ -45,8 +46,16 @@ def column(df: DataFrame, name: str, kind: str = "string") -> Column:
 
 
 def meta(df: DataFrame) -> Column:
-    """Provenance as JSON text; an empty object for null."""
-    return F.coalesce(column(df, "meta", "string").cast("string"), F.lit("{}")) if "meta" in df.columns else F.lit("{}")
+    """Provenance as JSON text: an empty object for null, objects as they are, anything else under ``raw_meta``."""
+    if "meta" not in df.columns:
+        return F.lit("{}")
+    c, kind = F.col("meta"), df.schema["meta"].dataType
+    if isinstance(kind, T.StructType | T.MapType):
+        return F.coalesce(F.to_json(c), F.lit("{}"))
+    if isinstance(kind, T.StringType):
+        is_object = F.ltrim(c).startswith("{") & F.try_parse_json(c).isNotNull()
+        return F.when(c.isNull(), F.lit("{}")).when(is_object, c).otherwise(F.to_json(F.struct(c.alias("raw_meta"))))
+    return F.when(c.isNull(), F.lit("{}")).otherwise(F.to_json(F.struct(c.alias("raw_meta"))))
 
 
 def option_value(options: Column, key: Column) -> Column:

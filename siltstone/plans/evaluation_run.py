@@ -60,4 +60,4 @@ def merge(predictions: DataFrame, records: DataFrame, order: str = "row_index")
 
 
 def metrics(predictions: DataFrame) -> DataFrame:
-    return E.prediction_summary(predictions)
+    return E.required_summary(predictions)

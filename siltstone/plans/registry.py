@@ -473,7 +473,7 @@ def _(spark, d):
 @query("input_length_audit", f"SELECT lang, CAST(count(*) AS BIGINT) AS rows, CAST(min(v) AS BIGINT) AS min, round(avg(v), 2) AS mean, CAST(max(v) AS BIGINT) AS max, CAST(count(*) FILTER (v > 2048) AS BIGINT) AS overlong FROM (SELECT lang, len({_TOKENS}) AS v FROM documents) GROUP BY lang")
 def _(spark, d):
     v = docs(spark, d, "lang", "text").select("lang", T.token_count(F.col("text")).alias("v"))
-    return v.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("min"), F.round(F.avg("v"), 2).alias("mean"), F.max("v").alias("max"), F.count_if(F.col("v") > 2048).alias("overlong"))
+    return E.input_lengths(v, "v", 2048, ["lang"])
 
 
 # ---- predictions and comparison

@@ -178,3 +178,50 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_dir(Session)
+
+
+def test_provenance_is_always_an_object(spark):
+    df = spark.createDataFrame([(None,), ('{"a": 1}',), ("plain",), ("[1]",)], "meta string")
+    assert [r[0] for r in df.select(R.meta(df)).collect()] == ["{}", '{"a": 1}', '{"raw_meta":"plain"}', '{"raw_meta":"[1]"}']
+    nested = spark.sql("SELECT named_struct('a', 1) AS meta")
+    assert nested.select(R.meta(nested)).first()[0] == '{"a":1}' and R.meta(spark.range(1)) is not None
+
+
+def test_gates_of_evaluations(spark):
+    with pytest.raises(ValueError, match="no predictions"):
+        E.required_summary(spark.createDataFrame([], "dataset string, protocol string"))
+    lengths = spark.createDataFrame([("a", 3), ("a", 9), ("b", 2)], "g string, v int")
+    assert {r["g"]: r["overlong"] for r in E.assert_input_lengths(E.input_lengths(lengths, "v", 9, ["g"]))} == {"a": 0, "b": 0}
+    with pytest.raises(ValueError, match="over the limit"):
+        E.assert_input_lengths(E.input_lengths(lengths, "v", 8, ["g"]))
+    assert (E.training_steps(33, 16), E.training_steps(32, 16, 1.5), E.training_steps(19_147, 16)) == (3, 3, 1197)
+
+
+def test_runtime(spark, tmp_path):
+    from siltstone.sources import runtime
+
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert runtime.root_of(tmp_path / "a" / "b") == tmp_path
+    taken = runtime.snapshot(spark, tmp_path)
+    assert taken["git"] == {"commit": None, "dirty": None} and taken["spark"] == spark.version
+    with pytest.raises(ValueError, match="repository"):
+        runtime.require(taken)
+    with pytest.raises(ValueError, match="disk"):
+        runtime.require(taken, clean_git=False, free_disk_gb=1e9)
+    assert runtime.valid_run_id(runtime.run_id("base")).startswith("base-")
+    for bad in ("", "../x", "a/b", "a..b"):
+        with pytest.raises(ValueError):
+            runtime.valid_run_id(bad)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from siltstone import __main__ as cli
+
+    (tmp_path / "f").write_text("x")
+    cli.main(["inventory", str(tmp_path)])
+    assert json.loads(capsys.readouterr().out)["files"] == 1
+    cli.main(["steps", "33", "16"])
+    assert json.loads(capsys.readouterr().out) == {"steps": 3}
+    with pytest.raises(SystemExit):
+        cli.main(["unknown"])
