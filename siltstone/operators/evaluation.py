@@ -49,9 +49,11 @@ def prediction_summary(p: DataFrame, by: list[str] = GROUP) -> DataFrame:
     base = base.withColumn("estimated_examples_per_second", F.when(F.col("estimated_generation_seconds") > 0, F.col("rows") / F.col("estimated_generation_seconds")))
     low, high = wilson(F.col("correct"), F.col("rows"))
     base = base.withColumn("wilson_low", low).withColumn("wilson_high", high)
-    for value, points in (("completion_tokens", {"completion_p50": 0.5, "completion_p95": 0.95}), ("prompt_tokens", {"prompt_p95": 0.95}), ("repetition_4gram_ratio", {"repetition_p95": 0.95})):
-        ranks = rank_percentiles(p.select(*by, F.col(value).cast("double").alias("v")), "v", points, by, half_even=True)
-        base = base.join(ranks, by)
+    cells = [F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("v")) for v in ("completion_tokens", "prompt_tokens", "repetition_4gram_ratio")]
+    ranks = rank_percentiles(p.select(*by, F.inline(F.array(*cells))), "v", {"p50": 0.5, "p95": 0.95}, [*by, "measure"], half_even=True)
+    wanted = (("completion_p50", "completion_tokens", "p50"), ("completion_p95", "completion_tokens", "p95"), ("prompt_p95", "prompt_tokens", "p95"), ("repetition_p95", "repetition_4gram_ratio", "p95"))
+    wide = ranks.groupBy(*by).agg(*(F.max(F.when(F.col("measure") == m, F.col(q))).alias(name) for name, m, q in wanted))
+    base = base.join(wide, by)
     return base.join(macro_f1(p, by), by)
 
 

@@ -121,6 +121,9 @@ def _blank(c: Column) -> Column:
     return canonical(c) == ""
 
 
+# The wording of the messages below is what callers compare.
+
+
 def _common_errors(df: DataFrame, family: str, prompt: str) -> list[Column]:
     missing = sorted(f for f in REQUIRED[family] if f not in df.columns)
     errors = [F.lit(f"missing required fields: {', '.join(missing)}")] if missing else []
