@@ -38,10 +38,11 @@ BATCH_BYTES = 32 << 20
 BUCKET_BYTES = 4 << 20  # of text; buckets grow as the text to the power GROWTH, since distinct keys grow slower than the text
 GROWTH = 0.75
 CHUNK_ROWS = 120_000  # keys of one task whose nodes are in memory at a time
-MERGE_ROWS = 1_000_000  # keys of blocks that are merged when there are so many
+MERGE_ROWS = 500_000  # keys of blocks that are merged when there are so many
 GRAM, WORD, TEXT = 0, 1, 2
 _END = b"\n"
 _STEP = 1 << 19
+_ROWS = 256  # texts that are Python objects at a time
 _TABLE = 4096
 
 
@@ -108,7 +109,10 @@ class _Sums:
             self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
-        self.held, self.new = [_sum_by(*(np.concatenate(c) for c in zip(*self.held)))], 0
+        if len(self.held) > 1:
+            key, n = (np.concatenate(c) for c in zip(*self.held))
+            self.held, self.new = [], 0  # frees what was put together
+            self.held = [_sum_by(key, n)]
         return self.held[0]
 
 
@@ -316,15 +320,11 @@ def gather(docs: DataFrame, buckets: int, *, id_col: str, text_col: str, folds:
         class Held:
             def __init__(self):
                 self.ids, self.outs, self.streams, self.size = [], [], [], 0
-                self.words = (collections.Counter(), collections.Counter())
                 self.part: tuple[list[bytes], list[bytes]] = ([], [])
-                self.filled, self.sums = [0, 0], _Sums()
+                self.filled, self.sums, self.words = [0, 0], _Sums(), _Sums()
 
             def add(self, doc, out, text):
-                words = common.space_words(text)
-                made = stream(words)
-                self.words[out].update(words)
-                self.words[out][_END] += 1
+                made = stream(common.space_words(text))
                 self.ids.append(doc)
                 self.outs.append(out)
                 self.streams.append(made)
@@ -339,6 +339,10 @@ def gather(docs: DataFrame, buckets: int, *, id_col: str, text_col: str, folds:
                 if part:
                     u, c = np.unique(grams(np.frombuffer(b"".join(part), np.uint8), np.array([len(s) for s in part])), return_counts=True)
                     self.sums.add(u, np.zeros(len(u), np.int64) if out else c)
+                    words = collections.Counter(b"".join(part).split())
+                    words[_END] = len(part)
+                    key, n = np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words))
+                    self.words.add(key, 0 * n if out else n)
                     part.clear()
                     self.filled[out] = 0
 
@@ -347,15 +351,14 @@ def gather(docs: DataFrame, buckets: int, *, id_col: str, text_col: str, folds:
                 n = len(self.ids)
                 flags = np.array([(i is not None) + 2 * o for i, o in zip(self.ids, self.outs)], np.uint8).tobytes()
                 head = struct.pack("<q", n) + np.array([i or 0 for i in self.ids], "<i8").tobytes() + flags + np.array([len(s) for s in self.streams], "<i8").tobytes()
-                blob = packer.compress(head + b"".join(self.streams))
+                blob = packer.compress(b"".join((head, *self.streams)))
                 self.streams.clear()
                 yield _batch(_GATHERED_ARROW, batch=[batch], kind=[TEXT], bucket=[-1], body=[blob])
                 self.count(0)
                 self.count(1)
-                train, out = self.words
-                words = list(train.keys() | out.keys())
-                keyed = _sum_by(np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter((train[w] for w in words), np.int64, len(words)))
-                for kind, (key, count) in ((GRAM, self.sums.total()), (WORD, keyed)):
+                for kind, sums in ((GRAM, self.sums), (WORD, self.words)):
+                    key, count = sums.total()
+                    sums.held = []
                     blocks = [(b, _packed(key[at], count[at])) for b, at in _split(_buckets(key, kind, buckets))]
                     for a in range(0, len(blocks), 64):
                         some = blocks[a : a + 64]
@@ -363,11 +366,12 @@ def gather(docs: DataFrame, buckets: int, *, id_col: str, text_col: str, folds:
 
         held = Held()
         for batch in batches:
-            for doc, out, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                held.add(doc, int(out), text)
-                if held.size >= BATCH_BYTES:
-                    yield from held.flush()
-                    held = Held()
+            for a in range(0, batch.num_rows, _ROWS):
+                for doc, out, text in zip(*(batch.column(k).slice(a, _ROWS).to_pylist() for k in range(3))):
+                    held.add(doc, int(out), text)
+                    if held.size >= BATCH_BYTES:
+                        yield from held.flush()
+                        held = Held()
         if held.ids:
             yield from held.flush()
 
