@@ -13,6 +13,7 @@ MIN_WORDS = 3
 BAND = 0.3  # sketches within this share of the threshold are counted exactly
 LG_K = 12
 BROADCAST_LINES = 100_000  # boilerplate lines are broadcast up to so many
+NEAR_LINES = 5  # near copies of a copied text lack one of at least so many lines: a line similarity of 0.8
 HOT = 1000  # beyond it, those with over a HOT-th of all rows (so under HOT of them) are
 
 
@@ -25,6 +26,33 @@ def _hashes(text: Column, min_words: int) -> Column:
     return F.array_distinct(F.transform(F.filter(lines(text), lambda s: F.size(words(s)) >= min_words), _hash))
 
 
+def _site(site_col: str) -> Column:
+    return F.coalesce(F.col(site_col).cast("string"), F.lit("\x00"))
+
+
+def _set_key(hashes: Column) -> Column:
+    """One number for a set of line hashes, whatever their order; xor with a line's ``_own`` takes that line out."""
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_own(x)))
+
+
+def _own(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def copied(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Texts that are copies as a whole: hashes (text_key) of those on ``min_sites`` distinct sites, and keys (set_key) of their lines.
+
+    The keys are those of all lines of such a text, and of all but one where it has ``NEAR_LINES`` or more. Counts are taken map
+    side first, so a text in a third of all rows costs a row for each task and site.
+    """
+    whole = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text_key"), _site(site_col).alias("site"), _hashes(F.col(text_col), min_words).alias("hashes"))
+    texts = whole.groupBy("text_key").agg(F.count_distinct("site").alias("sites")).filter(F.col("sites") >= min_sites).select("text_key")
+    texts = common.materialise(texts, "copied")
+    sets = whole.select("text_key", "hashes").filter(F.size("hashes") >= NEAR_LINES).join(common.checked(texts), "text_key", "left_semi")
+    keys = let(_set_key(F.col("hashes")), lambda k: F.concat(F.array(k), F.transform("hashes", lambda x: k.bitwiseXOR(_own(x)))))
+    return texts, common.materialise(sets.select(F.explode(keys).alias("set_key")).distinct(), "copied_lines")
+
+
 def spread(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND) -> DataFrame:
     """Lines (64-bit hash of the trimmed line) on at least ``min_sites`` distinct sites, with the number of documents that have them.
 
@@ -32,8 +60,7 @@ def spread(docs: DataFrame, *, text_col: str = "text", site_col: str = "source",
     costs one sketch for each task. A sketch clearly above or below the threshold decides; lines within ``band`` of it are counted
     exactly from their distinct (line, site) pairs. A null site is a site of its own.
     """
-    site = F.coalesce(F.col(site_col).cast("string"), F.lit("\x00"))
-    each = docs.select(site.alias("site"), F.explode(_hashes(F.col(text_col), min_words)).alias("line"))
+    each = docs.select(_site(site_col).alias("site"), F.explode(_hashes(F.col(text_col), min_words)).alias("line"))
     sketched = each.groupBy("line").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count(F.lit(1)).alias("n"))
     guess = sketched.select("line", "n", F.hll_sketch_estimate("sketch").alias("sites"))
     likely = common.materialise(guess.filter(F.col("sites") >= min_sites * (1 - band)), "lines")
@@ -43,29 +70,36 @@ def spread(docs: DataFrame, *, text_col: str = "text", site_col: str = "source",
     return joined.filter(F.coalesce("exact", "sites") >= min_sites).select("line", "n")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND, least_left: float = 0.0, counts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND, least_left: float = 0.0, copies_only: bool = False, counts: bool = False) -> DataFrame:
     """Documents without their cross-site lines; other columns stay as they are.
 
     A line goes if its trimmed text has ``min_words`` words and is on ``min_sites`` sites. ``least_left`` is off by default; a
     caller that deduplicates documents next can set it, and a text that would keep less than this share of its characters then stays
-    whole for that step. Null texts stay null, empty ones empty; blank lines stay. Null ids are keyed by their text; rows of equal
+    whole for that step; with ``copies_only`` only if it is a copy, which means that its whole text is on ``min_sites`` sites, or that
+    its cross-site lines are those of such a text, of whose ``NEAR_LINES`` lines or more one may lack. Null texts stay null, empty ones empty; blank lines stay. Null ids are keyed by their text; rows of equal
     id share their boilerplate lines, which changes nothing as a line is boilerplate for all documents. Repeated rows and lines all
     count and all stay or go alike. A very long text is one row of its lines' hashes. An empty table gives an empty one. Columns of any
     other name stay as they are.
     """
     boiler = common.materialise(spread(docs, text_col=text_col, site_col=site_col, min_sites=min_sites, min_words=min_words, band=band), "boilerplate")
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col))
-    doc, dropped, rest = common.fresh(docs, "doc", "dropped", "rest")
-    each = docs.select(key.alias(doc), F.explode(_hashes(F.col(text_col), min_words)).alias("line"))
+    doc, text_key, dropped, rest, spared = common.fresh(docs, "doc", "text_key", "dropped", "rest", "spared")
+    keys = {doc: key, text_key: F.xxhash64(text_col)} if copies_only else {doc: key}
+    each = docs.select(*(c.alias(name) for name, c in keys.items()), F.explode(_hashes(F.col(text_col), min_words)).alias("line"))
     found = boiler.count()
     if found <= BROADCAST_LINES:
         hits = each.join(F.broadcast(boiler.select("line")), "line")
     else:
         most = boiler.agg(F.sum("n")).first()[0] / HOT
-        hot, rest = boiler.filter(F.col("n") > most).select("line"), boiler.filter(F.col("n") <= most).select("line")
-        hits = each.join(F.broadcast(hot), "line").unionByName(each.join(rest, "line"))
-    gone = hits.groupBy(doc).agg(F.collect_set("line").alias(dropped))
-    joined = docs.withColumn(doc, key).join(gone, doc, "left")
+        hot, others = boiler.filter(F.col("n") > most).select("line"), boiler.filter(F.col("n") <= most).select("line")
+        hits = each.join(F.broadcast(hot), "line").unionByName(each.join(others, "line"))
+    gone = hits.groupBy(*keys).agg(F.collect_set("line").alias(dropped))
+    if copies_only:
+        texts, sets = copied(docs, text_col=text_col, site_col=site_col, min_sites=min_sites, min_words=min_words)
+        texts, sets = (common.checked(x.withColumn(name, F.lit(True))) for x, name in ((texts, "same"), (sets, "near")))
+        looked = gone.withColumn("set_key", _set_key(F.col(dropped))).join(texts.withColumnRenamed("text_key", "whole_key"), F.col(text_key) == F.col("whole_key"), "left").join(sets, "set_key", "left")
+        gone = looked.select(*keys, dropped, (F.col("same").isNotNull() | F.col("near").isNotNull()).alias(spared))
+    joined = docs.withColumns(keys).join(gone, [*keys], "left")
     text = F.col(text_col)
 
     def cut(parts: Column) -> Column:
@@ -73,7 +107,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
         if not least_left:
             return kept
         sizes = lambda x: F.length(F.translate(F.array_join(x, ""), " \t\r", ""))
-        return let(kept, lambda k: F.when(sizes(k) >= least_left * sizes(parts), k).otherwise(parts))
+        cuts = lambda k: sizes(k) >= least_left * sizes(parts)
+        return let(kept, lambda k: F.when(cuts(k) | ~F.col(spared) if copies_only else cuts(k), k).otherwise(parts))
 
     lean = joined.withColumn(rest, F.when(F.col(dropped).isNotNull(), let(lines(text), cut)))
     columns = [F.when(F.col(rest).isNotNull(), F.array_join(rest, "\n")).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]

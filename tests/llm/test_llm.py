@@ -283,6 +283,25 @@ def test_line_dedup_matches_sql(spark):
     assert lines.dedup(docs.limit(0)).count() == 0
 
 
+def test_only_verified_copies_stay_whole(spark):
+    sites = [f"s{i}" for i in range(12)]
+    body = [prose(400 + k, 12) for k in range(6)]
+    edited = "\n".join([*body[:2], prose(499, 12), *body[3:]])
+    own, texts, where = "solo", [], []
+    for i, s in enumerate(sites):
+        texts += [f"All rights reserved here.\n{prose(i, 40)}", "\n".join(body)]
+        where += [s, s]
+    alone = ["All rights reserved here.", f"{own}\nAll rights reserved here.", "\n".join(body[:3]), edited, "\n".join(body[::-1]), *ODD]
+    docs = table(spark, texts + alone, [*range(29), *[None if i is None else 100 + i for i in ODD_IDS]], where + ["s1"] * 5 + [None] * len(ODD))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(docs, least_left=0.2, copies_only=True).collect()}
+    assert all(got[i] == prose(i // 2, 40) for i in range(0, 24, 2)) and all(got[i] == "\n".join(body) for i in range(1, 24, 2))
+    assert got[24] == "" and got[25] == own and got[26] == "" and got[27] == edited and got[28] == "\n".join(body[::-1])
+    assert all(got[None if i is None else 100 + i] == t for i, t in zip(ODD_IDS, ODD))
+    assert lines.dedup(docs.limit(0), least_left=0.2, copies_only=True).count() == 0
+    strange = docs.withColumns({n: F.lit(n) for n in ("text_key", "spared", "set_key", "near", "same")})
+    assert all(r["set_key"] == "set_key" and r["spared"] == "spared" and r["text_key"] == "text_key" for r in lines.dedup(strange, least_left=0.2, copies_only=True).collect())
+
+
 # ---- 5
 
 
