@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.llm import common, decontamination, lines, packing, quality, similarity
 
 
-LEAST_LEFT = 0.2  # a text that line dedup would leave less of stays whole for the stage after it, which keeps one of its copies
+LEAST_LEFT = 0.2  # a copied text that line dedup would leave less of stays whole for the stage after it, which keeps one of its copies
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +29,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without cross-site boilerplate lines; n_chars follows the text.
 
-    A text of which less than ``LEAST_LEFT`` would be left stays whole: most such are copies on many sites, of which the next stage
-    keeps one, and cut copies would no longer be seen as such. Null texts stay null, empty ones empty; no row is dropped, repeated ones
+    A copy of a text that is whole on as many sites as make a line boilerplate stays whole if less than ``LEAST_LEFT`` would be left:
+    the next stage keeps one of these, and cut copies would no longer be seen as such. Any other text is cut however little is left.
+    Null texts stay null, empty ones empty; no row is dropped, repeated ones
     neither. Very long texts are read whole. An empty table gives an empty one. Extra columns of any name stay.
     """
-    lean = lines.dedup(docs, least_left=LEAST_LEFT)
+    lean = lines.dedup(docs, least_left=LEAST_LEFT, copies_only=True)
     return lean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else lean
 
 
