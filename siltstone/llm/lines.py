@@ -14,6 +14,7 @@ BAND = 0.3  # sketches within this share of the threshold are counted exactly
 LG_K = 12
 BROADCAST_LINES = 100_000  # boilerplate lines are broadcast up to so many
 NEAR_LINES = 5  # near copies of a copied text lack one of at least so many lines: a line similarity of 0.8
+SALTS = 32  # parts of a hot text or set of lines, where copied texts are too many to broadcast
 HOT = 1000  # beyond it, those with over a HOT-th of all rows (so under HOT of them) are
 
 
@@ -42,15 +43,39 @@ def _own(line: Column) -> Column:
 def copied(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """Texts that are copies as a whole: hashes (text_key) of those on ``min_sites`` distinct sites, and keys (set_key) of their lines.
 
-    The keys are those of all lines of such a text, and of all but one where it has ``NEAR_LINES`` or more. Counts are taken map
-    side first, so a text in a third of all rows costs a row for each task and site.
+    The keys are those of all lines of such a text, and of all but one where it has ``NEAR_LINES`` or more; texts of fewer lines give
+    none. Counts are taken map side first, so a text in a third of all rows costs a row for each task and site. Few copied texts
+    are broadcast, and only their rows are hashed; beyond that one row of keys for each distinct text goes to the shuffle.
     """
-    whole = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text_key"), _site(site_col).alias("site"), _hashes(F.col(text_col), min_words).alias("hashes"))
+    whole = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("text_key"), _site(site_col).alias("site"), F.col(text_col).alias("text"))
     texts = whole.groupBy("text_key").agg(F.count_distinct("site").alias("sites")).filter(F.col("sites") >= min_sites).select("text_key")
     texts = common.materialise(texts, "copied")
-    sets = whole.select("text_key", "hashes").filter(F.size("hashes") >= NEAR_LINES).join(common.checked(texts), "text_key", "left_semi")
-    keys = let(_set_key(F.col("hashes")), lambda k: F.concat(F.array(k), F.transform("hashes", lambda x: k.bitwiseXOR(_own(x)))))
-    return texts, common.materialise(sets.select(F.explode(keys).alias("set_key")).distinct(), "copied_lines")
+
+    def variants(hashes: Column) -> Column:
+        keys = let(_set_key(hashes), lambda k: F.concat(F.array(k), F.transform(hashes, lambda x: k.bitwiseXOR(_own(x)))))
+        return F.when(F.size(hashes) >= NEAR_LINES, keys)
+
+    keys = let(_hashes(F.col("text"), min_words), variants).alias("keys")
+    if _few(texts):
+        sets = whole.join(F.broadcast(texts), "text_key", "left_semi").select(keys)
+    else:
+        sets = whole.select("text_key", keys).dropDuplicates(["text_key"]).join(texts, "text_key", "left_semi")
+    return texts, common.materialise(sets.select(F.explode("keys").alias("set_key")).distinct(), "copied_lines")
+
+
+def _few(keys: DataFrame) -> bool:
+    return keys.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+
+
+def _flagged(rows: DataFrame, column: str, keys: DataFrame, flag: str, salt: Column) -> DataFrame:
+    """``rows`` with ``flag``: whether the only column of ``keys`` has the value of ``column``. A hot value is dealt over ``SALTS`` tasks."""
+    known = keys.toDF("known").withColumn(flag, F.lit(True))
+    if _few(keys):
+        found = rows.join(F.broadcast(known), F.col(column) == F.col("known"), "left")
+    else:
+        salted = known.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = rows.join(salted, (F.col(column) == F.col("known")) & (F.pmod(salt, F.lit(SALTS)) == F.col("dealt")), "left").drop("dealt")
+    return found.drop("known").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def spread(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, band: float = BAND) -> DataFrame:
@@ -96,9 +121,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
     gone = hits.groupBy(*keys).agg(F.collect_set("line").alias(dropped))
     if copies_only:
         texts, sets = copied(docs, text_col=text_col, site_col=site_col, min_sites=min_sites, min_words=min_words)
-        texts, sets = (common.checked(x.withColumn(name, F.lit(True))) for x, name in ((texts, "same"), (sets, "near")))
-        looked = gone.withColumn("set_key", _set_key(F.col(dropped))).join(texts.withColumnRenamed("text_key", "whole_key"), F.col(text_key) == F.col("whole_key"), "left").join(sets, "set_key", "left")
-        gone = looked.select(*keys, dropped, (F.col("same").isNotNull() | F.col("near").isNotNull()).alias(spared))
+        looked = gone.withColumn("set_key", _set_key(F.col(dropped)))
+        looked = _flagged(looked, text_key, texts, "same", F.xxhash64(doc))
+        looked = _flagged(looked, "set_key", sets, "near", F.xxhash64(doc))
+        gone = looked.select(*keys, dropped, (F.col("same") | F.col("near")).alias(spared))
     joined = docs.withColumns(keys).join(gone, [*keys], "left")
     text = F.col(text_col)
 

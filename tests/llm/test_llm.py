@@ -283,7 +283,9 @@ def test_line_dedup_matches_sql(spark):
     assert lines.dedup(docs.limit(0)).count() == 0
 
 
-def test_only_verified_copies_stay_whole(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_only_verified_copies_stay_whole(spark, monkeypatch, most):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", most)
     sites = [f"s{i}" for i in range(12)]
     body = [prose(400 + k, 12) for k in range(6)]
     edited = "\n".join([*body[:2], prose(499, 12), *body[3:]])
