@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -23,12 +24,12 @@ TOKENS_PER_RANGE = 4_000_000
 HORIZON = 1 << 20  # ids whose cuts are chosen together
 TAIL = 16  # windows at its end that are chosen anew with what follows
 
-_KEPT = 500_000  # words whose ids are kept
-_CHUNK = 1 << 22  # characters encoded at a time
+_KEPT = 1_000_000  # words whose ids are kept
+_CHUNK = 1 << 23  # characters encoded at a time
 _SPACES = re.compile(r"[\t-\r ]+")
 #: Words whose ids have as many bytes as they have, whatever the normalization: what ends a word tells where its ids end.
-_PLAIN = re.compile(r"[!-~ß-öø-ÿ]+")
-_STOP = re.compile("[.!?…。！？][\"')\\]}»”’]*$")
+_PLAIN = "^[!-~ß-öø-ÿ]+$"
+_STOP = "[.!?…。！？][\"')\\]}»”’]*$"
 _DOC, _SENTENCE, _BROKEN = 0, 1, 2
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -37,8 +38,9 @@ class Words:
     """Ids of whole texts by a vocabulary that drops white space, so that a text's ids are those of its words in turn.
 
     Every id comes from the tokenizers library, with ``add_special_tokens=False``; strings of added tokens are what the library makes of
-    them. A bounded number of words is kept. ``encode`` also tells which ids end a sentence: the last one of a word that ends in a full
-    stop, question or exclamation mark, with closing quotes or brackets at most.
+    them. A bounded number of words is kept: each has a number, and arrays have where its ids start, how many they are and whether it
+    ends a sentence. ``encode`` tells which ids end one: the last one of a word that ends in a full stop, question or exclamation mark,
+    with closing quotes or brackets at most.
     """
 
     def __init__(self, vocabulary: str | None = None):
@@ -59,36 +61,51 @@ class Words:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile(f"({'|'.join(added) or '(?!)'})")
         self.like_added = f"(?i:{'|'.join(added)})" if added else None
-        self.seen: dict[str, tuple[bytes, bool]] = {}
-
-    def _alone(self, word: str) -> tuple[bytes, bool]:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), bool(_STOP.search(word))
-
-    def _words(self, words: list[str]) -> list[tuple[bytes, bool]]:
-        if len(self.seen) > _KEPT:
-            self.seen.clear()
-        out = list(map(self.seen.get, words))
-        plain, made = [], {}
-        for w in [w for w, ids in zip(words, out) if ids is None]:
-            if w.isascii() and w.isprintable() or _PLAIN.fullmatch(w):
-                plain.append(w)
-            else:
-                made[w] = self._alone(w)
-        if plain:  # encoded as one text, whose ids are cut where words end
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(w.encode()) for w in plain])
-            cuts, whole, a = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist(), ids.tobytes(), 0
-            for w, b in zip(plain, cuts):
-                made[w] = whole[a:b], not w[-1].isalnum() and bool(_STOP.search(w))
-                a = b
-        self.seen |= made
-        return [x or made[w] for w, x in zip(words, out)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids, self.start, self.size, self.stop = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Number new words. Plain ones are encoded as one text, whose ids are cut where words end; the others one by one."""
+        given = pa.array(words, pa.string())
+        plain = pc.match_substring_regex(given, _PLAIN)
+        odd = given.filter(pc.invert(plain))
+        words, stops = given.filter(plain).to_pylist(), pc.match_substring_regex(pa.concat_arrays([given.filter(plain), odd]), _STOP).to_numpy(zero_copy_only=False)
+        parts, sizes = [], np.zeros(0, np.int64)
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(pc.binary_length(given.filter(plain)).to_numpy())
+            sizes = np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1, prepend=0)
+            parts.append(ids)
+        parts += [self._whole(w) for w in odd.to_pylist()]
+        sizes = np.concatenate([sizes, [len(x) for x in parts[bool(words) :]]]).astype(np.int32)
+        first = len(self.ids) + np.cumsum(sizes) - sizes
+        self.numbers.update(zip(words + odd.to_pylist(), range(len(self.size), len(self.size) + len(sizes))))
+        self.ids, self.start, self.size, self.stop = (np.concatenate(x) for x in ((self.ids, *parts), (self.start, first.astype(np.int32)), (self.size, sizes), (self.stop, stops & (sizes > 0))))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.numbers) > _KEPT:
+            self._forget()
+        find = lambda some: np.fromiter(map(self.numbers.get, some, itertools.repeat(-1)), np.int64, len(some))
+        out = find(words)
+        new = np.flatnonzero(out < 0).tolist()
+        if new:
+            some = [words[k] for k in new]
+            self._learn(some)
+            out[new] = find(some)
+        return out
 
     def _odd(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         parts = [x for part in self.added.split(text) for x in ([part] if self.added.fullmatch(part) else _SPACES.split(part)) if x]
-        known = [self._alone(x) for x in parts]
-        ends = np.cumsum([len(x) // 4 for x, _ in known], dtype=np.int64)
-        return np.frombuffer(b"".join(x for x, _ in known), "<u4"), ends[[s and len(x) > 0 for x, s in known]] if known else ends
+        known = [self._whole(x) for x in parts]
+        ends = np.cumsum([len(x) for x in known], dtype=np.int64)
+        stops = [bool(re.search(_STOP, x)) and len(k) > 0 for x, k in zip(parts, known)]
+        return np.concatenate([np.zeros(0, "<u4"), *known]), ends[np.array(stops, bool)]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the ends of its sentences (numbers of ids before each); nothing for null and empty texts."""
@@ -98,16 +115,13 @@ class Words:
         lower = pc.replace_substring_regex(pc.ascii_lower(even), r"([a-z])([.,;:!?\"()]+)", r"\1 \2")  # the vocabulary splits between a letter and these too
         lists = pc.ascii_split_whitespace(lower)
         coded = lists.flatten().dictionary_encode()
-        known = self._words(coded.dictionary.to_pylist())
-        sizes = np.fromiter((len(x) // 4 for x, _ in known), np.int64, len(known))
-        stops = np.fromiter((s and len(x) > 0 for x, s in known), bool, len(known))
-        ids, starts = np.frombuffer(b"".join(x for x, _ in known), "<u4"), np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        flat = ids[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        number = self._numbers(coded.dictionary.to_pylist())
+        codes = number[coded.indices.to_numpy(zero_copy_only=False)] if len(number) else np.zeros(0, np.int64)
+        each = self.size[codes]
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        flat = self.ids[np.repeat(self.start[codes] - ends[:-1], each) + np.arange(ends[-1])]
         words = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        marks = np.flatnonzero(stops[codes])
+        marks = np.flatnonzero(self.stop[codes])
         at = np.searchsorted(marks, words)
         found = ((flat[ends[a] : ends[b]], ends[marks[m:n] + 1] - ends[a]) for a, b, m, n in zip(words, words[1:], at, at[1:]))
         return [self._odd(texts[i]) if x else next(found) for i, x in enumerate(odd)]
