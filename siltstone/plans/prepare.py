@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
@@ -56,8 +56,8 @@ def prepare(spark: SparkSession, sft: DataFrame, rl: DataFrame, evaluation: Mapp
     candidates = write_jsonl(c.candidates(), f"{root}/{CANDIDATES}")
     write_jsonl(c.ledger(), f"{root}/{EXCLUDED}")
     funnel = c.funnel()
-    summaries = {name: A.summary(a) for name, a in c.audits.items()}
-    counted = {name: s.first().asDict() for name, s in summaries.items()}
+    counted = c.summaries
+    summaries = {name: spark.createDataFrame([Row(**row)]) for name, row in counted.items()}
     stages = {r["stage"]: r["rows"] for r in funnel.collect()}
     now = datetime.now(UTC).isoformat()
     contamination = {

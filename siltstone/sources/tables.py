@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +24,17 @@ def scan(spark: SparkSession, root: str, table: str, columns: list[str] | None =
     return df.select(*columns) if columns else df
 
 
+def dealt(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
+    """A small input of fewer files than the session has cores, dealt out to all of them: a file may be one row group, and what is done
+    to its texts would be one task. Larger inputs, and those of more files, stay as they are read."""
+    files, cores = df.inputFiles(), df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:
+        return df
+    hadoop, conf = df.sparkSession._jvm.org.apache.hadoop.fs.Path, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [hadoop(f) for f in files]
+    return df.repartition(cores) if sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) <= most_bytes else df
+
+
 def first_n(df: DataFrame, order: str, n: int | None) -> DataFrame:
     """The first ``n`` rows in the order of a row number or key; all for None."""
     return df if n is None else df.orderBy(order).limit(n)
@@ -64,9 +75,10 @@ def head(spark: SparkSession, path: str, schema: T.StructType, n: int) -> DataFr
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
-    """Rows as JSON lines, nulls and non-ASCII characters kept; the committer shows all or nothing. Gives the number of rows."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-    return df.sparkSession.read.text(path).count()
+    """Rows as JSON lines, nulls and non-ASCII characters kept; the committer shows all or nothing. Gives the number of rows, from the write itself."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return seen.get["rows"]
 
 
 def write_report(path: str | Path, content: dict | str) -> None:
@@ -123,6 +135,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and ``rows`` and other aggregates of what was written, which the write itself gives: nothing is read again.
+
+    They are observed at the plan's root, in the tasks that write: each part counts once, whichever attempt of its task succeeds.
+    """
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in metrics.items())), name)
+    return out, seen.get
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """For each name a column name that ``df`` doesn't have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}
