@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators.curation import duplicate_ids, shard
+from ..sources.tables import materialise
 
 
 def prepare(records: DataFrame, order: str = "row_index", *, shard_size: int = 64, max_samples: int | None = None) -> DataFrame:
@@ -23,30 +24,86 @@ def prepare(records: DataFrame, order: str = "row_index", *, shard_size: int = 6
     return out
 
 
+COMMITS = "_commits"  # below the table of predictions, where readers of it don't look
+SHARDS_PER_COMMIT = 1_000
+_MARK = "shard long, rows long, ids_sha256 string, evaluation_contract_sha256 string"
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table under ``path``; None if there are no files of one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where) or not any(f.getPath().getName()[0] not in "._" for f in system.listStatus(where)):
+        return None
+    return spark.read.parquet(path)
+
+
 def done_shards(spark: SparkSession, path: str) -> DataFrame | None:
-    """Predictions that are already under ``path``; None if there are none."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+    """Predictions that are already under ``path``, of unfinished shards too; None if there are none."""
+    return _read(spark, path)
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    """shard, rows, ids_sha256: of the sorted ids of each shard, repeated ones too."""
+    ids = F.sort_array(F.collect_list(F.col("id").cast("string")))  # a shard's size is bounded
+    return rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.to_json(ids), 256).alias("ids_sha256"))
+
+
+def _raise_if(found: DataFrame, said: str) -> None:
+    if wrong := [r["shard"] for r in found.select("shard").distinct().orderBy("shard").limit(5).collect()]:
+        raise ValueError(f"{said}: shards {wrong}")
+
+
+def state(spark: SparkSession, records: DataFrame, path: str, contract: str) -> DataFrame:
+    """shard, rows, ids_sha256, complete, marked of each shard of the records, after everything under ``path`` has been checked.
+
+    Predictions or marks of another contract, predictions of ids that their shard doesn't have, marks of other shards or ids, and a
+    marked shard that isn't whole raise; nothing is written. A shard is complete if it has each of its ids once; one that isn't and has
+    no mark was cut off.
+    """
+    wanted = _digests(records)
+    old, marks = _read(spark, path), _read(spark, f"{path.rstrip('/')}/{COMMITS}")
+    marks = (spark.createDataFrame([], _MARK) if marks is None else marks).distinct()
+    if old is None:
+        old = records.limit(0).select("id", "shard", F.lit(contract).alias("evaluation_contract_sha256"))
+    other = ~F.col("evaluation_contract_sha256").eqNullSafe(F.lit(contract))
+    _raise_if(old.filter(other).select("shard").union(marks.filter(other).select("shard")), "predictions of another contract are there")
+    _raise_if(old.select(F.col("id").cast("string").alias("id"), "shard").join(records.select(F.col("id").cast("string").alias("id"), "shard"), ["id", "shard"], "left_anti"), "predictions of other ids are there")
+    _raise_if(marks.join(wanted, ["shard", "rows", "ids_sha256"], "left_anti"), "marks of other shards are there")
+    found = wanted.join(_digests(old).withColumn("complete", F.lit(True)), ["shard", "rows", "ids_sha256"], "left").join(marks.select("shard", F.lit(True).alias("marked")), "shard", "left").na.fill(False)
+    found = materialise(found, "shards")
+    _raise_if(found.filter("marked AND NOT complete"), "marked shards that aren't whole are there")
+    return found
+
+
+def _mark(shards: DataFrame, path: str, contract: str) -> None:
+    shards.select("shard", "rows", "ids_sha256", F.lit(contract).alias("evaluation_contract_sha256")).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/{COMMITS}")
 
 
-def run(spark: SparkSession, records: DataFrame, predict: Callable[[DataFrame], DataFrame], path: str, contract: str, order: str = "row_index") -> DataFrame:
-    """Predictions of all records, in a table partitioned by shard.
+def run(
+    spark: SparkSession, records: DataFrame, predict: Callable[[DataFrame], DataFrame], path: str, contract: str, order: str = "row_index", *, shards_per_commit: int = SHARDS_PER_COMMIT,
+) -> DataFrame:
+    """Predictions of all records, in a table partitioned by shard; a run that was cut off goes on where it stopped.
 
-    Shards that are complete under ``path`` are kept; the others are predicted in one job and appended. A kept row of another
-    contract, or of an id that its shard doesn't have, raises.
+    What is there is checked before anything is written (see ``state``). Complete shards are kept, and get their mark if they lack it.
+    The others are predicted, ``shards_per_commit`` in one job: each job stages its rows and replaces the whole partitions of its shards,
+    so rows of a cut-off attempt go; then it is checked that each shard has each of its ids once, and the shards are marked with their
+    ids' digest. A run with nothing to do writes nothing.
     """
-    old = done_shards(spark, path)
-    todo = records
-    if old is not None:
-        if old.filter(F.col("evaluation_contract_sha256") != contract).limit(1).count():
-            raise ValueError("predictions of another contract are there")
-        if old.join(records.select("id", "shard"), ["id", "shard"], "left_anti").limit(1).count():
-            raise ValueError("predictions of other ids are there")
-        full = old.groupBy("shard").agg(F.count_distinct("id").alias("have")).join(records.groupBy("shard").agg(F.count(F.lit(1)).alias("want")), "shard").filter("have = want")
-        todo = records.join(full.select("shard"), "shard", "left_anti")
-    made = predict(todo).withColumn("evaluation_contract_sha256", F.lit(contract))
-    made.write.mode("append").partitionBy("shard").parquet(path)
+    found = state(spark, records, path, contract)
+    if found.filter("complete AND NOT marked").limit(1).count():
+        _mark(found.filter("complete AND NOT marked"), path, contract)
+    todo = [r["shard"] for r in found.filter("NOT complete").select("shard").orderBy("shard").collect()]  # a number for each shard
+    for a in range(0, max(1, len(todo)), shards_per_commit):
+        some = todo[a : a + shards_per_commit]
+        chosen = F.col("shard").between(some[0], some[-1]) if some else F.lit(False)
+        now = materialise(found.filter("NOT complete").filter(chosen).select("shard", "rows", "ids_sha256"), "todo")
+        made = predict(records.join(F.broadcast(now.select("shard")), "shard", "left_semi")).withColumn("evaluation_contract_sha256", F.lit(contract))
+        if some:
+            made.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+            written = _digests(spark.read.parquet(path).filter(chosen))
+            _raise_if(now.join(written, ["shard", "rows", "ids_sha256"], "left_anti"), "predictions missing or repeated")
+            _mark(now, path, contract)
     return merge(spark.read.parquet(path), records, order)
 
 
