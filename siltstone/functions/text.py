@@ -8,12 +8,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Section headings of a reasoned answer, tokens of the repetition measure, characters stripped around a short answer.
 THINKING = "## Thinking"
 FINAL = "## Final Response"
 TOKEN = r"[a-z0-9]+|[\p{L}\p{N}_]"
+NOT_ASCII = r"[^\x00-\x7F]"
 EDGE_CHARS = " \t\r\n:.-*`"
 
 
@@ -38,6 +39,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t) if t is not None else None)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_all(texts: pd.Series) -> pd.Series:
+    """Unicode compatibility form of each text of an array."""
+    return texts.map(lambda a: [unicodedata.normalize("NFKC", t) if t is not None else None for t in a] if a is not None else None)
+
+
 def normalize(text: Column, compatibility: bool = False) -> Column:
     """Lower-cased letters and digits of any script, nothing else.
 
@@ -45,7 +52,7 @@ def normalize(text: Column, compatibility: bool = False) -> Column:
     """
     text = F.coalesce(text, F.lit("None"))
     if compatibility:
-        text = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+        text = F.coalesce(nfkc(F.when(text.rlike(NOT_ASCII), text)), text)
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 

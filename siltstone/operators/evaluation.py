@@ -8,11 +8,11 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.statistics import holm, mcnemar_exact, rank_percentiles, wilson
+from ..functions.statistics import difference_quantiles, holm, mcnemar_exact, rank_percentiles, wilson
 from ..functions.text import common_prefix
+from .ordering import within
 
 GROUP = ["dataset", "protocol"]
 REPEATED = 0.20
@@ -27,9 +27,9 @@ def beside(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
 
 
 def length_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """min, mean (2 places), p50, p95, p99, max; zeros for no rows."""
+    """min, mean (2 places, ties to even), p50, p95, p99, max; zeros for no rows."""
     by = by or []
-    aggs = [F.coalesce(F.min(value), F.lit(0)).cast("long").alias("min"), F.coalesce(F.round(F.avg(value), 2), F.lit(0.0)).alias("mean"), F.coalesce(F.max(value), F.lit(0)).cast("long").alias("max")]
+    aggs = [F.coalesce(F.min(value), F.lit(0)).cast("long").alias("min"), F.coalesce(F.bround(F.avg(value), 2), F.lit(0.0)).alias("mean"), F.coalesce(F.max(value), F.lit(0)).cast("long").alias("max")]
     base = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     ranks = rank_percentiles(df, value, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, by)
     return beside(base, ranks, by).select(*by, "min", "mean", *(F.coalesce(p, F.lit(0)).cast("long").alias(p) for p in ("p50", "p95", "p99")), "max")
@@ -66,7 +66,7 @@ def required_summary(p: DataFrame, by: list[str] = GROUP) -> DataFrame:
 
 def input_lengths(df: DataFrame, value: str, limit: int, by: list[str]) -> DataFrame:
     """Rows, least, mean and most tokens of each group, and how many are over ``limit``."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(value).alias("min"), F.round(F.avg(value), 2).alias("mean"), F.max(value).alias("max"), F.count_if(F.col(value) > limit).alias("overlong"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.min(value).alias("min"), F.bround(F.avg(value), 2).alias("mean"), F.max(value).alias("max"), F.count_if(F.col(value) > limit).alias("overlong"))
 
 
 def assert_input_lengths(lengths: DataFrame) -> list[dict]:
@@ -134,9 +134,14 @@ def subgroup_accuracy(p: DataFrame, field: str, by: list[str] = GROUP) -> DataFr
 
 
 def aligned(base: DataFrame, candidate: DataFrame, by: list[str] = GROUP, order: str | None = None) -> DataFrame:
-    """Pairs of equal ids; ids (and, given ``order``, their order) that differ raise when the pairs are read."""
+    """Pairs of equal ids; ids (and, given ``order``, their places in their group) that differ raise when the pairs are read."""
     keys = [*by, "id"]
-    pick = lambda df, name: df.select(*keys, F.col("correct").cast("int").alias(name), (F.row_number().over(W.partitionBy(*by).orderBy(order)) if order else F.lit(0)).alias(f"{name}_at"))
+
+    def pick(df: DataFrame, name: str) -> DataFrame:
+        if order is None:
+            return df.select(*keys, F.col("correct").cast("int").alias(name), F.lit(0).alias(f"{name}_at"))
+        return within(df.select(*keys, F.col(order).alias("order"), F.col("correct").cast("int").alias(name)), by, ["order", "id"], into=f"{name}_at").drop("order")
+
     joined = pick(base, "b").join(pick(candidate, "c"), keys, "full_outer")
     wrong = F.col("b").isNull() | F.col("c").isNull() | (F.col("b_at") != F.col("c_at"))
     return joined.filter(F.when(wrong, F.raise_error(F.concat(F.lit("ids differ: "), F.col("id").cast("string"))).cast("boolean")).otherwise(True)).select(*keys, "b", "c")
@@ -162,13 +167,30 @@ def bootstrap_interval(outcomes: DataFrame, by: list[str] = GROUP, resamples: in
     return outcomes.groupBy(*by).applyInPandas(draw, ", ".join([f"{c} {kinds[c]}" for c in by] + ["delta_low double", "delta_high double"]))
 
 
-def compare(base: DataFrame, candidate: DataFrame, by: list[str] = GROUP, order: str | None = None, contracts: tuple[str, str] | None = None) -> DataFrame:
-    """Paired outcomes with exact McNemar p, its Holm adjustment over the groups, and a bootstrap interval."""
+def exact_interval(outcomes: DataFrame, by: list[str] = GROUP) -> DataFrame:
+    """95 % interval of the mean paired difference in resamples of a group, without drawing any: quantiles of its exact distribution.
+
+    What ``bootstrap_interval`` approaches with more and more resamples, apart from its interpolation between values. The same on every run.
+    """
+
+    @F.pandas_udf("array<double>")
+    def bounds(n: pd.Series, up: pd.Series, down: pd.Series) -> pd.Series:
+        return pd.Series([[q / int(k) for q in difference_quantiles(int(k), int(u), int(d))] for k, u, d in zip(n, up, down)])
+
+    found = outcomes.select(*by, bounds("rows", "candidate_only_correct", "baseline_only_correct").alias("b"))
+    return found.select(*by, F.get("b", F.lit(0)).alias("delta_low"), F.get("b", F.lit(1)).alias("delta_high"))
+
+
+def compare(base: DataFrame, candidate: DataFrame, by: list[str] = GROUP, order: str | None = None, contracts: tuple[str, str] | None = None, *, draws: int | None = None) -> DataFrame:
+    """Paired outcomes with exact McNemar p, its Holm adjustment over the groups, and the resampling interval of the difference: exact, or
+    from ``draws`` resamples. Runs with other groups or contracts raise."""
     if contracts and contracts[0] != contracts[1]:
         raise ValueError("the runs have different evaluation contracts")
+    same_groups(base, candidate, by)
     outcomes = paired_outcomes(base, candidate, by, order).withColumn("mcnemar_exact_p", mcnemar_exact(F.col("baseline_only_correct"), F.col("candidate_only_correct")))
     named = outcomes.withColumn("group", F.concat_ws("_", *by))
-    return holm(named, "mcnemar_exact_p", "group", "mcnemar_holm_p").join(bootstrap_interval(outcomes, by), by)
+    interval = bootstrap_interval(outcomes, by, draws) if draws else exact_interval(outcomes, by)
+    return holm(named, "mcnemar_exact_p", "group", "mcnemar_holm_p").join(interval, by)
 
 
 def same_groups(base: DataFrame, candidate: DataFrame, by: list[str] = GROUP) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.tables import fresh, materialise
+from ..sources.tables import checked, fresh, materialise
 
 ROWS_PER_RANGE = 1_000_000
 
@@ -29,3 +29,14 @@ def running(df: DataFrame, order: list[str], value: Column | None = None, into:
     within = W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     summed = placed.withColumn(into, F.coalesce(F.sum(amount).over(within), F.lit(0)))
     return summed.join(F.broadcast(offsets), part).withColumn(into, F.col(into) + F.col(above)).select(*df.columns, into)
+
+
+def within(df: DataFrame, by: list[str], order: list[str], value: Column | None = None, into: str = "before", *, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``running`` within each group of ``by``, from 0 in each. Null groups are one. No group is brought into one task."""
+    summed = running(df, [*by, *order], value, into, rows_per_range=rows_per_range)
+    if not by:
+        return summed
+    start, *names = fresh(summed, "start", *(f"{g}_of" for g in by))
+    starts = materialise(summed.groupBy(*(F.col(g).alias(n) for g, n in zip(by, names))).agg(F.min(into).alias(start)), "starts")
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(by, names)]
+    return summed.join(checked(starts), same).withColumn(into, F.col(into) - F.col(start)).select(*df.columns, into)

@@ -18,7 +18,7 @@ from ..operators import curation as C
 from ..operators import evaluation as E
 from ..operators import manifests as M
 from ..operators import records as R
-from ..sources.tables import first_n, scan
+from ..sources.tables import dealt, first_n, scan
 from . import audit_sql, curation
 
 QUERIES: dict = {}
@@ -43,7 +43,8 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(spark, d, *columns):
-    return scan(spark, d, "documents", list(columns) or None)
+    df = scan(spark, d, "documents", list(columns) or None)
+    return dealt(df) if "text" in df.columns else df
 
 
 def pool(spark, d, part: int | None = None) -> DataFrame:
@@ -349,7 +350,7 @@ def _(spark, d):
 
 @query("clean_pool", f"WITH {_SPANS} SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT w.id FROM w JOIN r USING (w))")
 def _(spark, d):
-    hits = A.spans_everywhere(audit_pool(spark, d), protected(spark, d)).select(F.col("query_id").cast("long").alias("id")).distinct()
+    hits = A.span_hits(audit_pool(spark, d), protected(spark, d)).select(F.col("query_id").cast("long").alias("id"))
     return C.without(docs(spark, d, "doc_id").select(F.col("doc_id").alias("id")), hits)
 
 
@@ -402,7 +403,7 @@ def _(spark, d):
 
 # ---- length and schema profiles
 
-_LENGTHS = f"CAST(min(v) AS BIGINT) AS min, round(avg(v), 2) AS mean, CAST({_RANK.format('v', 0.5)} AS BIGINT) AS p50, CAST({_RANK.format('v', 0.95)} AS BIGINT) AS p95, CAST({_RANK.format('v', 0.99)} AS BIGINT) AS p99, CAST(max(v) AS BIGINT) AS max"
+_LENGTHS = f"CAST(min(v) AS BIGINT) AS min, round_even(avg(v), 2) AS mean, CAST({_RANK.format('v', 0.5)} AS BIGINT) AS p50, CAST({_RANK.format('v', 0.95)} AS BIGINT) AS p95, CAST({_RANK.format('v', 0.99)} AS BIGINT) AS p99, CAST(max(v) AS BIGINT) AS max"
 
 
 @query("length_summary", f"SELECT lang, {_LENGTHS} FROM (SELECT lang, length(text) AS v FROM documents) GROUP BY lang")
@@ -452,7 +453,7 @@ _BOUNDARY = "SELECT regexp_extract_all(lower(question), '[a-z0-9]+|[\\p{L}\\p{N}
 
 
 @query("token_boundaries", f"""WITH {_CHATS}, t AS ({_BOUNDARY}), l AS (SELECT len(p) AS p, len(f) AS v, coalesce(list_min(list_filter(range(1, least(len(p), len(f)) + 1), lambda i: p[i] <> f[i])) - 1, least(len(p), len(f))) AS c FROM t)
-SELECT CAST(count(*) AS BIGINT) AS rows, CAST(min(v) AS BIGINT) AS min_input_tokens, round(avg(v), 2) AS mean_input_tokens, CAST({_HALF.format('v', 0.95)} AS BIGINT) AS p95_input_tokens, CAST(max(v) AS BIGINT) AS max_input_tokens, CAST(min(v - c) AS BIGINT) AS min_supervised_tokens,
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(min(v) AS BIGINT) AS min_input_tokens, round_even(avg(v), 2) AS mean_input_tokens, CAST({_HALF.format('v', 0.95)} AS BIGINT) AS p95_input_tokens, CAST(max(v) AS BIGINT) AS max_input_tokens, CAST(min(v - c) AS BIGINT) AS min_supervised_tokens,
   round(avg(v - c), 2) AS mean_supervised_tokens, CAST(max(v - c) AS BIGINT) AS max_supervised_tokens, CAST(count(*) FILTER (v > 1536) AS BIGINT) AS truncated_rows, CAST(count(*) FILTER (v - c <= 0) AS BIGINT) AS empty_completion_rows, CAST(count(*) FILTER (c <> p) AS BIGINT) AS prefix_mismatch_rows FROM l""")
 def _(spark, d):
     both = chats(spark, d).filter("question IS NOT NULL AND response IS NOT NULL")
@@ -470,7 +471,7 @@ def _(spark, d):
     return r.agg(F.count(F.lit(1)).alias("rows"), share("ok", "format_compliance"), share("full", "nonempty_final_response"), share("again", "abnormal_repetition_rate"), share("hit", "max_token_hit_rate"))
 
 
-@query("input_length_audit", f"SELECT lang, CAST(count(*) AS BIGINT) AS rows, CAST(min(v) AS BIGINT) AS min, round(avg(v), 2) AS mean, CAST(max(v) AS BIGINT) AS max, CAST(count(*) FILTER (v > 2048) AS BIGINT) AS overlong FROM (SELECT lang, len({_TOKENS}) AS v FROM documents) GROUP BY lang")
+@query("input_length_audit", f"SELECT lang, CAST(count(*) AS BIGINT) AS rows, CAST(min(v) AS BIGINT) AS min, round_even(avg(v), 2) AS mean, CAST(max(v) AS BIGINT) AS max, CAST(count(*) FILTER (v > 2048) AS BIGINT) AS overlong FROM (SELECT lang, len({_TOKENS}) AS v FROM documents) GROUP BY lang")
 def _(spark, d):
     v = docs(spark, d, "lang", "text").select("lang", T.token_count(F.col("text")).alias("v"))
     return E.input_lengths(v, "v", 2048, ["lang"])
@@ -550,14 +551,25 @@ def _(spark, d):
     return holm(tested(spark, d), "p", "dataset").select("dataset", F.round("p_holm", 6).alias("p_holm"))
 
 
-@query("bootstrap_delta")
+_LOG = "CASE WHEN {1} > 0 THEN {0} * ln({1}::DOUBLE / rows) WHEN {0} = 0 THEN 0 ELSE -1e300 END"
+_INTERVAL = f"""draws AS (SELECT *, u - v AS difference, exp(lgamma(rows + 1) - lgamma(u + 1) - lgamma(v + 1) - lgamma(rows - u - v + 1) + {_LOG.format("u", "candidate_only_correct")} + {_LOG.format("v", "baseline_only_correct")}
+  + {_LOG.format("(rows - u - v)", "(rows - candidate_only_correct - baseline_only_correct)")}) AS chance
+  FROM (SELECT *, unnest(range(0, rows - u + 1)) AS v FROM (SELECT *, unnest(range(0, rows + 1)) AS u FROM o))),
+upto AS (SELECT dataset, protocol, rows, difference, sum(sum(chance)) OVER (PARTITION BY dataset, protocol ORDER BY difference) AS cumulative FROM draws GROUP BY dataset, protocol, rows, difference),
+i AS (SELECT dataset, protocol, min(difference) FILTER (cumulative >= 0.025 - 1e-9)::DOUBLE / rows AS delta_low, min(difference) FILTER (cumulative >= 0.975 - 1e-9)::DOUBLE / rows AS delta_high FROM upto GROUP BY dataset, protocol, rows)"""
+
+
+@query("bootstrap_delta", f"WITH {_PAIRED}, {_INTERVAL} SELECT * FROM i")
 def _(spark, d):
-    return E.bootstrap_interval(E.paired_outcomes(predictions(spark, d), predictions(spark, d, 1)))
+    return E.exact_interval(E.paired_outcomes(predictions(spark, d), predictions(spark, d, 1)))
 
 
-@query("compare_runs")
+@query("compare_runs", f"""WITH {_PAIRED}, {_MCNEMAR}, {_INTERVAL}, h AS (SELECT dataset, p, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY p, dataset) + 1) * p) AS a FROM m)
+SELECT dataset, protocol, rows, round(b, 6) AS baseline_accuracy, round(c, 6) AS candidate_accuracy, round(c - b, 6) AS accuracy_delta, both_correct, baseline_only_correct, candidate_only_correct, both_wrong, round(p, 6) AS mcnemar_exact_p, dataset || '_' || protocol AS "group",
+  round(max(a) OVER (ORDER BY p, dataset ROWS UNBOUNDED PRECEDING), 6) AS mcnemar_holm_p, delta_low, delta_high FROM o JOIN h USING (dataset) JOIN i USING (dataset, protocol)""")
 def _(spark, d):
-    return E.compare(predictions(spark, d), predictions(spark, d, 1))
+    o = E.compare(predictions(spark, d), predictions(spark, d, 1))
+    return o.select(*(F.round(c, 6).alias(c) if c.endswith(("accuracy", "accuracy_delta", "_p")) else c for c in o.columns))
 
 
 # ---- fingerprints

@@ -1,8 +1,11 @@
 """Preparing a corpus on disk, its gates, verified loading, and the reports."""
 
 import json
+import math
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +140,90 @@ def test_mcnemar_columns_are_the_scalar_test(spark):
     assert all(abs(r["p"] - S.mcnemar(r["b"], r["c"])) < 1e-7 for r in rows)
 
 
+def test_mcnemar_of_any_size(spark):
+    from siltstone.functions import statistics as S
+
+    rng = random.Random(7)
+    exact = lambda b, c: min(1.0, float(Fraction(2 * sum(math.comb(b + c, k) for k in range(min(b, c) + 1)), 2 ** (b + c)))) if b + c else 1.0
+    pairs = [(b, c) for b in range(22) for c in range(22)] + [(rng.randint(0, 600), rng.randint(0, 600)) for _ in range(60)] + [(4900, 5100), (4700, 5300), (0, 900), (1, 2000)]
+    rows = spark.createDataFrame(pairs, "b long, c long").select("b", "c", S.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()
+    for r in rows:
+        assert math.isclose(r["p"], exact(r["b"], r["c"]), rel_tol=1e-11), r
+    big = spark.createDataFrame([(500_000_000, 500_000_000), (499_980_000, 500_020_000), (400_000_000, 600_000_000)], "b long, c long").select(S.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()
+    normal = math.erfc((40_000 - 1) / math.sqrt(2e9))  # with the continuity correction
+    assert big[0]["p"] == 1.0 and math.isclose(big[1]["p"], normal, rel_tol=1e-6) and big[2]["p"] == 0.0
+
+
+def test_difference_quantiles_are_those_of_the_whole_distribution(spark):
+    from siltstone.functions import statistics as S
+
+    for n, up, down in ((1, 1, 0), (1, 0, 0), (10, 3, 2), (5, 5, 0), (50, 10, 10), (333, 100, 60), (2500, 20, 3), (40, 0, 0), (7, 0, 7)):
+        chance, draw = np.array([1.0]), np.array([down / n, 1 - (up + down) / n, up / n])
+        for _ in range(n):
+            chance = np.convolve(chance, draw)
+        upto = np.cumsum(chance)
+        assert S.difference_quantiles(n, up, down) == [int(np.searchsorted(upto, p - 1e-12)) - n for p in (0.025, 0.975)]
+    low, high = S.difference_quantiles(10**9, 300_000_000, 299_990_000)
+    assert abs(low - (10_000 - 1.959964 * math.sqrt(6e8))) < 30 and abs(high - (10_000 + 1.959964 * math.sqrt(6e8))) < 30
+    outcomes = spark.createDataFrame([("a", 333, 100, 60), ("b", 50, 0, 0)], "g string, rows long, candidate_only_correct long, baseline_only_correct long")
+    found = {r["g"]: (r["delta_low"], r["delta_high"]) for r in E.exact_interval(outcomes, ["g"]).collect()}
+    assert found == {"a": (16 / 333, 64 / 333), "b": (0.0, 0.0)}
+    drawn = {r["g"]: (r["delta_low"], r["delta_high"]) for r in E.bootstrap_interval(outcomes, ["g"]).collect()}
+    assert abs(drawn["a"][0] - 16 / 333) <= 1 / 333 and abs(drawn["a"][1] - 64 / 333) <= 1 / 333
+
+
+def test_ranks_of_groups_that_no_task_holds(spark):
+    from siltstone.functions import statistics as S
+
+    rng = random.Random(1)
+    rows = [(g, rng.choice([rng.random() * 1e9, rng.random() * 1e-9, float(rng.randint(0, 5)), None])) for g in ("a", "b", None) for _ in range(700)] + [("one", 4.0), ("none", None)]
+    df, points = spark.createDataFrame(rows, "g string, v double"), {"least": 0.0, "p50": 0.5, "p95": 0.95, "most": 1.0}
+    for by in (["g"], []):
+        for half_even in (False, True):
+            whole = sorted(map(str, S.rank_percentiles(df, "v", points, by, half_even=half_even).collect()))
+            assert whole == sorted(map(str, S.rank_percentiles(df, "v", points, by, half_even=half_even, together=60).collect()))
+    a = sorted(((v is not None, v) for g, v in rows if g == "a"), key=lambda x: (x[0], x[1] or 0))
+    got = next(r for r in S.rank_percentiles(df, "v", points, ["g"], together=60).collect() if r["g"] == "a")
+    assert got["p95"] == a[math.ceil(699 * 0.95)][1]
+
+
+def test_places_of_aligned_rows(spark):
+    schema = "dataset string, protocol string, id string, at long, correct boolean"
+    base = spark.createDataFrame([("d", "p", str(k), k, True) for k in range(6)] + [("e", "p", "0", 3, True)], schema)
+    moved = base.withColumn("at", F.when(F.col("id") == "2", 9).otherwise(F.col("at")))
+    assert E.aligned(base, base.withColumn("at", F.col("at") * 7), order="at").count() == 7
+    with pytest.raises(Exception, match="ids differ"):
+        E.aligned(base, moved, order="at").collect()
+    with pytest.raises(ValueError, match="different groups"):
+        E.compare(base, base.filter("dataset = 'd'"))
+
+
+def test_rows_are_counted_by_the_write(spark, tmp_path):
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("counting"))
+    df = spark.range(0, 1000, 1, 7).withColumn("x", F.col("id") % 3)
+    spark.sparkContext.setJobGroup("counting", "")
+    try:
+        assert tables.write_jsonl(df, f"{tmp_path}/j") == 1000 and jobs() == 1
+        out, seen = tables.counted(df, "c", odd=F.count_if("x = 1"), most=F.max("id"))
+        assert seen == {"rows": 1000, "odd": 333, "most": 999} and jobs() == 2
+        assert tables.write_jsonl(df.filter("id < 0"), f"{tmp_path}/none") == 0
+        assert tables.write_jsonl(spark.createDataFrame([], "a int"), f"{tmp_path}/empty") == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == 1000
+
+
+def test_retained_rows(spark):
+    schema = "id long, text string, key string, order long, kept string"
+    rows = [(3, "One two", "a", 1, "x"), (2, "one TWO!", "b", 2, "x"), (5, "other", "c", 0, "x"), (5, "other", "c", 0, "x"), (7, "single", "d", 0, "x"), (None, "none", "e", 0, "x"), (None, None, "f", 0, "x"), (9, "", "g", 0, "x"), (8, "?", "h", 0, "x")]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted(tuple(r) for r in C.retained(df).select("key").collect())
+    got = ["e" if k == "f" else k for (k,) in got]  # rows of the same text and id
+    assert got == ["b", "c", "d", "e", "h"] and C.retained(df).columns == df.columns  # a null text is the word None
+    assert sorted(r["key"].replace("f", "e") for r in C.retained(df, order_col="order").collect()) == ["a", "c", "d", "e", "h"]
+    assert C.retained(df.limit(0)).count() == 0
+
+
 def test_bootstrap_interval_holds_the_difference(spark):
     o = spark.createDataFrame([("d", "p", 1000, 300, 200), ("e", "p", 10, 0, 0)], "dataset string, protocol string, rows long, candidate_only_correct long, baseline_only_correct long")
     got = {r["dataset"]: (r["delta_low"], r["delta_high"]) for r in E.bootstrap_interval(o).collect()}
