@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -21,8 +22,8 @@ _STEM = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7f])")
 _BARE = "\x1d"  # marks a part without a space before it
 #: ASCII punctuation and digits at a word's end: the pre-tokenizer always splits between a letter and them.
 _TAIL = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-@\\[-`{-~]+)( |$)"
-_MOST = 500_000  # words kept
-_CHUNK = 1 << 21  # characters encoded at a time
+_MOST = 1_000_000  # words kept
+_CHUNK = 1 << 22  # characters encoded at a time
 
 
 def default_vocabulary() -> str:
@@ -50,70 +51,87 @@ class Encoder:
         self.lengths = np.zeros(max(words.values()) + 1, np.int64)  # a byte-level vocabulary writes each byte as one character
         for word, i in words.items():
             self.lengths[i] = len(word)
-        self.seen: dict[str, bytes] = {}
         self.rests: dict[str, bytes] = {}
+        self._forget()
         if "ByteLevel" not in str(self.tokenizer.pre_tokenizer) or "add_prefix_space=True" in str(self.tokenizer.pre_tokenizer):
             raise ValueError("a vocabulary with byte-level words is needed")
 
+    def _forget(self) -> None:
+        """No word is known. A known word has a number; arrays have where its ids start and how many they are."""
+        self.numbers: dict[str, int] = {}
+        self.ids, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _rest(self, text: str) -> bytes:
         ids = self.rests.get(text)
         if ids is None:
-            if len(self.rests) > _MOST // 4:
+            if len(self.rests) > _MOST // 8:
                 self.rests.clear()
             ids = self.rests[text] = self._whole(text)
         return ids
 
-    def _stems(self, keys: list[str]) -> None:
-        """Keep the ids of new words, each with a space before it, encoded as one text."""
+    def _stems(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of words, each with a space before it, encoded as one text."""
         if not keys:
-            return
+            return {}
         text = " " + " ".join(keys)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum([1 + len(k.encode()) for k in keys])
-        cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4
-        whole, a = ids.tobytes(), 0
-        for key, b in zip(keys, cuts.tolist()):
-            self.seen[key] = whole[a:b]
-            a = b
-
-    def _keyed(self, keys: list[str]) -> list[bytes]:
-        """Ids of each key. Stems are kept; a stem with what follows it is put together anew."""
-        seen = self.seen
-        if len(seen) > _MOST:
-            seen.clear()
-        out = list(map(seen.get, keys))
-        new, later = {}, []
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            key = keys[i]
+        cuts = ((np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * 4).tolist()
+        whole = ids.tobytes()
+        return {k: whole[a:b] for k, a, b in zip(keys, [0, *cuts], cuts)}
+
+    def _new(self, keys: list[str]) -> list[bytes]:
+        """Ids of keys that aren't known. Stems are encoded together; a stem with what follows it is put together."""
+        out: list[bytes] = [b""] * len(keys)
+        wanted, later = {}, []
+        for i, key in enumerate(keys):
             if key.isalpha():  # one run of letters
-                new[key] = None
-                later.append((i, key, ""))
+                stem, rest = key, ""
             elif key[:-1].isalpha():
-                stem = key[:-1]
-                if stem not in seen:
-                    new[stem] = None
-                later.append((i, stem, key[-1]))
+                stem, rest = key[:-1], key[-1]
             elif key[:1] == _BARE or not (m := _STEM.match(key)):
                 out[i] = self._rest(key[1:] if key[:1] == _BARE else key if key == "\n" else " " + key)
+                continue
             else:
-                stem = m[0]
-                if stem not in seen:
-                    new[stem] = None
-                later.append((i, stem, key[len(stem) :]))
-        self._stems(list(new))
+                stem, rest = m[0], key[len(m[0]) :]
+            wanted[stem] = None
+            later.append((i, stem, rest))
+        stems = self._stems(list(wanted))
         for i, stem, rest in later:
-            out[i] = seen[stem] + self._rest(rest) if rest else seen[stem]
+            out[i] = stems[stem] + self._rest(rest) if rest else stems[stem]
+        return out
+
+    def _numbered(self, keys: list[str]) -> np.ndarray:
+        """The number of each key; new ones are encoded and get theirs."""
+        if len(self.numbers) > _MOST:
+            self._forget()
+        find = lambda some: np.fromiter(map(self.numbers.get, some, itertools.repeat(-1)), np.int64, len(some))
+        out = find(keys)
+        at = np.flatnonzero(out < 0).tolist()
+        if at:
+            some = list(dict.fromkeys(keys[i] for i in at))
+            known = self._new(some)
+            size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.ids, self.size = np.concatenate([self.ids, np.frombuffer(b"".join(known), "<u4")]), np.concatenate([self.size, size])
+            self.numbers.update(zip(some, range(len(self.numbers), len(self.size))))
+            out[at] = find([keys[i] for i in at])
         return out
 
+    def _flat(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words in turn, and the number of ids before each and in all."""
+        each = self.size[numbers]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        return self.ids[np.repeat(self.start[numbers] - ends[:-1], each) + np.arange(ends[-1])], ends
+
     def _odd(self, text: str) -> bytes:
         if self.alien.search(text):
             return self._whole(text)
         keys = [w if w == "\n" else w[1:] if w[0] == " " and w != " \n" else _BARE + w for w in _PART.findall(text)]
-        ids = dict(zip(words := list(dict.fromkeys(keys)), self._keyed(words)))
-        return b"".join(map(ids.__getitem__, keys))
+        return self._flat(self._numbered(keys))[0].tobytes()
 
     def _many(self, texts: pa.Array) -> list[bytes]:
         """Texts without odd white space: split, and each distinct part looked up once."""
@@ -121,14 +139,9 @@ class Encoder:
         marked = pc.replace_substring_regex(marked, _TAIL, f"\\1 {_BARE}\\2\\3")
         parts = pc.split_pattern(marked, " ")
         coded = parts.flatten().dictionary_encode()
-        known = self._keyed(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        ids, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        flat = ids[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
-        at = (4 * ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]).tolist()
+        numbers = self._numbered(coded.dictionary.to_pylist())
+        flat, ends = self._flat(numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(numbers) else numbers)
+        flat, at = flat.tobytes(), (4 * ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]).tolist()
         return [flat[a:b] for a, b in zip(at, at[1:])]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

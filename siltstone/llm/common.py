@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running
-from ..sources.tables import checked, fresh, materialise, shared_dir, table_path
+from ..sources.tables import checked, dealt, fresh, materialise, shared_dir, table_path
 
-__all__ = ["alnum_words", "ascii_lower", "checked", "fold", "fresh", "materialise", "running", "shards", "shared_dir", "space_words", "table_path"]
+__all__ = ["alnum_words", "ascii_lower", "checked", "documents", "fold", "fresh", "materialise", "running", "shards", "shared_dir", "space_words", "table_path"]
 
 #: Bytes that are not part of a benchmark word: all ASCII but digits and lower-case letters (after lower-casing).
 _GAPS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table; a small one of few files is dealt out to all cores."""
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def fold(id_col: str | Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; a null id counts as the empty text."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

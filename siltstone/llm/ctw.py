@@ -537,4 +537,4 @@ def _valued(key: np.ndarray, value: np.ndarray, asked: np.ndarray) -> np.ndarray
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: every document."""
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score(common.documents(spark, sf_dir))

@@ -284,7 +284,7 @@ def _trim(text: str, spans: list[tuple[int, int]]) -> str:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: every document against every benchmark item."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.documents(spark, sf_dir)
     found = mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     c = F.col("contamination")
     return found.select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(c["item_ids"]).cast("long").alias("n_items"), F.sha2(F.array_join(c["item_ids"], ","), 256).alias("items_sha256"), (c["n_hit"] > 0).alias("contaminated"))

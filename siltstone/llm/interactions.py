@@ -131,7 +131,7 @@ def audit(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op11: the five filters over every document of the table."""
-    return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return audit(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 SQL = r"""

@@ -146,7 +146,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", si
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: every document with the digest of what is left of it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", "source")
     return dedup(docs, counts=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

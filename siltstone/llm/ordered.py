@@ -347,4 +347,4 @@ def pack(
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op12: every document of the table."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(common.documents(spark, sf_dir))

@@ -112,4 +112,4 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: every document of the table."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(common.documents(spark, sf_dir))

@@ -224,7 +224,7 @@ def _listed(spans: Column) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: every document."""
-    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep=["doc_id"])
+    found = find(common.documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] != "term")
     counts = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))

@@ -96,7 +96,7 @@ def evidence(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", in
 
 
 def site_posteriors(p: DataFrame, *, p_col: str = "p_doc", host_col: str = "host", path_col: str = "path") -> tuple[DataFrame, float]:
-    """Posterior mean quality of each (host, path), and the global mean.
+    """Posterior mean quality of each (host, path), and the global mean; also the sums and prior strengths that the means come from.
 
     One grouped aggregation gives each path's count and sum of evidence. A host's mean shrinks to the global mean, and a path's
     mean to its host's, each with the prior strength that empirical Bayes finds by moments (between-site against within-site
@@ -106,14 +106,14 @@ def site_posteriors(p: DataFrame, *, p_col: str = "p_doc", host_col: str = "host
     hosts = common.materialise(paths.groupBy(host_col).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq")), "hosts")
     total = hosts.agg(F.sum("hn"), F.sum("hs"), F.sum("hq"), F.count(F.lit(1)), F.sum(F.col("hn") * F.col("hn")), F.sum(F.col("hs") * F.col("hs") / F.col("hn"))).first()
     if not total[0]:
-        return paths.select(host_col, path_col, F.lit(0.5).alias("host_mean"), F.lit(0.5).alias("path_mean")), 0.5
+        return paths.select(host_col, path_col, F.lit(0.5).alias("host_mean"), F.lit(0.5).alias("path_mean"), "n", "s", F.col("n").alias("hn"), F.col("s").alias("hs"), F.lit(1.0).alias("host_k"), F.lit(1.0).alias("path_k")), 0.5
     mean = total[1] / total[0]
     host_k = _strength(total[0], total[3], total[4], total[5] - total[1] ** 2 / total[0], total[2] - total[5])
     inner = paths.agg(F.count(F.lit(1)), F.sum(F.col("n") * F.col("n")), F.sum(F.col("s") * F.col("s") / F.col("n"))).first()
     path_k = _strength(total[0], inner[0] - total[3] + 1, inner[1], inner[2] - total[5], total[2] - inner[2])
-    shrunk = hosts.select(host_col, ((F.col("hs") + host_k * mean) / (F.col("hn") + host_k)).alias("host_mean"))
+    shrunk = hosts.select(host_col, "hn", "hs", ((F.col("hs") + host_k * mean) / (F.col("hn") + host_k)).alias("host_mean"))
     same = [F.col(f"a.{host_col}").eqNullSafe(F.col(f"b.{host_col}"))]
-    out = paths.alias("a").join(shrunk.alias("b"), same).select(F.col(f"a.{host_col}").alias(host_col), path_col, "host_mean", ((F.col("s") + path_k * F.col("host_mean")) / (F.col("n") + path_k)).alias("path_mean"))
+    out = paths.alias("a").join(shrunk.alias("b"), same).select(F.col(f"a.{host_col}").alias(host_col), path_col, "host_mean", ((F.col("s") + path_k * F.col("host_mean")) / (F.col("n") + path_k)).alias("path_mean"), "n", "s", "hn", "hs", F.lit(float(host_k)).alias("host_k"), F.lit(float(path_k)).alias("path_k"))
     return out, mean
 
 
@@ -129,8 +129,9 @@ def _strength(n: float, groups: float, squares: float, between: float, within: f
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
     """Documents (columns in ``keep``, default all) with p_doc, host_mean, path_mean, quality_score and quality_keep.
 
-    The score adds the evidence of the document to its site's posterior: logit(p_doc) + logit(path_mean) - logit(global mean).
-    Null hosts and paths are sites of their own; null and empty texts are classified by their lack of words. Repeated rows all
+    The score adds the evidence of the document to its site's posterior: logit(p_doc) + logit(path_mean) - logit(global mean). The
+    posterior is that of the site's other documents: a document's own evidence is taken out of its host's and its path's sums, so on a
+    site of its own it meets the global mean. Null hosts and paths are sites of their own; null and empty texts are classified by their lack of words. Repeated rows all
     stay. An empty table gives no rows; without labels everything is kept. Columns of the five names, if there are, are replaced.
     """
     own = ("p_doc", "host_mean", "path_mean", "quality_score", "quality_keep")
@@ -138,9 +139,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     columns = [c for c in (keep if keep is not None else docs.columns) if c not in own]
     scored = common.materialise(evidence(docs, weights, text_col=text_col, keep=list(dict.fromkeys([*columns, host_col, path_col]))), "evidence")
     sites, mean = site_posteriors(scored, host_col=host_col, path_col=path_col)
-    host, path = common.fresh(scored, "site_host", "site_path")
-    sites = common.materialise(sites, "sites").withColumnsRenamed({host_col: host, path_col: path})
+    host, path, *sums = common.fresh(scored, "site_host", "site_path", "n", "s", "hn", "hs", "host_k", "path_k")
+    sites = common.materialise(sites.drop("host_mean", "path_mean"), "sites").toDF(host, path, *sums)
+    n, s, hn, hs, host_k, path_k = (F.col(c) for c in sums)
+    others = (hs - F.col("p_doc") + host_k * mean) / (hn - 1 + host_k)
     joined = scored.join(common.checked(sites, BROADCAST_SITES), F.col(host_col).eqNullSafe(F.col(host)) & F.col(path_col).eqNullSafe(F.col(path)), "left")
+    joined = joined.withColumn("host_mean", others).withColumn("path_mean", (s - F.col("p_doc") + path_k * F.col("host_mean")) / (n - 1 + path_k))
     logit = lambda c: F.log(c / (1 - c))
     inside = lambda c: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), c))
     z = logit(inside(F.col("p_doc"))) + logit(inside(F.col("path_mean"))) - math.log(max(1e-9, mean) / max(1e-9, 1 - mean))
@@ -150,5 +154,5 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: every document, its source as the host and its language as the path."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.documents(spark, sf_dir)
     return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])

@@ -334,7 +334,7 @@ def ranked(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op13: every item of the benchmark over every document."""
-    return ranked(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return ranked(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 SQL = r"""

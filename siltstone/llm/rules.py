@@ -111,7 +111,7 @@ def ablations(entries: DataFrame, policies: list[str] | None = None) -> DataFram
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: every document; the verdict is policy v1."""
-    entries = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+    entries = ledger(common.documents(spark, sf_dir), keep=["doc_id"])
     return apply_policy(entries, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("rule_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "rule_bits")
 
 

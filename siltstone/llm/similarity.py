@@ -304,4 +304,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: every document against every other."""
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "n_copies")
+    return join(common.documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")

@@ -331,5 +331,5 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: every document of the table, written and read back."""
     path = common.table_path(spark, "sst")
-    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    write(common.documents(spark, sf_dir), path)
     return digest(spark, path)

@@ -127,5 +127,5 @@ def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: fit on the labelled rows outside fold 0, score every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = common.documents(spark, sf_dir)
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
