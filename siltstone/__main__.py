@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .operators import evaluation as E
 from .operators import manifests as M
 from .plans import curation, evaluation_run, prepare
-from .sources import runtime
+from .sources import config, runtime
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     command("check", "gates of what prepare wrote", ("root", {}))
     command("steps", "training steps", ("rows", {"type": int}), ("batch", {"type": int}), ("--epochs", {"type": float, "default": 1.0}))
     command("evaluate", "summary of predictions", ("--predictions", table))
+    command("dry-run", "what an evaluation would run on", ("config", {"help": "settings in YAML"}), ("root", {"help": "the folder that prepare wrote"}), ("--profile", {"default": "full"}), ("--datasets", {"nargs": "+", "default": ["all"]}), ("--protocols", {"nargs": "+", "default": ["all"]}), ("--max-samples", {"type": int}))
     command("compare", "paired comparison of two runs", ("--baseline", table), ("--candidate", table))
     return p
 
@@ -48,6 +49,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
         return prepare.check(spark, a.root)
     if a.command == "steps":
         return {"steps": E.training_steps(a.rows, a.batch, a.epochs)}
+    if a.command == "dry-run":
+        settings = config.load(a.config, a.profile)
+        return evaluation_run.dry_run(spark, settings, a.root, E.select(a.datasets, tuple(settings.datasets)), E.select(a.protocols, tuple(settings.protocols)), max_samples=a.max_samples)
     summary = evaluation_run.metrics(read(a.predictions)) if a.command == "evaluate" else E.compare(read(a.baseline), read(a.candidate))
     return [r.asDict() for r in summary.collect()]  # a row for each dataset and protocol
 

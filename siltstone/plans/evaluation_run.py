@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import answers
+from ..functions.text import token_count
 from ..operators import evaluation as E
+from ..operators import manifests as M
+from ..operators import records as R
 from ..operators.curation import duplicate_ids, shard
+from ..sources import config
 from ..sources.tables import materialise
+from . import prepare as prepare_plan
 
 
 def prepare(records: DataFrame, order: str = "row_index", *, shard_size: int = 64, max_samples: int | None = None) -> DataFrame:
@@ -118,3 +126,53 @@ def merge(predictions: DataFrame, records: DataFrame, order: str = "row_index")
 
 def metrics(predictions: DataFrame) -> DataFrame:
     return E.required_summary(predictions)
+
+
+#: The options of the parser's self-check; text, protocol and answer of each case.
+SELF_CHECK_OPTIONS = {"A": "alpha", "B": "beta", "C": "maybe", "D": "delta"}
+SELF_CHECK = (
+    ("Answer: B", "direct", "B"),
+    ("b", "direct", "B"),
+    ("\\boxed{C}", "direct", "C"),
+    ("beta", "direct", "B"),
+    ("## Thinking\nA is wrong.\n## Final Response\nAnswer: B", "cot", "B"),
+    ("## Thinking\nReason.\n## Final Response\nFinal Answer is D", "cot", "D"),
+)
+
+
+def parser_self_check(spark: SparkSession) -> dict[str, Any]:
+    """The answer parser on made-up outputs; another answer than the expected one raises."""
+    options = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in SELF_CHECK_OPTIONS.items()))
+    cases = spark.createDataFrame(list(SELF_CHECK), "text string, protocol string, expected string")
+    parsed = cases.withColumn("answer", answers.parse(F.col("text"), options, F.col("protocol"))["parsed_answer"])
+    if wrong := [r.asDict() for r in parsed.filter(~F.col("answer").eqNullSafe(F.col("expected"))).collect()]:
+        raise ValueError(f"the parser fails on {wrong}")
+    return {"cases": len(SELF_CHECK), "failures": 0, "status": "ok"}
+
+
+def dry_run(
+    spark: SparkSession, settings: config.Evaluation, root: str, datasets: tuple[str, ...], protocols: tuple[str, ...], *, max_samples: int | None = None, tokens: Callable[[Column], Column] = token_count, parser_version: str = "1", prompt_version: str = "1",
+) -> dict[str, Any]:
+    """What an evaluation would run on, without a model: verified data, lengths of all prompts, the parser's self-check and the contract.
+
+    Every prompt is rendered as the chat that a model would get and measured by ``tokens``; one over the settings' ``max_input_length``
+    raises, as does whatever ``prepare.load_verified`` finds wrong with the data.
+    """
+    limit = settings.max_samples(max_samples)
+    keys = {name: settings.datasets[name].manifest_key for name in datasets}
+    loaded, report = prepare_plan.load_verified(spark, root, settings.expected_aggregate_sha256, list(keys.values()), prepare_plan.SCHEMAS["mcq"][0], max_samples=limit, manifest=settings.manifest_file)
+    inputs = None
+    for name, key in keys.items():
+        for protocol in protocols:
+            turn = F.array(F.struct(F.lit("user").alias("role"), R.render_prompt(F.col("question"), F.col("options"), protocol).alias("content")))
+            each = loaded[key].select(F.lit(f"{name}/{protocol}").alias("input"), tokens(R.render_chat(turn, generation_prompt=True)).alias("v"))
+            inputs = each if inputs is None else inputs.unionByName(each)
+    lengths = {r.pop("input"): r for r in E.assert_input_lengths(E.input_lengths(inputs, "v", settings.inference.max_input_length, ["input"]))}
+    parameters = {
+        "base_model": settings.model.name_or_path, "base_revision": settings.model.revision, "selected_datasets": list(datasets), "selected_protocols": list(protocols), "max_samples_per_dataset": limit,
+        "inference": asdict(settings.inference), "protocols": {p: asdict(settings.protocols[p]) for p in protocols}, "prompt": M.prompt_contract(prompt_version), "parser_version": parser_version,
+    }
+    return {
+        "status": "ok", "profile": settings.profile, "selected_datasets": list(datasets), "selected_protocols": list(protocols), "max_samples_per_dataset": limit, "total_predictions": sum(r["rows"] for r in lengths.values()), "data": report,
+        "input_token_audit": lengths, "parser_self_check": parser_self_check(spark), "evaluation_contract": M.contract(parameters, report["datasets"]),
+    }

@@ -120,8 +120,34 @@ def _same_file(spark: SparkSession, root: str, name: str, stated: Mapping[str, A
     return made
 
 
+#: For each family: the columns of its written records, and what makes them canonical.
+SCHEMAS = {
+    "sft": ("id string, source string, question string, reasoning string, response string, messages array<struct<role:string,content:string>>, split string, meta string", R.normalize_sft),
+    "rl": ("id string, source string, prompt string, ground_truth_answer string, split string, meta string", R.normalize_rl),
+    "mcq": ("id string, source string, question string, options array<struct<key:string,value:string>>, answer string, split string, answer_text string, explanation string, meta string", R.normalize_mcq),
+}
+
+
+def round_trips(spark: SparkSession, root: str, stated: Mapping[str, Any]) -> dict[str, int]:
+    """Records of each file, each of which its family's normalization leaves as it is; a training conversation also has one user and one
+    assistant turn with both headings. Others raise with their ids. Only ids and 64-bit hashes of records are shuffled."""
+    rows = {}
+    for name, f in stated["files"].items():
+        schema, normalize = SCHEMAS[f["schema"]]
+        written = spark.read.schema(schema).json(f"{root}/{f['path']}")
+        hashed = lambda df: df.select("id", F.xxhash64(*written.columns).alias("h"))  # noqa: B023, E731
+        changed = hashed(written).exceptAll(hashed(normalize(written))).select("id")
+        if f["schema"] == "sft":
+            changed = changed.unionByName(R.prompt_completion(written).filter("problem is not null").select("id"))
+        if ids := [r["id"] for r in changed.limit(5).collect()]:
+            raise ValueError(f"{name}: records that aren't canonical: {ids}")
+        rows[name] = f["rows"]
+    return rows
+
+
 def check(spark: SparkSession, root: str, manifest: str = MANIFEST) -> dict[str, Any]:
-    """Raise unless every file is that of the manifest, no record is invalid, no training prompt repeated and no review open."""
+    """Raise unless every file is that of the manifest, every record is canonical, none is invalid, no training prompt repeated and no
+    review open."""
     stated = json.loads(get_text(spark, f"{root}/{manifest}"))
     rows = {name: _same_file(spark, root, name, f)["rows"] for name, f in stated["files"].items()}
     totals = json.loads(get_text(spark, f"{root}/{stated['data_quality_report']}"))["summary"]
@@ -129,4 +155,5 @@ def check(spark: SparkSession, root: str, manifest: str = MANIFEST) -> dict[str,
     gates = {"schema_invalid_rows": totals["schema_invalid_rows"], "training_duplicate_normalized_prompts": totals["training_duplicate_normalized_prompts"], "unresolved_contamination_candidates": sum(a["unresolved_review_count"] for a in audits)}
     if failed := {k: v for k, v in gates.items() if v}:
         raise ValueError(f"gates that fail: {failed}")
+    round_trips(spark, root, stated)
     return {"aggregate_sha256": stated["aggregate_sha256"], "checked_files": rows, "status": "ok"} | gates
