@@ -16,7 +16,7 @@ from . import bpe, common
 TOP = 10
 BLOCK = 128  # postings
 SHARD_DOCS = 65_536
-SHARD_POSTINGS = 4_000_000  # a shard ends with the document that reaches one of these
+SHARD_POSTINGS = 2_000_000  # a shard ends with the document that reaches one of these
 WINDOW = 4096  # documents that are scored together
 ITEMS_PER_PASS = 10_000
 
