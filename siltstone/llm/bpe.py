@@ -23,7 +23,7 @@ _BARE = "\x1d"  # marks a part without a space before it
 #: ASCII punctuation and digits at a word's end: the pre-tokenizer always splits between a letter and them.
 _TAIL = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-@\\[-`{-~]+)( |$)"
 _MOST = 1_000_000  # words kept
-_CHUNK = 1 << 22  # characters encoded at a time
+CHUNK = 1 << 22  # characters encoded at a time
 
 
 def default_vocabulary() -> str:
@@ -146,7 +146,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for a, b in few(texts, _CHUNK):
+        for a, b in few(texts, CHUNK):
             some = pa.array(texts[a:b], pa.string())
             odd = pc.fill_null(pc.match_substring_regex(some, self.odd), True)
             even = iter(self._many(some.filter(pc.invert(odd))))

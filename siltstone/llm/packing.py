@@ -69,7 +69,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
             seen: collections.Counter = collections.Counter()
-            for a, b in bpe.few(texts):
+            for a, b in bpe.few(texts, bpe.CHUNK):
                 for doc, code in zip(ids[a:b], encoder.encode(texts[a:b])):
                     code += end
                     n = len(code) // 4
@@ -94,7 +94,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
     each by a hash of the row and its number among equal ones of a batch, so that repeated rows spread as others do, the packs of other
     rows don't depend on how the input is split, and a lost task repeats alike.
     A pack feeds its pieces, longest first, to ``best_fit``. Null text: the end id alone. Null ids and repeated rows are packed as
-    any other. An empty table gives no rows. Columns besides id and text are not read.
+    any other. A very long text is encoded as one row and cut into pieces, which spread over the packs. An empty table gives no rows.
+    Columns besides id and text are not read.
     """
     packs = common.shards(docs.count(), docs_per_pack)
 
