@@ -131,8 +131,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
     The score adds the evidence of the document to its site's posterior: logit(p_doc) + logit(path_mean) - logit(global mean). The
     posterior is that of the site's other documents: a document's own evidence is taken out of its host's and its path's sums, so on a
-    site of its own it meets the global mean. Null hosts and paths are sites of their own; null and empty texts are classified by their lack of words. Repeated rows all
-    stay. An empty table gives no rows; without labels everything is kept. Columns of the five names, if there are, are replaced.
+    site of its own it meets the global mean. Null hosts and paths are sites of their own; null and empty texts are classified by their lack of words, a very long
+    one by all of its words as one row. Repeated rows all stay, each the others' evidence. An empty table gives no rows; without labels everything is kept. Columns of the five names, if there are, are replaced.
     """
     own = ("p_doc", "host_mean", "path_mean", "quality_score", "quality_keep")
     weights = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows)

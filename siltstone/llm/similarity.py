@@ -265,7 +265,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     what leaves it is linear in its members. Nothing is capped.
 
     Null, empty and wordless texts have no n-grams: no links, a class of their own (their doc_id), n_copies 1. Rows of a null id
-    take part; a class with only null ids has a null class_id. Repeated rows are copies. An empty table gives no rows.
+    take part; a class with only null ids has a null class_id. Repeated rows are copies. A very long text is one row, compared by its whole
+    set of n-grams. An empty table gives no rows. Extra columns are not read.
     """
     bands, rows = choose_bands(similarity, recall)
     signed = common.materialise(signatures(docs, id_col=id_col, text_col=text_col, words=words, bands=bands, rows=rows), "signatures")

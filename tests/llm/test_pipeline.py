@@ -1,0 +1,148 @@
+"""The pipeline's stages, each on all that the one before kept, against plain Python."""
+
+import collections
+import itertools
+import math
+import zlib
+
+from test_llm import ODD, ODD_IDS, ids_brute, near_copies, prose, windows_brute
+
+from siltstone.llm import common, lines, quality, similarity
+
+
+def classified(rows, weights):
+    """Which rows stay: evidence and the posterior of the other documents of the site, in plain sums."""
+    p = [1 / (1 + math.exp(-max(-35.0, min(35.0, float(quality.features(r["text"]) @ weights))))) for r in rows]
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for r, x in zip(rows, p):
+        hosts[r["source"]].append(x)
+        paths[r["source"], r["lang"]].append(x)
+    n, mean = len(p), sum(p) / len(p)
+
+    def strength(groups, outer, shift):
+        k = len(groups) - shift
+        if k < 2 or n <= k:
+            return 1e6
+        within = max(1e-9, sum(sum(x * x for x in g) - sum(g) ** 2 / len(g) for g in groups) / (n - k))
+        between = (sum(sum(g) ** 2 / len(g) for g in groups) - outer - (k - 1) * within) / max(1e-9, n - sum(len(g) ** 2 for g in groups) / n)
+        return min(1e6, max(1.0, within / between)) if between > 0 else 1e6
+
+    host_k = strength(list(hosts.values()), sum(p) ** 2 / n, 0)
+    path_k = strength(list(paths.values()), sum(sum(g) ** 2 / len(g) for g in hosts.values()), len(hosts) - 1)
+    logit = lambda x: math.log(max(1e-9, min(1 - 1e-9, x)) / (1 - max(1e-9, min(1 - 1e-9, x))))
+    kept = []
+    for r, x in zip(rows, p):
+        h, g = hosts[r["source"]], paths[r["source"], r["lang"]]
+        host = (sum(h) - x + host_k * mean) / (len(h) - 1 + host_k)
+        path = (sum(g) - x + path_k * host) / (len(g) - 1 + path_k)
+        score = 1 / (1 + math.exp(-(logit(x) + logit(path) - math.log(max(1e-9, mean) / max(1e-9, 1 - mean)))))
+        assert abs(score - quality.THRESHOLD) > 1e-6
+        if score >= quality.THRESHOLD:
+            kept.append(r)
+    return kept
+
+
+def without_lines(rows, least_left):
+    bare = lambda s: s.strip("\t\n\x0b\x0c\r ")
+    long_lines = lambda t: frozenset(bare(s) for s in (t or "").split("\n") if len(common.space_words(s)) >= lines.MIN_WORDS)
+    sites, texts = collections.defaultdict(set), collections.defaultdict(set)
+    for r in rows:
+        for s in long_lines(r["text"]):
+            sites[s].add(r["source"])
+        if r["text"] is not None:
+            texts[r["text"]].add(r["source"])
+    boiler = {s for s, on in sites.items() if len(on) >= lines.MIN_SITES}
+    copied = {t for t, on in texts.items() if len(on) >= lines.MIN_SITES}
+    sets = {v for t in copied if len(h := long_lines(t)) >= lines.NEAR_LINES for v in (h, *(h - {x} for x in h))}
+    size = lambda parts: sum(len(s) - sum(s.count(c) for c in " \t\r") for s in parts)
+    out = []
+    for r in rows:
+        gone = long_lines(r["text"]) & boiler
+        if gone:
+            parts = r["text"].split("\n")
+            left = [s for s in parts if not (bare(s) in gone and len(common.space_words(s)) >= lines.MIN_WORDS)]
+            if (r["text"] in copied or gone in sets) and size(left) < least_left * size(parts):
+                left = parts
+            r = r | {"text": "\n".join(left)}
+        out.append(r | {"n_chars": None if r["text"] is None else len(r["text"])})
+    return out
+
+
+def one_of_each(rows):
+    """Ids that stay: of texts with words the smallest of each component of links; all of the others."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := common.alnum_words(r["text"])) else None for r in rows]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations([k for k, s in enumerate(sets) if s], 2):
+        if len(sets[a] & sets[b]) >= similarity.SIMILARITY * len(sets[a] | sets[b]):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    best = {}
+    for k, r in enumerate(rows):
+        if sets[k] and r["doc_id"] is not None:
+            best[root(k)] = min(best.get(root(k), r["doc_id"]), r["doc_id"])
+    return sorted([*best.values(), *(r["doc_id"] for k, r in enumerate(rows) if sets[k] is None)], key=str)
+
+
+def test_every_stage_is_its_plain_twin(spark, tmp_path):
+    import corpus_pipeline
+
+    item, sites = prose(900, 20), [f"s{k}" for k in range(12)]
+    rows, copy = [], "\n".join(prose(500 + k, 14) for k in range(6))
+    add = lambda text, source, lang="en": rows.append((len(rows), text, lang, source))
+    for k in range(60):
+        add(f"All rights reserved here.\n{prose(k, 60)}\n{prose(k + 100, 30)}", sites[k % 12], "en" if k % 3 else "fr")
+    for k in range(25):
+        add(" ".join(w + "%%%" for w in prose(300 + k, 60).split()), sites[k % 5])
+    for s in sites:
+        add(copy, s)
+    lacks = copy.split("\n")
+    add("\n".join(lacks[:3] + lacks[4:]), "s1")  # a near copy without one of six lines
+    add("\n".join([*lacks[:2], prose(999, 14), *lacks[3:]]), "s2")
+    for t in near_copies(700, 5):
+        add(t, "s3")
+    add(prose(800, 60) + " " + item + " " + prose(801, 60), "s4")
+    add(prose(810, 900), "s5")
+    at = len(rows)
+    rows += [(None if i is None else 1000 + k, t, None, None) for k, (i, t) in enumerate(zip(ODD_IDS, ODD))]
+    docs = spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(not 60 <= i < 85), 0) for i in range(at) if i % 3], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = lambda df: [r.asDict() for r in df.collect()]
+    same = lambda a, b: collections.Counter(str(sorted(r.items())) for r in a) == collections.Counter(str(sorted(r.items())) for r in b)
+    stages, current, seen = dict(corpus_pipeline.STAGES), docs, {}
+    for name in stages:
+        given, current = plain(current), common.materialise(stages[name](spark, current, str(tmp_path)), name)
+        got = seen[name] = plain(current)
+        if name == "quality_classifier":
+            assert same(got, classified(given, quality.fit(docs, labels))) and len(got) < len(given)
+        if name == "line_dedup":
+            assert same(got, without_lines(given, corpus_pipeline.LEAST_LEFT)) and sum(r["text"] == copy for r in got) == 12
+        if name == "ngram_jaccard_join":
+            assert sorted((r["doc_id"] for r in got), key=str) == one_of_each(given)
+            assert all(r in given for r in got) and sum(r["text"] == copy for r in got) == 1
+        if name == "benchmark_decontamination":
+            hit = windows_brute([r["text"] for r in given], [(1, item), (2, None)])
+            assert same(got, [r for r, (_, n, _) in zip(given, hit) if not n]) and len(got) < len(given)
+        if name == "best_fit_packing":
+            pieces, windows = collections.defaultdict(list), collections.defaultdict(list)
+            for r in got:
+                pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+                windows[r["sequence_id"]].append((r["offset"], r["length"]))
+            for r in given:
+                code, upto = ids_brute(r["text"]), 0
+                for start, n, crc in sorted(pieces.pop(r["doc_id"])):
+                    assert start == upto and zlib.crc32(code[4 * start : 4 * (start + n)]) == crc
+                    upto += n
+                assert 4 * upto == len(code)
+            assert not pieces
+            for w in windows.values():
+                assert [o for o, _ in sorted(w)] == [0, *itertools.accumulate(n for _, n in sorted(w))][:-1] and sum(n for _, n in w) <= 2048
+            assert len(windows) <= math.ceil(sum(r["length"] for r in got) / 2048) + 1
+    assert same(plain(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32")), [{k: r[k] for k in ("doc_id", "start", "length", "ids_crc32")} for r in seen["best_fit_packing"]])
