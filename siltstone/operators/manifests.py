@@ -8,9 +8,11 @@ from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialise
 from .records import COT_INSTRUCTION, DIRECT_INSTRUCTION
 
 def file_sha256(path: str | Path) -> str:
@@ -37,18 +39,65 @@ def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("sum"))
 
 
-def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), bytes, sha256 of each file under a folder, in the order of path components."""
+WHOLE = 1 << 30  # bytes of a file that are one value; a longer one is read piece by piece
+_BOM = b"\xef\xbb\xbf"
+
+
+def inventory(spark: SparkSession, root: str, *, whole: int = WHOLE) -> DataFrame:
+    """path (relative), bytes, sha256 of each file under a folder, in the order of path components.
+
+    Executors hash the files; a file of more than ``whole`` bytes, which no value could hold, streams through one task (see ``_streamed``).
+    Empty files have no row, as Spark doesn't list them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://")
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{base}/", "")
-    return files.select(relative.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy(F.split("path", "/"))
+    hashed = files.filter(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if large := [r["path"] for r in files.filter(F.col("length") > whole).select("path").collect()]:  # names only
+        hashed = hashed.unionByName(_streamed(spark, large))
+    return hashed.select(relative.alias("path"), "bytes", "sha256").orderBy(F.split("path", "/"))
+
+
+def _streamed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, bytes, sha256 of files of any size, each read by one task in the order of its bytes and never held as a whole.
+
+    The reader of text lines gives a file's bytes between line feeds as they are, on every file system that Spark reads; a session of
+    its own keeps files from being split. What the reader leaves out (the last line feed, a byte order mark at the start) follows from the file's size.
+    """
+    side, unsplit = spark.newSession(), str(1 << 61)
+    side.conf.set("spark.sql.files.maxPartitionBytes", unsplit)
+    side.conf.set("spark.sql.files.openCostInBytes", unsplit)
+    lines = side.read.option("lineSep", "\n").text(paths).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+
+    def digest(batches):
+        seen: dict[str, list] = {}  # of each file of the task: its size, what was read, and the hash without and with a mark
+        for batch in batches:
+            for path, size, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(0)):
+                line = value.as_py()
+                if path not in seen:
+                    seen[path] = [size, len(line), hashlib.sha256(line), hashlib.sha256(_BOM + line)]
+                    continue
+                own = seen[path]
+                own[1] += 1 + len(line)
+                for h in own[2:]:
+                    h.update(b"\n")
+                    h.update(line)
+        for path, (size, read, plain, marked) in seen.items():
+            found = marked if size - read >= len(_BOM) else plain
+            found.update(b"\n" * (size - read - len(_BOM) * (found is marked)))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([found.hexdigest()])], names=["path", "bytes", "sha256"])
+
+    made = materialise(lines.mapInArrow(digest, "path string, bytes long, sha256 string"), "hashes")
+    return spark.read.schema(made.schema).parquet(*made.inputFiles())
 
 
 def tree_fingerprint(files: DataFrame) -> str:
-    """sha256 over relative path, size and hash of each file of an inventory; no time is in it."""
+    """sha256 over relative path, size and hash of each file of an inventory, in the order of path components; no time is in it.
+
+    Spark sorts the files; the driver takes one part of them at a time.
+    """
     digest = hashlib.sha256()
-    for r in sorted(files.toLocalIterator(), key=lambda r: r["path"].split("/")):
+    for r in files.orderBy(F.split("path", "/")).toLocalIterator():
         digest.update(f"{r['path']}\0{r['bytes']}\0{r['sha256']}\n".encode())
     return digest.hexdigest()
 

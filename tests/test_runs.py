@@ -140,3 +140,26 @@ def test_reports_and_metric_files(spark, tmp_path):
     (tmp_path / "other.json").write_text("{}")
     assert [r["payload"] for r in M.metric_snapshots(spark, str(tmp_path)).collect()] == ['{"x": 1}']
     assert M.latest_checkpoint(["checkpoint-9", "checkpoint-10", "x", "checkpoint-a"]) == "checkpoint-10" and M.latest_checkpoint([]) is None
+
+
+def test_files_that_stream_have_the_hash_of_the_whole(spark, tmp_path):
+    import hashlib
+    import os
+    import random
+
+    rng = random.Random(4)
+    contents = {
+        "a.bin": rng.randbytes(300_000), "b/crlf.txt": b"one\r\ntwo\r\n\r\n", "b/mark.txt": b"\xef\xbb\xbfmark\n", "b/mark2": b"\xef\xbb\xbfno end", "c": b"\n\n\n", "d": b"no line feed", "e": b"\n", "f": b"x\n\xef\xbb\xbf\n", "b.txt": b"\xff\xfe\n\x00",
+    }
+    for name, content in contents.items():
+        os.makedirs((tmp_path / "t" / name).parent, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(content)
+    expected = {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for whole in (0, 100, M.WHOLE):
+        found = M.inventory(spark, f"file://{tmp_path}/t", whole=whole)
+        rows = [(r["path"], (r["bytes"], r["sha256"])) for r in found.collect()]
+        assert dict(rows) == expected and [n for n, _ in rows] == sorted(expected, key=lambda n: n.split("/"))
+    lines = "".join(f"{n}\0{expected[n][0]}\0{expected[n][1]}\n" for n in sorted(expected, key=lambda n: n.split("/")))
+    assert M.tree_fingerprint(found) == hashlib.sha256(lines.encode()).hexdigest()
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
