@@ -27,11 +27,11 @@ def scan(spark: SparkSession, root: str, table: str, columns: list[str] | None =
 def dealt(df: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
     """A small input of fewer files than the session has cores, dealt out to all of them: a file may be one row group, and what is done
     to its texts would be one task. Larger inputs, and those of more files, stay as they are read."""
-    files, cores = df.inputFiles(), df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(files) < cores:
+    files, cores = df._jdf.inputFiles(), df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:  # names of more files than that don't leave the JVM
         return df
-    hadoop, conf = df.sparkSession._jvm.org.apache.hadoop.fs.Path, df.sparkSession._jsc.hadoopConfiguration()
-    paths = [hadoop(f) for f in files]
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in files]
     return df.repartition(cores) if sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths) <= most_bytes else df
 
 

@@ -267,6 +267,19 @@ def test_places_of_aligned_rows(spark):
         E.compare(base, base.filter("dataset = 'd'"))
 
 
+def test_few_files_are_dealt_out(spark, tmp_path):
+    where = f"{tmp_path}/a b%20c"
+    spark.range(400).coalesce(1).write.parquet(where)
+    one = spark.read.parquet(where)
+    many = tables.dealt(one)
+    sizes = [r["n"] for r in many.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 400
+    assert tables.dealt(one, most_bytes=1) is one
+    spark.range(400).repartition(9).write.parquet(f"{tmp_path}/nine")
+    nine = spark.read.parquet(f"{tmp_path}/nine")
+    assert tables.dealt(nine) is nine and tables.dealt(spark.range(3)).count() == 3
+
+
 def test_rows_are_counted_by_the_write(spark, tmp_path):
     jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("counting"))
     df = spark.range(0, 1000, 1, 7).withColumn("x", F.col("id") % 3)
