@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
 
@@ -23,7 +22,7 @@ _BARE = "\x1d"  # marks a part without a space before it
 #: ASCII punctuation and digits at a word's end: the pre-tokenizer always splits between a letter and them.
 _TAIL = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-@\\[-`{-~]+)( |$)"
 _MOST = 1_000_000  # words kept
-CHUNK = 1 << 22  # characters encoded at a time
+CHUNK = 1 << 23  # characters encoded at a time
 
 
 def default_vocabulary() -> str:
@@ -57,8 +56,8 @@ class Encoder:
             raise ValueError("a vocabulary with byte-level words is needed")
 
     def _forget(self) -> None:
-        """No word is known. A known word has a number; arrays have where its ids start and how many they are."""
-        self.numbers: dict[str, int] = {}
+        """No word is known. A known word has a number, its place in ``words``; arrays have where its ids start and how many they are."""
+        self.words = pa.array([], pa.string())
         self.ids, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, text: str) -> bytes:
@@ -104,21 +103,21 @@ class Encoder:
             out[i] = stems[stem] + self._rest(rest) if rest else stems[stem]
         return out
 
-    def _numbered(self, keys: list[str]) -> np.ndarray:
-        """The number of each key; new ones are encoded and get theirs."""
-        if len(self.numbers) > _MOST:
+    def _numbered(self, keys: pa.Array) -> np.ndarray:
+        """The number of each key; new ones are encoded and get theirs. Known keys don't become Python strings."""
+        if len(self.words) > _MOST:
             self._forget()
-        find = lambda some: np.fromiter(map(self.numbers.get, some, itertools.repeat(-1)), np.int64, len(some))
-        out = find(keys)
-        at = np.flatnonzero(out < 0).tolist()
-        if at:
-            some = list(dict.fromkeys(keys[i] for i in at))
-            known = self._new(some)
+        found = pc.index_in(keys, value_set=self.words)
+        out = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            missing = keys.filter(pc.is_null(found))
+            new = missing.unique()
+            known = self._new(new.to_pylist())
             size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            out[out < 0] = pc.index_in(missing, value_set=new).to_numpy(zero_copy_only=False) + len(self.words)
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
             self.ids, self.size = np.concatenate([self.ids, np.frombuffer(b"".join(known), "<u4")]), np.concatenate([self.size, size])
-            self.numbers.update(zip(some, range(len(self.numbers), len(self.size))))
-            out[at] = find([keys[i] for i in at])
+            self.words = pa.concat_arrays([self.words, new])
         return out
 
     def _flat(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +130,7 @@ class Encoder:
         if self.alien.search(text):
             return self._whole(text)
         keys = [w if w == "\n" else w[1:] if w[0] == " " and w != " \n" else _BARE + w for w in _PART.findall(text)]
-        return self._flat(self._numbered(keys))[0].tobytes()
+        return self._flat(self._numbered(pa.array(keys, pa.string())))[0].tobytes()
 
     def _many(self, texts: pa.Array) -> list[bytes]:
         """Texts without odd white space: split, and each distinct part looked up once."""
@@ -139,7 +138,7 @@ class Encoder:
         marked = pc.replace_substring_regex(marked, _TAIL, f"\\1 {_BARE}\\2\\3")
         parts = pc.split_pattern(marked, " ")
         coded = parts.flatten().dictionary_encode()
-        numbers = self._numbered(coded.dictionary.to_pylist())
+        numbers = self._numbered(coded.dictionary)
         flat, ends = self._flat(numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(numbers) else numbers)
         flat, at = flat.tobytes(), (4 * ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]).tolist()
         return [flat[a:b] for a, b in zip(at, at[1:])]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import collections
 import functools
-import itertools
 import os
 import re
 import zlib
@@ -64,40 +63,40 @@ class Words:
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.ids, self.start, self.size, self.stop = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, given: pa.Array) -> None:
         """Number new words. Plain ones are encoded as one text, whose ids are cut where words end; the others one by one."""
-        given = pa.array(words, pa.string())
         plain = pc.match_substring_regex(given, _PLAIN)
-        odd = given.filter(pc.invert(plain))
-        words, stops = given.filter(plain).to_pylist(), pc.match_substring_regex(pa.concat_arrays([given.filter(plain), odd]), _STOP).to_numpy(zero_copy_only=False)
+        even, odd = given.filter(plain), given.filter(pc.invert(plain))
+        words = pa.concat_arrays([even, odd])
         parts, sizes = [], np.zeros(0, np.int64)
-        if words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(pc.binary_length(given.filter(plain)).to_numpy())
+        if len(even):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(even.to_pylist())], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(pc.binary_length(even).to_numpy())
             sizes = np.diff(np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1, prepend=0)
             parts.append(ids)
         parts += [self._whole(w) for w in odd.to_pylist()]
-        sizes = np.concatenate([sizes, [len(x) for x in parts[bool(words) :]]]).astype(np.int32)
+        sizes = np.concatenate([sizes, [len(x) for x in parts[len(even) > 0 :]]]).astype(np.int32)
         first = len(self.ids) + np.cumsum(sizes) - sizes
-        self.numbers.update(zip(words + odd.to_pylist(), range(len(self.size), len(self.size) + len(sizes))))
-        self.ids, self.start, self.size, self.stop = (np.concatenate(x) for x in ((self.ids, *parts), (self.start, first.astype(np.int32)), (self.size, sizes), (self.stop, stops & (sizes > 0))))
+        stops = pc.match_substring_regex(words, _STOP).to_numpy(zero_copy_only=False) & (sizes > 0)
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids, self.start, self.size, self.stop = (np.concatenate(x) for x in ((self.ids, *parts), (self.start, first.astype(np.int32)), (self.size, sizes), (self.stop, stops)))
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.numbers) > _KEPT:
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The number of each of some distinct words, its place in ``words``. Known ones don't become Python strings."""
+        if len(self.words) > _KEPT:
             self._forget()
-        find = lambda some: np.fromiter(map(self.numbers.get, some, itertools.repeat(-1)), np.int64, len(some))
-        out = find(words)
-        new = np.flatnonzero(out < 0).tolist()
-        if new:
-            some = [words[k] for k in new]
-            self._learn(some)
-            out[new] = find(some)
+        found = pc.index_in(words, value_set=self.words)
+        out = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            known, missing = len(self.words), words.filter(pc.is_null(found))
+            self._learn(missing)
+            out[out < 0] = pc.index_in(missing, value_set=self.words.slice(known)).to_numpy(zero_copy_only=False) + known
         return out
 
     def _odd(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +114,7 @@ class Words:
         lower = pc.replace_substring_regex(pc.ascii_lower(even), r"([a-z])([.,;:!?\"()]+)", r"\1 \2")  # the vocabulary splits between a letter and these too
         lists = pc.ascii_split_whitespace(lower)
         coded = lists.flatten().dictionary_encode()
-        number = self._numbers(coded.dictionary.to_pylist())
+        number = self._numbers(coded.dictionary)
         codes = number[coded.indices.to_numpy(zero_copy_only=False)] if len(number) else np.zeros(0, np.int64)
         each = self.size[codes]
         ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
