@@ -331,3 +331,55 @@ def test_decisions_that_do_not_add_up_raise(spark):
     bad = spark.createDataFrame([("unknown", 0.1)], "decision string, tfidf_cosine double")
     with pytest.raises(Exception, match="add up"):
         A.summary(bad).collect()
+
+
+def test_blocks_of_references_are_made_once_for_many_queries(monkeypatch):
+    """A block was made anew for each 256 queries as soon as there were more than four. The nearest are those of all cosines."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 6, 4)) for _ in range(60)]
+    texts = lambda n: ["".join(rng.choice(words, rng.integers(0, 30))) for _ in range(n)]
+    refs, queries = texts(100), texts(600)
+    refs[90], refs[91], queries[5], queries[6] = refs[3], refs[4] + "zz", refs[3], "q" * 9
+    learned = sorted({t[i : i + k] for t in refs for k in A.GRAMS for i in range(len(t) - k + 1)})
+    idf = 1 + rng.random(len(learned))
+    sent = types.SimpleNamespace(value=(A._hashes(learned), idf, [str(i) for i in range(100)], refs))
+    made = []
+
+    class Block(A._Block):
+        def __init__(self, *given):
+            made.append(1)
+            super().__init__(*given)
+
+    monkeypatch.setattr(A, "_Block", Block)
+    arrow = pa.list_(pa.struct([("reference_id", pa.string()), ("exact_match", pa.bool_()), ("common_64_chars", pa.bool_()), ("cosine", pa.float64()), ("jaccard", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(queries)] * 4 + [pa.array([[]] * 600, arrow)], names=["id", "source", "text", "norm", "candidates"])
+    (out,) = A._scorer(sent, 3, 10, arrow)([batch])
+    assert len(made) == 10
+
+    place = {g: i for i, g in enumerate(learned)}
+
+    def unit(t):
+        v = np.zeros(len(learned))
+        for k in A.GRAMS:
+            for i in range(len(t) - k + 1):
+                if t[i : i + k] in place:
+                    v[place[t[i : i + k]]] += 1
+        v[v > 0] = (1 + np.log(v[v > 0])) * idf[v > 0]
+        return v / (np.linalg.norm(v) or 1)
+
+    cosines = np.round(np.array([unit(q) for q in queries]) @ np.array([unit(r) for r in refs]).T, 12)
+    five = lambda t: {t[i : i + 5] for i in range(len(t) - 4)} if len(t) >= 5 else {t} - {""}
+    for q, row, found in zip(queries, cosines, out.column(4).to_pylist()):
+        same = [r for r in range(100) if refs[r] == q]
+        near = [r for r in sorted(range(100), key=lambda r: (-row[r], r))[:3] if row[r] > 0 and refs[r] != q]
+        assert [c["reference_id"] for c in found] == [str(r) for r in (same + near)[: max(3, len(same))]]
+        for c in found:
+            r = refs[int(c["reference_id"])]
+            assert abs(c["cosine"] - (1 if r == q else row[int(c["reference_id"])])) < 1e-11
+            assert c["common_64_chars"] == any(q[i : i + 64] in r for i in range(len(q) - 63))
+            assert c["jaccard"] == (len(five(q) & five(r)) / len(five(q) | five(r)) if q or r else 0)
