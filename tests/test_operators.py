@@ -383,3 +383,14 @@ def test_blocks_of_references_are_made_once_for_many_queries(monkeypatch):
             assert abs(c["cosine"] - (1 if r == q else row[int(c["reference_id"])])) < 1e-11
             assert c["common_64_chars"] == any(q[i : i + 64] in r for i in range(len(q) - 63))
             assert c["jaccard"] == (len(five(q) & five(r)) / len(five(q) | five(r)) if q or r else 0)
+
+
+def test_texts_that_are_their_own_compatibility_form_stay_in_the_jvm(spark):
+    """Every text that wasn't all ASCII went to Python."""
+    stable = [chr(c) for c in (*range(0x80), *range(0xC0, 0x100))]
+    assert all(unicodedata.normalize("NFKC", b + c) == b + c for c in stable for b in stable)
+    texts = ["\u00e9t\u00e9", "\u00dfa", "e\u0301", "\u2122", "\ufb01x", "\u1100\u1161", "\u304b\u3099", "\u00bd"]
+    sent = F.col("t").rlike(T.UNSTABLE[0]) | F.col("t").rlike(T.UNSTABLE[1])
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize(F.col("t"), compatibility=True).alias("n"), sent.alias("sent")).collect()
+    assert [r["sent"] for r in rows] == [False, False] + [True] * 6
+    assert [r["n"] for r in rows] == [unicodedata.normalize("NFKC", t).lower().replace("\u2044", "") for t in texts]
