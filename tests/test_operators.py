@@ -394,3 +394,11 @@ def test_texts_that_are_their_own_compatibility_form_stay_in_the_jvm(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize(F.col("t"), compatibility=True).alias("n"), sent.alias("sent")).collect()
     assert [r["sent"] for r in rows] == [False, False] + [True] * 6
     assert [r["n"] for r in rows] == [unicodedata.normalize("NFKC", t).lower().replace("\u2044", "") for t in texts]
+
+
+def test_character_ngrams_are_counted_as_they_are_listed(spark):
+    """The list was made to be counted, one array a text and one string a character."""
+    texts = ["", "a", "abcde", "abcdef", "aaaaaaaa", "abcabcabcabc", "\U0001f600\u4e2d" * 7, "\U0010ffff" * 6 + "abc\u0000abc", None]
+    row = lambda n: spark.createDataFrame([(t,) for t in texts], "t string").select(T.ngram_count(F.col("t"), n).alias("a"), F.size(T.char_ngrams(F.coalesce("t", F.lit("")), n)).alias("b")).collect()
+    for n in (1, 5, 8):
+        assert all(r["a"] == r["b"] for r in row(n))
