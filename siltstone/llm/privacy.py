@@ -15,6 +15,8 @@ PRIOR = 0.5  # weight, in texts, of an entity's overall share in its share among
 DISCLOSURE = 0.9  # share of an entity's information content that a term may reveal
 RUN = 128  # numbers whose running sums are taken together
 PRUNE = 16  # part of the other texts that rules out common terms before the full count
+MAX_TERMS = 100_000  # texts whose revealing terms go to the tasks; where there are more, their rows alone meet them in a shuffle
+MAX_KEYS = 2_000_000  # keys of texts, 8 bytes each, that go to the tasks; more meet the texts in a shuffle
 
 #: Each kind's pattern. They match what the plain patterns of the contract match, leftmost first: possessive repeats never give
 #: back what a later part needs, and a match starts inside a run of its own characters only right after the match before it.
@@ -127,13 +129,16 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", prior: float = PRIOR
     texts than any of a text's entities could allow doesn't pair up there: a page that lists thousands of entities beside
     thousands of words gives few pairs. An entity's documents are written once with their terms. A count over any part of the corpus
     is at most the count over all of it, so a term that already fails among those texts, or among them and a ``PRUNE``-th of the
-    others, fails for good: only the rare rest is counted over the whole corpus. Copies of a text count once everywhere.
+    others, fails for good: only the rare rest is counted over the whole corpus. Copies of a text count once everywhere: only texts that
+    have copies travel, one of each from a task, and all others are counted where they are read, so that the shuffle takes a row for each
+    word that a task has seen and not one for each word of each text.
     """
     key = F.xxhash64(text_col).alias("text_key")
     found = docs.select(key, F.col(text_col).alias("text"), base_spans(F.col(text_col)).alias("spans")).filter(F.size("spans") > 0)
     entity = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], s["value"])))
     held = common.materialise(found.select("text_key", entity.alias("entities"), _terms(F.col("text")).alias("terms")), "entities")
-    texts = docs.select(key).distinct().count()
+    copied = common.materialise(docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "copied")
+    texts = docs.count() - copied.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("more")).first()["more"]
 
     def allowed(n_te: Column, n_e: Column) -> Column:
         """The most texts that a term may have to reveal an entity."""
@@ -159,21 +164,26 @@ def disclosures(docs: DataFrame, *, text_col: str = "text", prior: float = PRIOR
     widest = caps.groupBy(F.col("term_set").alias("set")).agg(F.max("most").alias("most"))
     likely = common.materialise(members.join(widest, "set").select("term", "set", "n_among", "most"), "likely")
 
-    def texts_with(terms: DataFrame, some: DataFrame) -> DataFrame:
-        wanted = common.materialise(terms.select("term"), "wanted")
-        each = some.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-        return each.join(common.checked(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-
     corpus = docs.select(key, F.col(text_col).alias("text"))
     keys = common.materialise(held.select("text_key").distinct(), "keys")
-    others = corpus.filter(F.pmod("text_key", F.lit(PRUNE)) == 0).join(common.checked(keys), "text_key", "left_anti")
-    seen = likely.join(texts_with(likely, others), "term", "left")
+    others = corpus.filter(F.pmod("text_key", F.lit(PRUNE)) == 0).join(common.checked(keys, MAX_KEYS), "text_key", "left_anti")
+    seen = likely.join(_texts_with(likely, others, copied), "term", "left")
     rare = common.materialise(seen.filter(F.col("n_among") + F.coalesce("n_t", F.lit(0)) <= F.col("most")).drop("n_t"), "rare")
-    counted = rare.join(texts_with(rare, corpus), "term").filter(F.col("n_t") <= F.col("most")).select("term", F.col("set").alias("term_set"), "n_t")
+    counted = rare.join(_texts_with(rare, corpus, copied), "term").filter(F.col("n_t") <= F.col("most")).select("term", F.col("set").alias("term_set"), "n_t")
     revealing = caps.join(common.checked(common.materialise(counted, "counted")), "term_set").filter(F.col("n_t") <= F.col("most"))
     return revealing.groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
+def _texts_with(terms: DataFrame, some: DataFrame, copied: DataFrame) -> DataFrame:
+    """term, n_t: the number of distinct texts (text_key, text) that have each of the ``terms``; ``copied`` has the keys of texts in several rows."""
+    wanted = common.materialise(terms.select("term"), "wanted")
+    twice = common.checked(copied.select("text_key"), MAX_KEYS)
+    one = some.join(twice, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    once = some.join(twice, "text_key", "left_anti").select("text").unionByName(one.select("text"))
+    each = once.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(common.checked(wanted), "term", "left_semi")
+
+
 def find(docs: DataFrame, *, text_col: str = "text", prior: float = PRIOR, disclosure: float = DISCLOSURE, into: str = "spans", keep: list[str] | None = None) -> DataFrame:
     """Documents (columns in ``keep``, default all) with all spans: pattern matches, and kind ``term`` for revealing terms.
 
@@ -187,7 +197,12 @@ def find(docs: DataFrame, *, text_col: str = "text", prior: float = PRIOR, discl
     terms = common.materialise(disclosures(docs, text_col=text_col, prior=prior, disclosure=disclosure), "terms")
     text, key, revealing = common.fresh(docs, "text", "text_key", "terms")
     terms = terms.withColumnsRenamed({"text_key": key, "terms": revealing})
-    joined = docs.select(*columns, F.col(text_col).alias(text), F.xxhash64(text_col).alias(key)).join(common.checked(terms), key, "left")
+    given = docs.select(*columns, F.col(text_col).alias(text), F.xxhash64(text_col).alias(key))
+    if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
+        joined = given.join(F.broadcast(terms), key, "left")
+    else:
+        keys = common.checked(terms.select(key), MAX_KEYS)
+        joined = given.join(keys, key, "left_semi").join(terms, key).unionByName(given.join(keys, key, "left_anti").withColumn(revealing, F.lit(None).cast("array<string>")))
 
     def whole(base: Column) -> Column:
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(revealing, "|"), F.lit(r")(?!\p{L})"))

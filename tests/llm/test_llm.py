@@ -632,6 +632,38 @@ def test_disclosures_are_those_of_plain_sets(spark):
     assert len(expected) >= 5 and {r["text"]: r["terms"] for r in rows} == expected
 
 
+def records_shuffled(spark, df):
+    """Rows that the exchanges of a query write."""
+    df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last()
+    metrics, values = last.metrics(), store.executionMetrics(last.executionId())
+    kinds = {metrics.apply(i).accumulatorId() for i in range(metrics.size()) if metrics.apply(i).name() == "shuffle records written"}
+    return sum(int(values.apply(k).replace(",", "")) for k in kinds if values.contains(k))
+
+
+def test_texts_of_many_terms_are_counted_where_they_are_read(spark, monkeypatch):
+    monkeypatch.setattr(privacy.common, "checked", lambda small, most=0: F.broadcast(small) if most else small)  # too many terms to send
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in ("an", "et", "il", "os")]
+    texts = [f"{' '.join(words)} {prose(i, 5)}" for i in range(200)] + ["only copies here"] * 30 + [None, None]
+    docs = table(spark, texts).select(F.xxhash64("text").alias("text_key"), "text").coalesce(2)
+    copied = docs.groupBy("text_key").count().filter("count > 1")
+    terms = spark.createDataFrame([(w,) for w in [*words, "copies", "absent"]], "term string")
+    counted = privacy._texts_with(terms, docs, copied)
+    assert {r["term"]: r["n_t"] for r in counted.collect()} == dict.fromkeys(words, 200) | {"copies": 1}
+    assert records_shuffled(spark, counted) < 3_000  # 200 texts of 45 words are 9,000 pairs
+
+
+def test_rows_of_many_texts_with_terms_meet_them_in_a_shuffle(spark, monkeypatch):
+    texts = [f"{prose(i, 25)} nothing private" for i in range(150)] + [f"{prose(502, 20)} Zanderloot nothing eve@example.org here"] * 3 + [None, ""]
+    found = lambda: sorted((r["doc_id"], r["s"]) for r in privacy.find(table(spark, texts)).select("doc_id", privacy._listed(F.col("spans")).alias("s")).collect())
+    expected = found()
+    assert any("term" in s for _, s in expected)
+    monkeypatch.setattr(privacy, "MAX_TERMS", 0)
+    assert found() == expected
+
+
 def test_many_matches_in_one_text_take_linear_time(spark):
     import time
 
