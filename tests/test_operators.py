@@ -411,3 +411,24 @@ def test_character_ngrams_are_counted_as_they_are_listed(spark):
     row = lambda n: spark.createDataFrame([(t,) for t in texts], "t string").select(T.ngram_count(F.col("t"), n).alias("a"), F.size(T.char_ngrams(F.coalesce("t", F.lit("")), n)).alias("b")).collect()
     for n in (1, 5, 8):
         assert all(r["a"] == r["b"] for r in row(n))
+
+
+def test_postings_are_added_up_some_at_a_time(monkeypatch):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    text = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(0, 60)))
+    refs, queries = [text() for _ in range(80)], ["", *(text() for _ in range(9)), ""]
+    learned = sorted({t[i : i + k] for t in refs for k in A.GRAMS for i in range(len(t) - k + 1)})
+    grams = A._Grams(A._hashes(learned), np.ones(len(learned)))
+    block, vectors = A._Block([A._codes(t) for t in refs], grams), A._Vectors([A._codes(t) for t in queries], grams)
+    full = lambda v, n: np.array([np.bincount(v.of(i)[0], v.of(i)[1], len(learned)) for i in range(n)])
+    expected, sizes, bincount = full(vectors, len(queries)) @ full(block.vectors, len(refs)).T, [], np.bincount
+    monkeypatch.setattr(A.np, "bincount", lambda x, *a: (sizes.append(len(x)), bincount(x, *a))[1])
+    for most in (1, 100, 1 << 16):
+        monkeypatch.setattr(A, "PRODUCTS", most)
+        sizes.clear()
+        assert np.abs(block.screened(len(queries), *vectors.some(0, len(queries))) - expected).max() < 1e-5
+        assert (len(sizes) == 1) == (most == 1 << 16), (most, len(sizes))
